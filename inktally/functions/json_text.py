@@ -14,7 +14,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,9 +83,11 @@ def _canonical(documents: pa.Array) -> pa.Array:
     return pa.array([None if d is None else canonical_text(d) for d in documents.to_pylist()], pa.string())
 
 
-def canonical_json_text(document: Column) -> Column:
-    """Canonical form of a JSON text column; null stays null, invalid JSON raises."""
-    parsed = F.try_parse_json(document)
-    exact = ~document.rlike(_UNUSUAL) & parsed.isNotNull()
-    rest = _canonical(F.when(~F.coalesce(exact, F.lit(False)), document))
-    return F.when(exact, F.to_json(parsed)).otherwise(rest)
+def with_canonical_json(frame: DataFrame, source: Column, name: str) -> DataFrame:
+    """``frame`` with the canonical form of a JSON text column as ``name``.
+
+    Null stays null; text that is not JSON raises.
+    """
+    plain = F.when(~source.rlike(_UNUSUAL), F.to_json(F.try_parse_json(source)))
+    rest = F.when(F.col(name).isNull(), source)
+    return frame.withColumn(name, plain).withColumn(name, F.coalesce(name, _canonical(rest)))

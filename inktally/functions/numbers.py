@@ -1,57 +1,88 @@
-"""Number text as a JavaScript runtime writes it, from built-in expressions only."""
+"""Number text as a JavaScript runtime writes it, from built-in expressions only.
+
+Expressions are given and built as SQL text: a long one then costs a single
+call to the JVM.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EXACT_INT = float(2**53)
+def bind_sql(x: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``x``, which is computed once.
+
+    It also keeps a seldom used ``body`` out of the generated code.
+    """
+    return f"transform(array({x}), {name} -> {body})[0]"
 
 
-def js_number(value: Column, single: bool = False) -> Column:
-    """Text of a float column: ``1``, ``0.1``, ``10000000``, ``1e+21``, ``NaN``.
+def js_number_sql(x: str, single: bool = False) -> str:
+    """Text of the number ``x``: ``1``, ``0.1``, ``10000000``, ``1e+21``, ``NaN``; null stays null.
 
-    ``single`` marks a 32-bit float, whose digits are those of the short
-    32-bit form.  Null stays null.
+    ``single`` marks a 32-bit float, whose digits are those of its short form.
     """
     if single:
-        value = value.cast("string").cast("double")
-    size = F.abs(value)
-    whole = (size < _EXACT_INT) & (value == F.rint(value))
-    text = value.cast("string")
-    short = (size >= 1e-3) & (size < 1e7) & (F.length(text) <= 16)
+        return (
+            f"case when abs({x}) >= 0.001F and abs({x}) < 10000000F and {x} <> rint({x}) then cast({x} as string) "
+            f"when {x} is not null then {bind_sql(f'cast(cast({x} as string) as double)', 'f', _number('f'))} end"
+        )
     return (
-        F.when(whole, value.try_cast("bigint").cast("string"))
-        .when(short, text)
-        .when(F.isnan(value), F.lit("NaN"))
-        .when(size == float("inf"), F.when(value > 0, "Infinity").otherwise("-Infinity"))
-        .when((size >= 1e-6) & (size < 1), _plain(_shortest(value), "decimal(38,25)"))
-        .when((size >= 1) & (size < 1e21), _plain(_shortest(value), "decimal(38,16)"))
-        .otherwise(_exponent(_shortest(value)))
+        f"case when {_INSIDE.format(x=x)} "
+        f"when {x} is not null then {bind_sql(x, 'f', _outside('f'))} end"
     )
 
 
-def _shortest(value: Column) -> Column:
-    """Fewest digits that still read back as ``value``.
+#: Whole numbers, and those the JVM prints without an exponent.
+_INSIDE = (
+    "abs({x}) < 9007199254740992D and {x} = rint({x}) then cast(cast({x} as bigint) as string) "
+    "when abs({x}) >= 0.001D and abs({x}) < 10000000D then cast({x} as string)"
+)
+
+
+def _number(x: str) -> str:
+    return f"case when {_INSIDE.format(x=x)} else {_outside(x)} end"
+
+
+def _outside(x: str) -> str:
+    """The rest: very large or small numbers, NaN and the infinities."""
+    best = _shortest(x)
+    return (
+        f"case when isnan({x}) then 'NaN' "
+        f"when abs({x}) = double('Infinity') then if({x} > 0, 'Infinity', '-Infinity') "
+        f"when abs({x}) >= 0.000001D and abs({x}) < 1D then {_plain(best, 25)} "
+        f"when abs({x}) >= 1D and abs({x}) < 1e21D then {_plain(best, 16)} "
+        f"else {_exponent(best)} end"
+    )
+
+
+def _shortest(x: str) -> str:
+    """Fewest digits that still read back as ``x``.
 
     The JVM now and then prints one digit more than needed; rounding to 15,
     16 or 17 digits and reading back finds those.
     """
-    text = value.cast("string")
-    tries = [F.format_string(f"%.{digits}e", value) for digits in (14, 15, 16)]
-    picked = F.coalesce(*[F.when(t.try_cast("double") == value, t) for t in tries], text)
-    return F.when(F.length(text) >= 17, picked).otherwise(text)
+    tries = "".join(
+        f"when try_cast(format_string('%.{d}e', {x}) as double) = {x} then format_string('%.{d}e', {x}) "
+        for d in (14, 15, 16)
+    )
+    return f"case when length(cast({x} as string)) < 17 then cast({x} as string) {tries}else cast({x} as string) end"
 
 
-def _plain(text: Column, kind: str) -> Column:
-    return F.rtrim(F.rtrim(text.try_cast(kind).cast("string"), F.lit("0")), F.lit("."))
+def _plain(text: str, scale: int) -> str:
+    return f"rtrim('.', rtrim('0', cast(try_cast({text} as decimal(38,{scale})) as string)))"
 
 
-def _exponent(text: Column) -> Column:
+def _exponent(text: str) -> str:
     """``1.50E-7`` or ``1.50e-07`` to ``1.5e-7``; ``2.0E21`` to ``2e+21``."""
-    lowered = F.lower(text)
-    trimmed = F.regexp_replace(lowered, r"\.?0*e", "e")
-    return F.regexp_replace(F.regexp_replace(trimmed, r"e\+?(?=\d)", "e+"), r"e([+-])0+(?=\d)", "e$1")
+    trimmed = f"regexp_replace(lower({text}), r'\\.?0*e', 'e')"
+    signed = f"regexp_replace({trimmed}, r'e\\+?(?=\\d)', 'e+')"
+    return f"regexp_replace({signed}, r'e([+-])0+(?=\\d)', 'e$1')"
+
+
+def js_number(x: str, single: bool = False) -> Column:
+    """Column of :func:`js_number_sql`."""
+    return F.expr(js_number_sql(x, single))
 
 
 def to_fixed(value: Column, digits: int) -> Column:
@@ -71,7 +102,7 @@ def to_fixed(value: Column, digits: int) -> Column:
     error = (high * factor - product) + (size - high) * factor
     distance = (product - nearest) + error
     tie = (
-        (product < _EXACT_INT)
+        (product < float(2**53))
         & (F.pmod(nearest, F.lit(2.0)) == 1.0)
         & (F.abs(product - nearest) <= nearest * 2.0**-50)
     )

@@ -1,8 +1,9 @@
 """A cell's value as document text and as canonical JSON.
 
-Everything here is a built-in column expression chosen from the column's data
-type, so it runs inside the JVM next to the scan.  Only JSON kept as text with
-numbers or escapes that the JVM prints another way goes through
+Each is a built-in expression chosen from the column's data type, so it runs
+inside the JVM next to the scan.  Expressions are built as SQL text, one call
+per cell, since a table may have hundreds of columns.  Only JSON kept as text
+with numbers or escapes that the JVM prints another way goes through
 :mod:`inktally.functions.json_text`.
 """
 
@@ -10,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.functions.json_text import canonical_json_text, name_order, quote
-from inktally.functions.numbers import js_number
+from inktally.functions.json_text import name_order, quote
+from inktally.functions.numbers import bind_sql, js_number_sql
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType)
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -24,204 +25,235 @@ _TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _JSON_NAMES = ("json", "jsonb")
 _INTERVALS = (T.DayTimeIntervalType, T.YearMonthIntervalType)
 
-#: Control characters that the JVM's JSON writer prints with upper-case hex digits.
-_UPPER_HEX = r"[\x0B\x0E\x0F\x1A-\x1F]"
 
+def literal(text: str) -> str:
+    """An SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def iso_millis(value: Column, kind: T.DataType) -> Column:
+
+def cell(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+_UTC = ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
+
+
+def iso_millis_sql(x: str, kind: T.DataType) -> str:
     """Date or timestamp as ``2024-01-02T03:04:05.678Z``: UTC, cut to milliseconds.
 
-    Free of the session time zone.  Years outside 0-9999 get a sign and six
-    digits.
+    The session time zone does not matter, though UTC is faster.  Years outside
+    1-9999 get four digits up to 9999, else a sign and six digits.
     """
-    if isinstance(kind, T.TimestampType):
-        seconds = F.unix_micros(value).cast("decimal(20,0)") / F.lit(1000000)
-        value = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-            secs=seconds.cast("decimal(18,6)")
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC:
+        usual = f"date_format({x}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+        utc = f"cast({x} as timestamp_ntz)"
+    else:
+        utc = _utc_sql(x, kind)
+        text = f"cast({utc} as string)"
+        usual = (
+            f"concat(translate(substring({text}, 1, 19), ' ', 'T'), '.', rpad(substring({text}, 21, 3), 3, '0'), 'Z')"
         )
-    elif isinstance(kind, T.DateType):
-        value = value.cast("timestamp_ntz")
-    text = value.cast("string")
     # All that follows the year: -MM-dd HH:mm:ss with up to six decimals.
-    rest = F.regexp_extract(text, r"^[+-]?\d+(-.*)$", 1)
-    year = F.year(value)
-    year_text = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(
-        F.concat(
-            F.when(year < 0, "-").otherwise("+"), F.lpad(F.abs(year).cast("string"), 6, "0")
-        )
+    year = (
+        "if(year(t) between 0 and 9999, lpad(cast(year(t) as string), 4, '0'), "
+        "concat(if(year(t) < 0, '-', '+'), lpad(cast(abs(year(t)) as string), 6, '0')))"
     )
-    usual = F.concat(
-        F.substring(text, 1, 10),
-        F.lit("T"),
-        F.substring(text, 12, 8),
-        F.lit("."),
-        F.rpad(F.substring(text, 21, 3), 3, "0"),
-        F.lit("Z"),
+    rest = "regexp_extract(cast(t as string), r'^[+-]?\\d+(-.*)$', 1)"
+    far = (
+        f"concat({year}, substring({rest}, 1, 6), 'T', substring({rest}, 8, 8), '.', "
+        f"rpad(substring({rest}, 17, 3), 3, '0'), 'Z')"
     )
-    far = F.concat(
-        year_text,
-        F.substring(rest, 1, 6),
-        F.lit("T"),
-        F.substring(rest, 8, 8),
-        F.lit("."),
-        F.rpad(F.substring(rest, 17, 3), 3, "0"),
-        F.lit("Z"),
+    return (
+        f"case when {utc} >= timestamp_ntz'0001-01-01 00:00:00' and {utc} < timestamp_ntz'9999-12-31 00:00:00' "
+        f"then {usual} when {x} is not null then {bind_sql(utc, 't', far)} end"
     )
-    return F.when(year.between(1, 9999), usual).when(value.isNotNull(), far)
 
 
-def json_string(value: Column) -> Column:
-    """A JSON string literal with the escapes of ``JSON.stringify``; null stays null."""
-    wrapped = F.to_json(F.struct(value.alias("v")))
-    usual = F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)  # {"v":"..."} without its frame
-    return F.when(value.rlike(_UPPER_HEX), _escaped(value)).when(value.isNotNull(), usual)
+def _utc_sql(x: str, kind: T.DataType) -> str:
+    """The instant as a timestamp without a zone, in UTC."""
+    if isinstance(kind, T.TimestampType):
+        seconds = f"cast(cast(unix_micros({x}) as decimal(20,0)) / 1000000 as decimal(18,6))"
+        return f"(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}))"
+    return f"cast({x} as timestamp_ntz)"
 
 
-def _escaped(value: Column) -> Column:
-    named = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    out = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit('"'), F.lit('\\"'))
-    for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit(named.get(code, f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+def iso_millis(x: str, kind: T.DataType) -> Column:
+    """Column of :func:`iso_millis_sql`."""
+    return F.expr(iso_millis_sql(x, kind))
 
 
-def _number(value: Column, single: bool = False) -> Column:
-    """JSON number; NaN and the infinities become ``null``."""
-    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    return F.when(finite, js_number(value, single))
+def json_string_sql(x: str) -> str:
+    """A JSON string literal; null stays null.
 
+    Escapes of control characters have upper-case hex digits until
+    :func:`lower_hex_sql` is applied to the whole.
+    """
+    # {"v":"..."} without its frame: the text before the closing brace ends with a quote.
+    return f"case when {x} is not null then rtrim('}}', substr(to_json(named_struct('v', {x})), 6)) end"
 
-def _bytes_json(value: Column) -> Column:
-    """A byte buffer as an object from index to byte."""
-    items = F.transform(
-        F.sequence(F.lit(1), F.length(value)),
-        lambda i: F.concat(
-            F.lit('"'),
-            (i - 1).cast("string"),
-            F.lit('":'),
-            F.conv(F.hex(F.substr(value, i, F.lit(1))), 16, 10),
-        ),
-    )
-    return F.when(F.length(value) == 0, F.lit("{}")).when(
-        value.isNotNull(), F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}"))
-    )
 
+def lower_hex_sql(json: str, checked: bool = True) -> str:
+    """JSON written by the JVM with the escapes of ``JSON.stringify``: ``\\u001f``, not ``\\u001F``.
 
-def _interval_json(value: Column, kind: T.DataType) -> Column:
-    """An interval as an object of its parts that are not zero."""
+    A pair of backslashes is set aside first, as it may precede the letters
+    ``u001F`` of the text itself; JSON holds no raw control character that
+    could be mistaken for its stand-in.  ``checked`` looks for such escapes
+    first; without it ``json`` is written once, for expressions used seldom.
+    """
+    pair, stand_in = literal(chr(92) * 2), "char(1)"
+    out = f"replace({json}, {pair}, {stand_in})"
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        out = f"replace({out}, {literal(f'{chr(92)}u{code:04X}')}, {literal(f'{chr(92)}u{code:04x}')})"
+    out = f"replace({out}, {stand_in}, {pair})"
+    if not checked:
+        return out
+    return f"case when contains({json}, {literal(chr(92) + 'u00')}) then {out} else {json} end"
 
-    def part(name: str, number: Column, text: Column | None = None) -> Column:
-        return F.when(number != 0, F.concat(F.lit(f'"{name}":'), text if text is not None else number.cast("string")))
 
+def _bytes_sql(x: str) -> str:
+    """A byte buffer as an object from index to byte."""
+    item = f"concat('\"', i - 1, '\":', conv(hex(substr({x}, i, 1)), 16, 10))"
+    items = f"array_join(transform(sequence(1, length({x})), i -> {item}), ',')"
+    return f"case when length({x}) = 0 then '{{}}' when {x} is not null then concat('{{', {items}, '}}') end"
+
+
+def _interval_sql(x: str, kind: T.DataType) -> str:
+    """An interval as an object of its parts that are not zero."""
     if isinstance(kind, T.YearMonthIntervalType):
-        parts = [
-            part("months", F.extract(F.lit("MONTH"), value)),
-            part("years", F.extract(F.lit("YEAR"), value)),
-        ]
+        parts = [(n, f"extract({n} from {x})", None) for n in ("month", "year")]
     else:
-        seconds = F.extract(F.lit("SECOND"), value)
-        whole = seconds.cast("int")
-        millis = ((seconds - whole) * 1000).cast("double")
+        second = f"extract(second from {x})"
+        whole = f"cast({second} as int)"
+        millis = f"cast(({second} - {whole}) * 1000 as double)"
         parts = [
-            part("days", F.extract(F.lit("DAY"), value)),
-            part("hours", F.extract(F.lit("HOUR"), value)),
-            part("milliseconds", millis, js_number(millis)),
-            part("minutes", F.extract(F.lit("MINUTE"), value)),
-            part("seconds", whole),
+            ("day", f"extract(day from {x})", None),
+            ("hour", f"extract(hour from {x})", None),
+            ("millisecond", millis, js_number_sql(millis)),
+            ("minute", f"extract(minute from {x})", None),
+            ("second", whole, None),
         ]
-    return F.when(
-        value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    made = ", ".join(
+        f"if({number} <> 0, concat('\"{name}s\":', {text or number}), null)" for name, number, text in parts
     )
+    return f"if({x} is not null, concat('{{', concat_ws(',', {made}), '}}'), null)"
 
 
-def json_value(
-    value: Column, kind: T.DataType, inside: str = "column", declared: str = ""
-) -> Column:
-    """Canonical JSON of one value, never null (null is the text ``null``).
+def json_sql(x: str, kind: T.DataType, inside: str = "column", depth: int = 0) -> str:
+    """Canonical JSON of one value as SQL text, never null (null is the text ``null``).
 
     ``inside`` is ``column``, ``array`` or ``json``: a 64-bit integer or decimal
     is a string when it is the cell itself, while a decimal in an array and any
-    number in a JSON document is a number.  ``declared`` is the catalog type
-    name; text declared ``json`` is a document of its own.
+    number in a JSON document is a number.
     """
     if isinstance(kind, _TEXTS):
-        json = declared.lower() in _JSON_NAMES
-        out = canonical_json_text(value) if json else json_string(value)
-    elif isinstance(kind, (*_WHOLE, T.BooleanType)):
-        out = value.cast("string")
-    elif isinstance(kind, T.LongType):
-        if inside == "json":
-            out = js_number(value.cast("double"))
-        else:
-            out = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
-    elif isinstance(kind, T.DecimalType):
-        if inside == "column":
-            out = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
-        else:
-            out = js_number(value.cast("double"))
+        out = json_string_sql(x)
+    elif isinstance(kind, (*_WHOLE, T.BooleanType, T.NullType)):
+        out = f"cast({x} as string)"
+    elif isinstance(kind, T.LongType) and inside != "json" or isinstance(kind, T.DecimalType) and inside == "column":
+        out = f"concat('\"', cast({x} as string), '\"')"
+    elif isinstance(kind, (T.LongType, T.DecimalType)):
+        out = js_number_sql(f"cast({x} as double)")
     elif isinstance(kind, _FLOATS):
-        out = _number(value, isinstance(kind, T.FloatType))
+        number = js_number_sql(x, isinstance(kind, T.FloatType))
+        out = f"if(isnan({x}) or abs({x}) = double('Infinity'), null, {number})"
     elif isinstance(kind, _TIMES):
-        out = F.concat(F.lit('"'), iso_millis(value, kind), F.lit('"'))
+        out = f"concat('\"', {iso_millis_sql(x, kind)}, '\"')"
     elif isinstance(kind, T.BinaryType):
-        out = _bytes_json(value)
+        out = _bytes_sql(x)
     elif isinstance(kind, _INTERVALS):
-        out = _interval_json(value, kind)
+        out = _interval_sql(x, kind)
     elif isinstance(kind, T.ArrayType):
         deeper = "array" if inside == "column" else inside
-        items = F.transform(value, lambda item: json_value(item, kind.elementType, deeper))
-        out = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+        item = json_sql(f"x{depth}", kind.elementType, deeper, depth + 1)
+        out = f"concat('[', array_join(transform({x}, x{depth} -> {item}), ','), ']')"
     elif isinstance(kind, T.StructType):
-        members = [(f.name, json_value(value[f.name], f.dataType, "json")) for f in kind.fields]
-        out = F.when(value.isNotNull(), json_object(members))
+        members = [(f.name, json_sql(f"{x}.{cell(f.name)}", f.dataType, "json", depth)) for f in kind.fields]
+        made = [
+            part
+            for place, (name, value) in enumerate(sorted(members, key=lambda m: name_order(m[0])))
+            for part in (literal(f"{',' if place else ''}{quote(name)}:"), value)
+        ]
+        out = f"if({x} is not null, concat('{{', {''.join(p + ', ' for p in made)}'}}'), null)"
     elif isinstance(kind, T.MapType):
-        entries = F.array_sort(
-            F.transform(
-                F.map_entries(value),
-                lambda e: F.struct(
-                    e["key"].cast("string").alias("k"),
-                    json_value(e["value"], kind.valueType, "json").alias("v"),
-                ),
-            )
-        )
-        pairs = F.transform(entries, lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["v"]))
-        out = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+        e, value = f"x{depth}", json_sql(f"x{depth}.value", kind.valueType, "json", depth + 1)
+        entries = f"transform(map_entries({x}), {e} -> struct(cast({e}.key as string) as k, {value} as v))"
+        pair = f"concat({json_string_sql(f'{e}.k')}, ':', {e}.v)"
+        out = f"concat('{{', array_join(transform(array_sort({entries}), {e} -> {pair}), ','), '}}')"
     elif isinstance(kind, T.VariantType):
-        out = canonical_json_text(F.to_json(value))
-    elif isinstance(kind, T.NullType):
-        out = value.cast("string")
+        out = f"to_json({x})"
     else:
         raise TypeError(f"no JSON form for {kind.simpleString()}")
-    return F.coalesce(out, F.lit("null"))
+    return f"coalesce({out}, 'null')"
+
+
+def is_document(kind: T.DataType, declared: str) -> bool:
+    """Whether a cell is a JSON document: a variant, or text declared ``json``."""
+    return isinstance(kind, T.VariantType) or isinstance(kind, _TEXTS) and declared.lower() in _JSON_NAMES
+
+
+def _writer_sql(x: str, kind: T.DataType) -> str | None:
+    """The value in a type that the JVM's JSON writer prints as wanted, or None."""
+    if isinstance(kind, (*_TEXTS, *_WHOLE, T.BooleanType)):
+        return x
+    if isinstance(kind, (T.LongType, T.DecimalType)):
+        return f"cast({x} as string)"
+    if isinstance(kind, _TIMES):
+        return iso_millis_sql(x, kind)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (*_TEXTS, *_WHOLE, T.BooleanType)):
+        return x
+    return None
+
+
+def json_object_sql(members: Sequence[tuple[str, str, T.DataType | None]]) -> str:
+    """Canonical JSON object of (name, SQL text, type): keys sorted, nulls kept, no blanks.
+
+    Neighbours that the JVM's JSON writer prints as wanted go through it
+    together; the others are put in between.  A type of None marks a value that
+    is JSON already.  :func:`lower_hex_sql` is still to be applied.
+    """
+    parts: list[str] = []
+    together: list[str] = []
 
+    def flush() -> None:
+        if together:
+            made = f"to_json(named_struct({', '.join(together)}), map('ignoreNullFields', 'false'))"
+            # Without the braces; no value that goes through the writer ends with one itself.
+            parts.append(f"rtrim('}}', substr({made}, 2))")
+            together.clear()
 
-def json_object(members: Sequence[tuple[str, Column]]) -> Column:
-    """Canonical JSON object of named JSON values: keys sorted, nulls kept, no blanks."""
-    parts: list[Column] = []
-    for name, value in sorted(members, key=lambda member: name_order(member[0])):
-        parts += [F.lit(f"{',' if parts else '{'}{quote(name)}:"), value]
-    return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
+    for name, x, kind in sorted(members, key=lambda member: name_order(member[0])):
+        plain = None if kind is None else _writer_sql(x, kind)
+        if plain is not None:
+            together += [literal(name), plain]
+            continue
+        flush()
+        value = f"coalesce({x}, 'null')" if kind is None else json_sql(x, kind)
+        parts.append(f"concat({literal(quote(name) + ':')}, {value})")
+    flush()
+    if not parts:
+        return "'{}'"
+    return f"concat('{{', concat_ws(',', {', '.join(parts)}), '}}')"
 
 
-def text_value(value: Column, kind: T.DataType, declared: str = "") -> Column:
+def text_value(name: str, kind: T.DataType) -> Column:
     """A cell as document text, null when the cell is null."""
+    x = cell(name)
     if isinstance(kind, _TEXTS):
-        return json_document_text(value) if declared.lower() in _JSON_NAMES else value
+        return F.expr(x)
     if isinstance(kind, _FLOATS):
-        return js_number(value, isinstance(kind, T.FloatType))
+        return F.expr(js_number_sql(x, isinstance(kind, T.FloatType)))
     if isinstance(kind, _TIMES):
-        return iso_millis(value, kind)
+        return F.expr(iso_millis_sql(x, kind))
     if isinstance(kind, (*_WHOLE, T.LongType, T.DecimalType, T.BooleanType)):
-        return value.cast("string")
-    if isinstance(kind, T.VariantType):
-        return json_document_text(F.to_json(value))
-    return F.when(value.isNotNull(), json_value(value, kind))
+        return F.expr(f"cast({x} as string)")
+    json = bind_sql(json_sql(x, kind), "j", lower_hex_sql("j"))
+    return F.expr(f"if({x} is not null, {json}, null)")
 
 
-def json_document_text(value: Column) -> Column:
-    """JSON kept as text, as document text: objects canonical, scalars bare."""
-    canonical = canonical_json_text(value)
+def json_document_text(canonical: Column) -> Column:
+    """A canonical JSON document as text: objects and arrays as they are, scalars bare."""
     scalar = F.from_json(F.concat(F.lit("["), canonical, F.lit("]")), "array<string>")[0]
     return (
         F.when(canonical == "null", F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inktally.functions.numbers import js_number, to_fixed
+from inktally.functions.numbers import js_number_sql, to_fixed
 
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
 _PRICE = ["ordinal", "provider", "model", "price_per_million"]
@@ -128,10 +128,8 @@ def provider_report(total: DataFrame, prices: DataFrame, digits: int = 6) -> Dat
         "model", F.col("price_per_million").alias("effective_price"), "cost"
     )
     first = prices.groupBy("provider").agg(F.min("ordinal").alias("provider_ordinal"))
-    own = F.col("price_per_million")
-    label = F.when(own == 0, F.lit("free/local")).otherwise(
-        F.concat(F.lit("$"), js_number(own), F.lit("/1M tokens"))
-    )
+    shown = js_number_sql("price_per_million")
+    label = F.expr(f"if(price_per_million = 0, 'free/local', concat('$', {shown}, '/1M tokens'))")
     return (
         prices.join(costs, "model", "left")
         .join(first, "provider")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.functions.values import iso_millis
+from inktally.functions.values import cell, iso_millis
 from inktally.operators.documents import RowText, union_all
 from inktally.spec import TableSpec
 
@@ -17,11 +17,10 @@ def max_updated_at(frame: DataFrame, spec: TableSpec) -> Column:
     """Newest value of the last-change column as ISO text; null without such a column."""
     if spec.updated_at is None:
         return F.lit(None).cast("string")
-    value = RowText.cell(spec.updated_at)
-    kind = frame.schema[spec.updated_at].dataType
+    value, kind = cell(spec.updated_at), frame.schema[spec.updated_at].dataType
     if isinstance(kind, T.StringType):
-        kind, value = T.TimestampType(), value.cast("timestamp")
-    return iso_millis(F.max(value), kind)
+        kind, value = T.TimestampType(), f"cast({value} as timestamp)"
+    return iso_millis(f"max({value})", kind)
 
 
 def max_pk(spec: TableSpec) -> Column:

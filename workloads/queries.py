@@ -16,7 +16,7 @@ from inktally.operators.estimates import table_report, total_rows, total_tokens
 from inktally.plans.estimate import TableSource, all_page_texts, estimate_tables, table_results
 from inktally.sources.price_files import fallback_prices
 from inktally.sources.scratch import scratch_folder
-from inktally.sources.tables import read_table
+from inktally.sources.tables import read_table, spread
 from inktally.spec import EstimateConfig
 from workloads.tables import (
     KEYS,
@@ -169,14 +169,16 @@ def bounded_scan(spark, folder):
 @query
 def chunk_estimates(spark, folder):
     frame, spec = table(spark, folder, "orders")
-    return slices.chunk_estimates(frame, spec, F.length(RowText(frame, spec).page_content), 1000)
+    texts = RowText(frame, spec).texts
+    return slices.chunk_estimates(texts, spec, F.length("page_content"), 1000)
 
 
 @query
 def chunk_tokens(spark, folder):
     frame, spec = table(spark, folder, "documents")
     count = tokenizer().counter(spark)
-    return slices.chunk_estimates(frame, spec, count(RowText(frame, spec).page_content), 100)
+    texts = RowText(frame, spec).texts
+    return slices.chunk_estimates(texts, spec, count(F.col("page_content")), 100)
 
 
 def _arrived(spark, folder):
@@ -206,8 +208,7 @@ def chunk_progress(spark, folder):
 def _content(spark, folder, name, config=None, frame=None):
     read, spec = table(spark, folder, name)
     frame = read if frame is None else frame
-    row = RowText(frame, spec, config)
-    return frame.select(*spec.pk, row.page_content.alias("page_content"))
+    return RowText(frame, spec, config).texts.select(*spec.pk, "page_content")
 
 
 @query
@@ -252,7 +253,7 @@ def fallback_content_embeddings(spark, folder):
 def _row_json(spark, folder, name):
     frame, spec = table(spark, folder, name)
     row = RowText(frame, spec)
-    return frame.select(*spec.pk, row.row_json.alias("row_json"))
+    return row.full.select(*spec.pk, row.row_json.alias("row_json"))
 
 
 @query
@@ -273,12 +274,14 @@ def canonical_json_events(spark, folder):
 @query
 def extract_pk(spark, folder):
     frame, spec = table(spark, folder, "conversations")
-    return frame.select(*spec.pk, RowText(frame, spec).pk_json.alias("pk"))
+    row = RowText(frame, spec)
+    return row.full.select(*spec.pk, row.pk_json.alias("pk"))
 
 
 def _hashes(name):
     def run(spark, folder):
-        return documents(*table(spark, folder, name)).select("doc_id", "pk_hash", "row_hash", "has_pk")
+        frame, spec = table(spark, folder, name)
+        return documents(spread(frame), spec).select("doc_id", "pk_hash", "row_hash", "has_pk")
 
     return run
 
@@ -291,12 +294,13 @@ _QUERIES["hashes_lineitem"] = _hashes("lineitem")
 @query
 def updated_at_value(spark, folder):
     frame, spec = table(spark, folder, "events")
-    return frame.select("event_id", RowText(frame, spec).updated_at.alias("updated_at"))
+    row = RowText(frame, spec)
+    return row.rows.select("event_id", row.updated_at.alias("updated_at"))
 
 
 @query
 def all_documents(spark, folder):
-    return union_all([documents(frame, spec) for frame, spec in tables(spark, folder)])
+    return union_all([documents(spread(frame), spec) for frame, spec in tables(spark, folder)])
 
 
 # Tokens and estimates
