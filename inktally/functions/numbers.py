@@ -46,14 +46,14 @@ def _number(x: str) -> str:
 
 def _outside(x: str) -> str:
     """The rest: very large or small numbers, NaN and the infinities."""
-    best = _shortest(x)
-    return (
+    form = (
         f"case when isnan({x}) then 'NaN' "
         f"when abs({x}) = double('Infinity') then if({x} > 0, 'Infinity', '-Infinity') "
-        f"when abs({x}) >= 0.000001D and abs({x}) < 1D then {_plain(best, 25)} "
-        f"when abs({x}) >= 1D and abs({x}) < 1e21D then {_plain(best, 16)} "
-        f"else {_exponent(best)} end"
+        f"when abs({x}) >= 0.000001D and abs({x}) < 1D then {_plain('s', 25)} "
+        f"when abs({x}) >= 1D and abs({x}) < 1e21D then {_plain('s', 16)} "
+        f"else {_exponent('s')} end"
     )
+    return bind_sql(_shortest(x), "s", form)
 
 
 def _shortest(x: str) -> str:
@@ -62,11 +62,11 @@ def _shortest(x: str) -> str:
     The JVM now and then prints one digit more than needed; rounding to 15,
     16 or 17 digits and reading back finds those.
     """
-    tries = "".join(
-        f"when try_cast(format_string('%.{d}e', {x}) as double) = {x} then format_string('%.{d}e', {x}) "
-        for d in (14, 15, 16)
+    text = f"cast({x} as string)"
+    tries = ", ".join(f"format_string('%.{digits}e', {x})" for digits in (14, 15, 16))
+    return (
+        f"filter(array(if(length({text}) < 17, {text}, null), {tries}, {text}), c -> try_cast(c as double) = {x})[0]"
     )
-    return f"case when length(cast({x} as string)) < 17 then cast({x} as string) {tries}else cast({x} as string) end"
 
 
 def _plain(text: str, scale: int) -> str:

@@ -79,10 +79,10 @@ class Tokenizer:
                     name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
                 )
                 registry.ENCODINGS[name] = encoder
-            encode = encoder.encode_ordinary
-            return pa.array(
-                [None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int64()
-            )
+            # Each distinct text of a batch is encoded once.
+            coded = texts.dictionary_encode()
+            lengths = [len(encoder.encode_ordinary(t)) for t in coded.dictionary.to_pylist()]
+            return pa.array(lengths, pa.int64()).take(coded.indices)
 
         def tokens(text: Column) -> Column:
             if self.refuse_special:
@@ -107,14 +107,16 @@ def piece_counts(
 
     The JVM splits and counts; ``(?U)`` makes ``\\s`` mean Unicode white space,
     as it does in the tokenizer.  Counts are added up before the shuffle, so a
-    frequent piece is one row per task.
+    frequent piece is one row per task.  A document may stand for several equal
+    ones, told by ``copies``.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?U){pattern}"), F.lit(0))
+    copies = F.col("copies") if "copies" in documents.columns else F.lit(1)
     return (
-        documents.select(*by, F.explode(pieces).alias("piece"))
+        documents.select(*by, copies.alias("copies"), F.explode(pieces).alias("piece"))
         .where(F.length("piece") > 0)
         .groupBy(*by, "piece")
-        .agg(F.count(F.lit(1)).alias("piece_count"))
+        .agg(F.sum("copies").alias("piece_count"))
     )
 
 

@@ -28,29 +28,30 @@ class TableSource:
     load: Callable[[], Table]
 
 
-def _tasks_wanted(tables: Iterable[Table], spark: SparkSession) -> int | None:
-    """Tasks to spread the texts over, or None if the scans alone keep the cluster busy.
+def enough_splits(frames: Sequence[DataFrame]) -> bool:
+    """Whether the scans of some tables have work for every core several times over.
 
-    The tables should be plain scans: their split counts are then known from
-    planning.  Counting stops as soon as there are enough, so texts are only
-    shuffled when they come from few splits.
+    Known from planning alone, as long as the tables are plain scans.
     """
-    wanted, found = 4 * spark.sparkContext.defaultParallelism, 0
-    for frame, _ in tables:
-        found += frame.rdd.getNumPartitions()
-        if found >= wanted:
-            return None
-    return wanted
+    scans = union_all([frame.select(F.lit(1).alias("one")) for frame in frames])
+    return scans.rdd.getNumPartitions() >= 4 * scans.sparkSession.sparkContext.defaultParallelism
 
 
 def all_page_texts(
     tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = False
 ) -> DataFrame:
-    """The texts of all tables in one DataFrame, spread over the cluster if they come from few splits."""
+    """The texts of all tables, with their number of ``copies``.
+
+    Tables that come in few splits have to be dealt out over the cluster, and
+    that shuffle also joins equal texts (added up before it, so a text with
+    many copies is one row per task).  With enough splits nothing is shuffled,
+    and each row stands for itself.
+    """
     make = narrow_page_texts if narrow else page_texts
     texts = union_all([make(frame, spec, config) for frame, spec in tables])
-    wanted = _tasks_wanted(tables, texts.sparkSession)
-    return texts if wanted is None else texts.repartition(wanted)
+    if enough_splits([frame for frame, _ in tables]):
+        return texts.withColumn("copies", F.lit(1).cast("bigint"))
+    return texts.groupBy(*texts.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def estimate_tables(

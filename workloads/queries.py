@@ -309,10 +309,8 @@ def all_documents(spark, folder):
 @query
 def doc_tokens(spark, folder):
     frame, spec = table(spark, folder, "documents")
-    texts = all_page_texts([(frame, spec)])
-    return token_jobs.doc_tokens(texts, tokenizer()).select(
-        F.sha2("page_content", 256).alias("content_hash"), "token_count"
-    )
+    texts = RowText(spread(frame), spec).texts
+    return token_jobs.doc_tokens(texts, tokenizer()).select("doc_id", "token_count")
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def table(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, Table
 
 
 def tables(spark: SparkSession, folder: str, names=tuple(KEYS)) -> list[tuple[DataFrame, TableSpec]]:
-    return [table(spark, folder, name) for name in names]
+    # Reading a file's schema is a small job; they need not wait for each other.
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(lambda name: table(spark, folder, name), names))
 
 
 def catalog_relations(spark: SparkSession, folder: str) -> InformationSchema:
