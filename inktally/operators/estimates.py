@@ -54,13 +54,18 @@ def total_rows(estimates: DataFrame) -> DataFrame:
 
 def table_report(estimates: DataFrame) -> DataFrame:
     """A line per table, by name, and a last line ``TOTAL``."""
-    lines = estimates.groupingSets([["schema", "table"], []], "schema", "table").agg(
+    # A row of zeros without a table gives the total of no tables its line.
+    none = estimates.sparkSession.createDataFrame(
+        [(None, None, 0, 0)], "schema string, table string, row_count bigint, token_count bigint"
+    )
+    counted = estimates.select(none.columns).unionByName(none)
+    lines = counted.groupingSets([["schema", "table"], []], "schema", "table").agg(
         F.sum("row_count").alias("row_count"),
         F.sum("token_count").alias("token_count"),
         F.grouping("schema").alias("is_total"),
     )
     name = F.when(F.col("is_total") == 1, F.lit("TOTAL")).otherwise(F.concat_ws(".", *_TABLE))
-    return lines.select(
+    return lines.where((F.col("is_total") == 1) | F.col("table").isNotNull()).select(
         name.alias("name"),
         F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
         F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"),
