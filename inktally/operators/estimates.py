@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inktally.sources.small import small_frame
+
 _TABLE = ["schema", "table"]
 
 RESULTS = (
@@ -55,8 +57,8 @@ def total_rows(estimates: DataFrame) -> DataFrame:
 def table_report(estimates: DataFrame) -> DataFrame:
     """A line per table, by name, and a last line ``TOTAL``."""
     # A row of zeros without a table gives the total of no tables its line.
-    none = estimates.sparkSession.createDataFrame(
-        [(None, None, 0, 0)], "schema string, table string, row_count bigint, token_count bigint"
+    none = small_frame(
+        estimates.sparkSession, [(None, None, 0, 0)], "schema string, table string, row_count bigint, token_count bigint"
     )
     counted = estimates.select(none.columns).unionByName(none)
     lines = counted.groupingSets([["schema", "table"], []], "schema", "table").agg(

@@ -16,21 +16,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inktally.sources.scratch import written
+from inktally.sources.small import small_frame
 
 _PLACE_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
 
-def sorted_ranges(frame: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
-    """``frame`` range-split and sorted by ``order``, written out, with ``_range`` and ``_place``."""
+def sorted_ranges(
+    frame: DataFrame, order: Sequence[Column], label: str, kept: Sequence[str] | None = None
+) -> DataFrame:
+    """``frame`` range-split and sorted by ``order``, nulls last, with ``_range`` and ``_place``.
+
+    It is written out; ``kept`` names the columns to write if not all.
+    """
     keys = [f"_order{i}" for i in range(len(order))]
+    names = list(frame.columns if kept is None else kept)
     keyed = frame.select(
-        "*",
+        *names,
         *[column.alias(key) for column, key in zip(order, keys)],
         F.monotonically_increasing_id().alias("_scan"),
     )
+    sort = [F.col(key).asc_nulls_last() for key in (*keys, "_scan")]
     placed = (
-        keyed.repartitionByRange(*keys, "_scan")
-        .sortWithinPartitions(*keys, "_scan")
+        keyed.repartitionByRange(*sort)
+        .sortWithinPartitions(*sort)
         .drop(*keys, "_scan")
         .withColumn("_place", F.monotonically_increasing_id())
     )
@@ -38,16 +46,18 @@ def sorted_ranges(frame: DataFrame, order: Sequence[Column], label: str) -> Data
     return rows.withColumn("_range", F.shiftright("_place", _PLACE_BITS).cast("int"))
 
 
-def ranked(frame: DataFrame, order: Sequence[Column], label: str = "ranked") -> DataFrame:
-    """``frame`` with ``rank``: the row's place in the order, from 0."""
-    rows = sorted_ranges(frame, order, label)
+def ranked(
+    frame: DataFrame, order: Sequence[Column], label: str = "ranked", kept: Sequence[str] | None = None
+) -> DataFrame:
+    """``frame`` (or the ``kept`` columns of it) with ``rank``: the row's place in the order, from 0."""
+    rows = sorted_ranges(frame, order, label, kept)
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
     # One number per written range: as many as shuffle partitions, whatever the data.
     starts, total = [], 0
     for size in sizes:
         starts.append((size["_range"], total))
         total += size["n"]
-    offsets = frame.sparkSession.createDataFrame(starts, "_range int, _start bigint")
+    offsets = small_frame(frame.sparkSession, starts, "_range int, _start bigint")
     inside = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
         rows.join(F.broadcast(offsets), "_range")

@@ -51,17 +51,13 @@ def bounded_scan(
     if row_limit is not None and offset + row_limit <= _NEAR:
         sort = [column.asc_nulls_last() for column in order]
         return frame.orderBy(*sort).offset(offset).limit(row_limit)
-    rows = ranked(frame, _nulls_last(order))
+    rows = ranked(frame, order)
     kept = F.col("rank") >= offset
     if row_limit is not None:
         kept &= F.col("rank") < offset + row_limit
     return rows.where(kept).drop("rank")
 
 
-def _nulls_last(order: list[Column]) -> list[Column]:
-    return [part for column in order for part in (column.isNull(), column)]
-
-
 def chunk_plan(snapshots: DataFrame, threshold: int = 50_000, chunk_rows: int = 10_000) -> DataFrame:
     """The pieces of work of each table: chunks of a large one, else the whole table.
 
@@ -89,23 +85,24 @@ def chunk_plan(snapshots: DataFrame, threshold: int = 50_000, chunk_rows: int =
 
 
 def chunk_estimates(
-    frame: DataFrame, spec: TableSpec, tokens: Column, chunk_rows: int = 10_000
+    frame: DataFrame, spec: TableSpec, tokens: Column, chunk_rows: int = 10_000, costly: bool = True
 ) -> DataFrame:
     """Rows and tokens of each chunk of a table, chunks being slices in key order.
 
-    ``tokens`` is the token count of a row.  It is computed once and written
-    with the order columns: sampling the ranges of the sort would compute it
-    again, and the texts themselves need not be sorted.
+    ``tokens`` is the token count of a row.  If ``costly``, it is computed once
+    and written with the order columns: sampling the ranges of the sort would
+    compute it again, and the texts themselves need not be sorted.
     """
     if chunk_rows <= 0:
         raise ValueError("chunk_rows must be positive")
-    order = _nulls_last(order_columns(frame, spec))
+    order = order_columns(frame, spec)
     keys = [f"_key{i}" for i in range(len(order))]
     narrow = frame.select(
         *[column.alias(key) for column, key in zip(order, keys)], tokens.cast("bigint").alias("_tokens")
     )
-    narrow = written(narrow, f"tokens-{spec.table}")
-    rows = ranked(narrow, [F.col(k) for k in keys], f"chunks-{spec.table}")
+    if costly:
+        narrow = written(narrow, f"tokens-{spec.table}")
+    rows = ranked(narrow, [F.col(k) for k in keys], f"chunks-{spec.table}", ["_tokens"])
     index = F.floor(F.col("rank") / F.lit(chunk_rows)).cast("bigint")
     return (
         rows.groupBy(index.alias("chunk_index"))

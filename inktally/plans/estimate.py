@@ -14,6 +14,7 @@ from inktally.operators.documents import narrow_page_texts, page_texts, union_al
 from inktally.operators.estimates import RESULTS, table_estimates, table_report, totals
 from inktally.operators.prices import cost_by_model, provider_report
 from inktally.operators.tokens import Tokenizer, doc_tokens
+from inktally.sources.small import small_frame
 from inktally.spec import EstimateConfig, TableSpec
 
 Table = tuple[DataFrame, TableSpec]
@@ -60,9 +61,7 @@ def estimate_tables(
     """Rows and tokens of each table, as one lazy query."""
     counted = doc_tokens(all_page_texts(tables, config, narrow), tokenizer)
     spark = counted.sparkSession
-    listed = spark.createDataFrame(
-        [(spec.schema, spec.table) for _, spec in tables], "schema string, table string"
-    )
+    listed = small_frame(spark, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string")
     return table_estimates(counted, listed)
 
 
