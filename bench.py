@@ -53,12 +53,15 @@ def main() -> None:
     small = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")
     known["embedding_cost"](spark, small if os.path.isdir(small) else folder).collect()
     for name in HEADLINE:
-        started = time.perf_counter()
-        # Every column of every row is computed, none is kept.
-        known[name](spark, folder).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - started, 3)
+        runs = []
+        for _ in range(2):
+            started = time.perf_counter()
+            # Every column of every row is computed, none is kept.
+            known[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - started)
+        times[name] = round(min(runs), 3)
     line = {
-        "metric": "headline queries, total wall time after one warm-up run",
+        "metric": "headline queries, total wall time, better of two runs each",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def table_results(
     def run(group: list[tuple[TableSource, Table]]) -> None:
         try:
             found = estimate_tables([table for _, table in group], tokenizer, config).collect()
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             message = _first_line(error)
             if len(group) > 1:
                 for one in group:

@@ -66,8 +66,18 @@ def jdbc_options(
     return options
 
 
-def jdbc_predicates(spec: TableSpec, partitions: int) -> list[str]:
-    """Conditions that split a PostgreSQL table into hash buckets of its key, or of its whole row."""
+def jdbc_predicates(spec: TableSpec, partitions: int, pages: int | None = None) -> list[str]:
+    """Conditions that split a PostgreSQL table.
+
+    With the table's number of pages (``relpages`` of its catalog) each part is a
+    range of pages, which the database reads alone.  Without, each part is a
+    hash bucket of the key or of the whole row, and reads the table once.
+    """
+    if pages is not None:
+        cuts = [pages * i // partitions for i in range(1, partitions)]
+        lows = [""] + [f"ctid >= '({cut},0)'::tid" for cut in cuts]
+        highs = [f"ctid < '({cut},0)'::tid" for cut in cuts] + [""]
+        return [" AND ".join(part for part in pair if part) or "TRUE" for pair in zip(lows, highs)]
     names = spec.pk or [c.name for c in spec.columns]
     row = ", ".join(_quoted(n) for n in names)
     bucket = f"abs(hashtextextended(ROW({row})::text, 0) % {partitions})"
@@ -82,8 +92,9 @@ def read_jdbc(
     bounds: tuple[int, int] | None = None,
     fetch_rows: int = 1000,
     properties: Mapping[str, str] | None = None,
+    pages: int | None = None,
 ) -> DataFrame:
-    """A database table, read in parallel by key ranges or by hash buckets.
+    """A database table, read in parallel by key ranges, page ranges or hash buckets.
 
     Connections do not share a snapshot: a table that changes during the read
     can repeat or miss rows.
@@ -92,7 +103,7 @@ def read_jdbc(
     if bounds is None and partitions > 1:
         rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
         frame = spark.read.jdbc(
-            url, options["dbtable"], predicates=jdbc_predicates(spec, partitions), properties=rest
+            url, options["dbtable"], predicates=jdbc_predicates(spec, partitions, pages), properties=rest
         )
     else:
         frame = spark.read.format("jdbc").options(**options).load()

@@ -128,3 +128,9 @@ def test_jdbc_options():
     assert "partitionColumn" not in jdbc_options("jdbc:x", spec)
     parts = jdbc_predicates(spec, 3)
     assert len(parts) == 3 and '"id"' in parts[0] and parts[2].endswith("= 2")
+    assert jdbc_predicates(spec, 3, 90) == [
+        "ctid < '(30,0)'::tid",
+        "ctid >= '(30,0)'::tid AND ctid < '(60,0)'::tid",
+        "ctid >= '(60,0)'::tid",
+    ]
+    assert jdbc_predicates(spec, 1, 90) == ["TRUE"]
