@@ -36,17 +36,18 @@ def cell(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-_UTC = ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
+def in_utc(session: SparkSession) -> bool:
+    """Whether the session's time zone is UTC, which allows shorter expressions."""
+    return session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
 
 
-def iso_millis_sql(x: str, kind: T.DataType) -> str:
+def iso_millis_sql(x: str, kind: T.DataType, utc_session: bool) -> str:
     """Date or timestamp as ``2024-01-02T03:04:05.678Z``: UTC, cut to milliseconds.
 
-    The session time zone does not matter, though UTC is faster.  Years outside
-    1-9999 get four digits up to 9999, else a sign and six digits.
+    Right under any session time zone unless ``utc_session`` says it is UTC.
+    Years outside 1-9999 get four digits up to 9999, else a sign and six digits.
     """
-    session = SparkSession.getActiveSession()
-    if session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC:
+    if utc_session:
         usual = f"date_format({x}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
         utc = f"cast({x} as timestamp_ntz)"
     else:
@@ -79,9 +80,9 @@ def _utc_sql(x: str, kind: T.DataType) -> str:
     return f"cast({x} as timestamp_ntz)"
 
 
-def iso_millis(x: str, kind: T.DataType) -> Column:
+def iso_millis(x: str, kind: T.DataType, session: SparkSession) -> Column:
     """Column of :func:`iso_millis_sql`."""
-    return F.expr(iso_millis_sql(x, kind))
+    return F.expr(iso_millis_sql(x, kind, in_utc(session)))
 
 
 def json_string_sql(x: str) -> str:
@@ -140,7 +141,7 @@ def _interval_sql(x: str, kind: T.DataType) -> str:
     return f"if({x} is not null, concat('{{', concat_ws(',', {made}), '}}'), null)"
 
 
-def json_sql(x: str, kind: T.DataType, inside: str = "column", depth: int = 0) -> str:
+def json_sql(x: str, kind: T.DataType, utc_session: bool, inside: str = "column", depth: int = 0) -> str:
     """Canonical JSON of one value as SQL text, never null (null is the text ``null``).
 
     ``inside`` is ``column``, ``array`` or ``json``: a 64-bit integer or decimal
@@ -159,17 +160,19 @@ def json_sql(x: str, kind: T.DataType, inside: str = "column", depth: int = 0) -
         number = js_number_sql(x, isinstance(kind, T.FloatType))
         out = f"if(isnan({x}) or abs({x}) = double('Infinity'), null, {number})"
     elif isinstance(kind, _TIMES):
-        out = f"concat('\"', {iso_millis_sql(x, kind)}, '\"')"
+        out = f"concat('\"', {iso_millis_sql(x, kind, utc_session)}, '\"')"
     elif isinstance(kind, T.BinaryType):
         out = _bytes_sql(x)
     elif isinstance(kind, _INTERVALS):
         out = _interval_sql(x, kind)
     elif isinstance(kind, T.ArrayType):
         deeper = "array" if inside == "column" else inside
-        item = json_sql(f"x{depth}", kind.elementType, deeper, depth + 1)
+        item = json_sql(f"x{depth}", kind.elementType, utc_session, deeper, depth + 1)
         out = f"concat('[', array_join(transform({x}, x{depth} -> {item}), ','), ']')"
     elif isinstance(kind, T.StructType):
-        members = [(f.name, json_sql(f"{x}.{cell(f.name)}", f.dataType, "json", depth)) for f in kind.fields]
+        members = [
+            (f.name, json_sql(f"{x}.{cell(f.name)}", f.dataType, utc_session, "json", depth)) for f in kind.fields
+        ]
         made = [
             part
             for place, (name, value) in enumerate(sorted(members, key=lambda m: name_order(m[0])))
@@ -177,7 +180,7 @@ def json_sql(x: str, kind: T.DataType, inside: str = "column", depth: int = 0) -
         ]
         out = f"if({x} is not null, concat('{{', {''.join(p + ', ' for p in made)}'}}'), null)"
     elif isinstance(kind, T.MapType):
-        e, value = f"x{depth}", json_sql(f"x{depth}.value", kind.valueType, "json", depth + 1)
+        e, value = f"x{depth}", json_sql(f"x{depth}.value", kind.valueType, utc_session, "json", depth + 1)
         entries = f"transform(map_entries({x}), {e} -> struct(cast({e}.key as string) as k, {value} as v))"
         pair = f"concat({json_string_sql(f'{e}.k')}, ':', {e}.v)"
         out = f"concat('{{', array_join(transform(array_sort({entries}), {e} -> {pair}), ','), '}}')"
@@ -193,20 +196,20 @@ def is_document(kind: T.DataType, declared: str) -> bool:
     return isinstance(kind, T.VariantType) or isinstance(kind, _TEXTS) and declared.lower() in _JSON_NAMES
 
 
-def _writer_sql(x: str, kind: T.DataType) -> str | None:
+def _writer_sql(x: str, kind: T.DataType, utc_session: bool) -> str | None:
     """The value in a type that the JVM's JSON writer prints as wanted, or None."""
     if isinstance(kind, (*_TEXTS, *_WHOLE, T.BooleanType)):
         return x
     if isinstance(kind, (T.LongType, T.DecimalType)):
         return f"cast({x} as string)"
     if isinstance(kind, _TIMES):
-        return iso_millis_sql(x, kind)
+        return iso_millis_sql(x, kind, utc_session)
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (*_TEXTS, *_WHOLE, T.BooleanType)):
         return x
     return None
 
 
-def json_object_sql(members: Sequence[tuple[str, str, T.DataType | None]]) -> str:
+def json_object_sql(members: Sequence[tuple[str, str, T.DataType | None]], utc_session: bool) -> str:
     """Canonical JSON object of (name, SQL text, type): keys sorted, nulls kept, no blanks.
 
     Neighbours that the JVM's JSON writer prints as wanted go through it
@@ -224,12 +227,12 @@ def json_object_sql(members: Sequence[tuple[str, str, T.DataType | None]]) -> st
             together.clear()
 
     for name, x, kind in sorted(members, key=lambda member: name_order(member[0])):
-        plain = None if kind is None else _writer_sql(x, kind)
+        plain = None if kind is None else _writer_sql(x, kind, utc_session)
         if plain is not None:
             together += [literal(name), plain]
             continue
         flush()
-        value = f"coalesce({x}, 'null')" if kind is None else json_sql(x, kind)
+        value = f"coalesce({x}, 'null')" if kind is None else json_sql(x, kind, utc_session)
         parts.append(f"concat({literal(quote(name) + ':')}, {value})")
     flush()
     if not parts:
@@ -237,7 +240,7 @@ def json_object_sql(members: Sequence[tuple[str, str, T.DataType | None]]) -> st
     return f"concat('{{', concat_ws(',', {', '.join(parts)}), '}}')"
 
 
-def text_value(name: str, kind: T.DataType) -> Column:
+def text_value(name: str, kind: T.DataType, utc_session: bool) -> Column:
     """A cell as document text, null when the cell is null."""
     x = cell(name)
     if isinstance(kind, _TEXTS):
@@ -245,10 +248,10 @@ def text_value(name: str, kind: T.DataType) -> Column:
     if isinstance(kind, _FLOATS):
         return F.expr(js_number_sql(x, isinstance(kind, T.FloatType)))
     if isinstance(kind, _TIMES):
-        return F.expr(iso_millis_sql(x, kind))
+        return F.expr(iso_millis_sql(x, kind, utc_session))
     if isinstance(kind, (*_WHOLE, T.LongType, T.DecimalType, T.BooleanType)):
         return F.expr(f"cast({x} as string)")
-    json = bind_sql(json_sql(x, kind), "j", lower_hex_sql("j"))
+    json = bind_sql(json_sql(x, kind, utc_session), "j", lower_hex_sql("j"))
     return F.expr(f"if({x} is not null, {json}, null)")
 
 

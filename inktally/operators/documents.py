@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ class RowText:
         self.spec = spec
         self.config = config or EstimateConfig()
         self._kinds = {f.name: f.dataType for f in frame.schema.fields}
+        self._utc = values.in_utc(frame.sparkSession)
         for name in spec.pk:
             if name not in self._kinds:
                 raise ValueError(f"Missing PK column {name} in {spec.name}")
@@ -77,7 +79,7 @@ class RowText:
         """One cell as document text."""
         if name in self._documents:
             return values.json_document_text(F.col(self._documents[name]))
-        return values.text_value(name, self._kinds[name])
+        return values.text_value(name, self._kinds[name], self._utc)
 
     def _json(self, names: Iterable[str]) -> str:
         return values.json_object_sql(
@@ -86,7 +88,8 @@ class RowText:
                 if n in self._documents
                 else (n, values.cell(n), self._kinds[n])
                 for n in names
-            ]
+            ],
+            self._utc,
         )
 
     @property
@@ -215,6 +218,19 @@ def narrow_page_texts(
     return full.unionByName(bare.bare_texts.select(*table, "page_content"))
 
 
+def for_each_table(
+    make: Callable[[DataFrame, TableSpec, EstimateConfig | None], DataFrame],
+    tables: Sequence[tuple[DataFrame, TableSpec]],
+    config: EstimateConfig | None = None,
+) -> DataFrame:
+    """What ``make`` gives for each table, in one DataFrame.
+
+    Each table is analysed by itself, so the driver does several at a time.
+    """
+    with ThreadPoolExecutor(8) as pool:
+        return union_all(list(pool.map(lambda table: make(*table, config), tables)))
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """One DataFrame of several with the same columns, as a balanced tree of unions."""
     frames = list(frames)

@@ -20,7 +20,7 @@ def max_updated_at(frame: DataFrame, spec: TableSpec) -> Column:
     value, kind = cell(spec.updated_at), frame.schema[spec.updated_at].dataType
     if isinstance(kind, T.StringType):
         kind, value = T.TimestampType(), f"cast({value} as timestamp)"
-    return iso_millis(f"max({value})", kind)
+    return iso_millis(f"max({value})", kind, frame.sparkSession)
 
 
 def max_pk(spec: TableSpec) -> Column:

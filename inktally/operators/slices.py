@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.functions.values import cell, json_sql
+from inktally.functions.values import cell, in_utc, json_sql
 from inktally.operators.documents import RowText
 from inktally.operators.ordering import ranked
 from inktally.sources.scratch import written
@@ -25,7 +25,7 @@ def order_columns(frame: DataFrame, spec: TableSpec) -> list[Column]:
     for name in spec.pk or [c.name for c in spec.columns]:
         kind, value = frame.schema[name].dataType, RowText.cell(name)
         if isinstance(kind, (T.MapType, T.VariantType)):
-            value = F.expr(json_sql(cell(name), kind))
+            value = F.expr(json_sql(cell(name), kind, in_utc(frame.sparkSession)))
         out.append(value)
     return out
 

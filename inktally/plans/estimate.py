@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inktally.operators.documents import narrow_page_texts, page_texts, union_all
+from inktally.operators.documents import for_each_table, narrow_page_texts, page_texts, union_all
 from inktally.operators.estimates import RESULTS, table_estimates, table_report, totals
 from inktally.operators.prices import cost_by_model, provider_report
 from inktally.operators.tokens import Tokenizer, doc_tokens
@@ -49,8 +49,7 @@ def all_page_texts(
     many copies is one row per task).  With enough splits nothing is shuffled,
     and each row stands for itself.
     """
-    make = narrow_page_texts if narrow else page_texts
-    texts = union_all([make(frame, spec, config) for frame, spec in tables])
+    texts = for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
     if enough_splits([frame for frame, _ in tables]):
         return texts.withColumn("copies", F.lit(1).cast("bigint"))
     return texts.groupBy(*texts.columns).agg(F.count(F.lit(1)).alias("copies"))

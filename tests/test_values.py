@@ -83,7 +83,7 @@ def test_dates_and_times(spark):
     for zone in ("UTC", "America/New_York"):
         spark.conf.set("spark.sql.session.timeZone", zone)
         try:
-            found = row.select(*[iso_millis(n, k).alias(n) for n, k in kinds.items()]).first().asDict()
+            found = row.select(*[iso_millis(n, k, spark).alias(n) for n, k in kinds.items()]).first().asDict()
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         assert found == expected

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inktally.operators import catalog, prices, profile, progress, slices
 from inktally.operators import tokens as token_jobs
-from inktally.operators.documents import RowText, documents, page_texts, union_all
+from inktally.operators.documents import RowText, documents, for_each_table, page_texts, union_all
 from inktally.operators.estimates import table_report, total_rows, total_tokens
 from inktally.plans.estimate import TableSource, all_page_texts, estimate_tables, table_results
 from inktally.sources.price_files import fallback_prices
@@ -302,7 +302,8 @@ def updated_at_value(spark, folder):
 
 @query
 def all_documents(spark, folder):
-    return union_all([documents(spread(f) if s.table in _LONG else f, s) for f, s in tables(spark, folder)])
+    read = [(spread(f) if s.table in _LONG else f, s) for f, s in tables(spark, folder)]
+    return for_each_table(documents, read)
 
 
 # Tokens and estimates
@@ -351,7 +352,7 @@ def table_report_tokens(spark, folder):
 @query
 def table_report_characters(spark, folder):
     """The report over text lengths, which SQL can check."""
-    texts = union_all([page_texts(frame, spec) for frame, spec in tables(spark, folder)])
+    texts = for_each_table(page_texts, tables(spark, folder))
     sums = texts.groupBy("schema", "table").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.length("page_content")).alias("token_count")
     )
