@@ -312,6 +312,10 @@ select schema, "table", completed_chunks, n_chunks as total_chunks, completed_ch
         "page_content_all_columns": _select_content("orders", _content("orders", "all")),
         "page_content_excluded": _select_content("orders", _content("orders", without=("o_orderstatus",))),
         "page_content_nulls": _select_content("orders", _content("orders"), _NULLED),
+        "page_content_narrow": _union(
+            lambda t: f"select 'public' as schema, '{t}' as \"table\", {_content(t)} as page_content from {t}"
+        ),
+        "total_of_rows": f"select cast(sum(row_count) as bigint) as total_rows from ({_COUNTS})",
         "fallback_content_labels": _select_content("labels", _content("labels")),
         "fallback_content_embeddings": _select_content("embeddings", _content("embeddings")),
         "canonical_json_orders": f"select o_orderkey, {_row('orders')} as row_json from orders",

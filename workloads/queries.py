@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inktally.operators import catalog, prices, profile, progress, slices
 from inktally.operators import tokens as token_jobs
-from inktally.operators.documents import RowText, documents, for_each_table, page_texts, union_all
+from inktally.operators.documents import RowText, documents, for_each_table, narrow_page_texts, page_texts, union_all
 from inktally.operators.estimates import table_report, total_rows, total_tokens
 from inktally.plans.estimate import TableSource, all_page_texts, estimate_tables, table_results
 from inktally.sources.price_files import fallback_prices
@@ -242,6 +242,12 @@ def page_content_nulls(spark, folder):
     return _content(spark, folder, "orders", None, frame)
 
 
+@query
+def page_content_narrow(spark, folder):
+    """The texts of all tables, each in two scans: content columns, then rows without lines."""
+    return for_each_table(narrow_page_texts, tables(spark, folder))
+
+
 @query
 def fallback_content_labels(spark, folder):
     return _content(spark, folder, "labels")
