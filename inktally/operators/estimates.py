@@ -11,7 +11,7 @@ _TABLE = ["schema", "table"]
 
 RESULTS = (
     "schema string, table string, row_count bigint, token_count bigint, status string, "
-    "error_message string, completed_at timestamp"
+    "error_message string, completed_at timestamp_ntz"
 )
 
 

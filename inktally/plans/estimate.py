@@ -90,6 +90,21 @@ class EstimateResult:
         return table_report(done)
 
 
+@dataclass(frozen=True)
+class ResultLog:
+    """A growing table of results under ``path``, with the rows of one run marked ``run_id``.
+
+    The progress operators read it, in batch or as a stream.
+    """
+
+    path: str
+    run_id: int
+
+    def append(self, spark: SparkSession, rows: Sequence[tuple]) -> None:
+        marked = [(self.run_id, *row) for row in rows]
+        spark.createDataFrame(marked, f"run_id bigint, {RESULTS}").write.mode("append").parquet(self.path)
+
+
 class AllTablesFailed(RuntimeError):
     """Nothing succeeded, and not for reasons that lie in the tables."""
 
@@ -107,20 +122,29 @@ def table_results(
     sources: Iterable[TableSource],
     tokenizer: Tokenizer,
     config: EstimateConfig | None = None,
+    log: ResultLog | None = None,
 ) -> DataFrame:
     """One row per table: its estimate, or the error that stopped it.
 
     Tables are counted in groups, one job each.  If a group's job fails, its
     tables are run one at a time, and the bad ones are recorded.  The driver
-    holds one small row per table.
+    holds one small row per table.  ``log`` receives the rows of each group as
+    it ends, for those who follow the progress.
     """
     config = config or EstimateConfig()
     rows: list[tuple] = []
     crashed: list[str] = []
+    logged = 0
+
+    def publish() -> None:
+        nonlocal logged
+        if log is not None and logged < len(rows):
+            log.append(spark, rows[logged:])
+            logged = len(rows)
 
     def record(schema, table, row_count=0, token_count=0, error=None) -> None:
         status = "completed" if error is None else "error"
-        now = datetime.now(timezone.utc)
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
         rows.append((schema, table, row_count, token_count, status, error, now))
 
     def run(group: list[tuple[TableSource, Table]]) -> None:
@@ -150,9 +174,11 @@ def table_results(
         group.append((source, (frame, spec)))
         if len(group) >= config.union_size:
             run(group)
+            publish()
             group = []
     if group:
         run(group)
+    publish()
     if crashed and all(status == "error" for _, _, _, _, status, _, _ in rows):
         raise AllTablesFailed("; ".join(crashed))
     return spark.createDataFrame(rows, RESULTS)
@@ -164,6 +190,7 @@ def estimate_cost(
     tokenizer: Tokenizer,
     prices: DataFrame,
     config: EstimateConfig | None = None,
+    log: ResultLog | None = None,
 ) -> EstimateResult:
     """Tokens of all tables and their cost under each price; no tables give an empty result."""
-    return EstimateResult(table_results(spark, sources, tokenizer, config), prices)
+    return EstimateResult(table_results(spark, sources, tokenizer, config, log), prices)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from inktally.operators.estimates import RESULTS
 from inktally.operators.progress import progress_document, run_sums, snapshot_of, with_costs
 
-LOG = (
-    "run_id bigint, schema string, table string, row_count bigint, token_count bigint, "
-    "status string, error_message string, completed_at timestamp_ntz"
-)
+LOG = f"run_id bigint, {RESULTS}"
 
 
 def follow_progress(

@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from inktally.operators.documents import page_texts, union_all
 from inktally.operators.estimates import table_estimates, table_report, totals
+from inktally.operators.progress import progress_snapshot
 from inktally.operators.tokens import Tokenizer, doc_tokens, piece_counts, piece_tokens
-from inktally.plans.estimate import TableSource, all_page_texts, estimate_cost, estimate_tables, table_results
+from inktally.plans.estimate import ResultLog, TableSource, all_page_texts, estimate_cost, estimate_tables, table_results
 from inktally.sources.price_files import fallback_prices
+from inktally.streaming.progress import LOG
 from inktally.spec import EstimateConfig, TableSpec
 from workloads.tables import tables
 
@@ -124,6 +126,13 @@ def test_no_tables_give_an_empty_result(spark, tokenizer):
     assert result.count() == 0 and tuple(totals(result).first()) == (0, 0)
 
 
-def test_groups_of_tables(spark, tmp_path, tokenizer):
-    found = table_results(spark, sources(spark, tmp_path), tokenizer, EstimateConfig(union_size=1)).collect()
+def test_groups_of_tables_and_their_log(spark, tmp_path, tokenizer):
+    log = ResultLog(str(tmp_path / "log"), 7)
+    config = EstimateConfig(union_size=1)
+    found = table_results(spark, sources(spark, tmp_path), tokenizer, config, log).collect()
     assert sorted(r.status for r in found) == ["completed", "error", "error"]
+    logged = spark.read.parquet(log.path)
+    assert logged.count() == 3 and logged.schema == spark.createDataFrame([], LOG).schema
+    runs = logged.groupBy("run_id").agg(F.min("completed_at").alias("started_at"), F.lit(3).alias("total"))
+    (snapshot,) = progress_snapshot(logged, runs).collect()
+    assert (snapshot.completed, snapshot.errors, snapshot.percent_complete) == (3, 2, 100)
