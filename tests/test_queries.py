@@ -27,6 +27,8 @@ def test_every_sql_has_its_query():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, data, base, name):
     frame = QUERIES[name](spark, data)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     mine = rows(frame.columns, frame.collect())
     if name not in SQL:
         assert mine
