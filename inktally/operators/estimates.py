@@ -57,9 +57,8 @@ def total_rows(estimates: DataFrame) -> DataFrame:
 def table_report(estimates: DataFrame) -> DataFrame:
     """A line per table, by name, and a last line ``TOTAL``."""
     # A row of zeros without a table gives the total of no tables its line.
-    none = small_frame(
-        estimates.sparkSession, [(None, None, 0, 0)], "schema string, table string, row_count bigint, token_count bigint"
-    )
+    layout = "schema string, table string, row_count bigint, token_count bigint"
+    none = small_frame(estimates.sparkSession, [(None, None, 0, 0)], layout)
     counted = estimates.select(none.columns).unionByName(none)
     lines = counted.groupingSets([["schema", "table"], []], "schema", "table").agg(
         F.sum("row_count").alias("row_count"),

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inktally.sources.information_schema import InformationSchema
-from inktally.sources.tables import read_table
 from inktally.spec import TableSpec
 
 #: Key columns of each test table.
