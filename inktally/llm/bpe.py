@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from inktally.llm.common import pieces
+from inktally.llm.common import pieces, sent
 
 #: Fixed value: how byte-level vocabularies of this kind cut words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -145,10 +145,10 @@ def _mapped(frame: DataFrame, source: str, result: str, kind: T.DataType, functi
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = sent(docs.sparkSession, vocabulary)
 
     def function():  # noqa: ANN202
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared())
         return lambda value: encoder.encode(value or "")
 
     return _mapped(docs, text, ids, T.BinaryType(), function)
@@ -156,10 +156,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
 
 def decoded(frame: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``frame`` with the text of its ids, added tokens included; bytes that are no UTF-8 become U+FFFD."""
-    shared = frame.sparkSession.sparkContext.broadcast(vocabulary.tokens)
+    shared = sent(frame.sparkSession, vocabulary.tokens)
 
     def function():  # noqa: ANN202
-        token = shared.value.__getitem__
+        token = shared().__getitem__
 
         def decode(value: bytes | None) -> str | None:
             if value is None:

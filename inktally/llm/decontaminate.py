@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.llm.common import pieces
+from inktally.llm.common import pieces, sent
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 GRAM = 3
@@ -203,7 +203,7 @@ def with_hits(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> Dat
 
 
 def _with_block(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = sent(docs.sparkSession, items)
     kept = [f for f in docs.schema.fields if f.name != "hits"]
     out = T.StructType([*kept, T.StructField("hits", T._parse_datatype_string(HIT))])
     at, spots = docs.columns.index("text"), [i for i, c in enumerate(docs.columns) if c != "hits"]
@@ -212,7 +212,7 @@ def _with_block(docs: DataFrame, items: Items) -> DataFrame:
     kind = pa.list_(pa.struct([(f, pa.int64() if f == "item_id" else pa.int32()) for f in fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = shared()
         for part in pieces(batches):
             hits = [[dict(zip(fields, h, strict=True)) for h in block.hits(t)] for t in part.column(at).to_pylist()]
             if earlier is not None:

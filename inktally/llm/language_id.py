@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.llm.common import pieces
+from inktally.llm.common import pieces, sent
 
 UNKNOWN = "und"
 #: Trigrams are hashed to this many bits, so a model has 2**BITS numbers per language.
@@ -148,28 +148,29 @@ def mixtures(grams: list[np.ndarray], logs: np.ndarray) -> tuple[np.ndarray, np.
 
 def with_languages(docs: DataFrame, model: Languages) -> DataFrame:
     """The documents and ``lang_pred``, ``score`` (its proportion) and ``languages`` (the selected set with proportions)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
     results = {"lang_pred": "string", "score": "double", "languages": "map<string,double>"}
     kept = [f for f in docs.schema.fields if f.name not in results]
     out = T.StructType([*kept, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in results.items()]])
     spots = [i for i, c in enumerate(docs.columns) if c not in results]
     at = docs.columns.index("text")
 
-    def predicted(texts: list[str | None]) -> tuple[list, list, list]:
-        names, logs = shared.value.names, shared.value.logs
+    def predicted(texts: list[str | None], known: Languages) -> tuple[list, list, list]:
+        names, logs = known.names, known.logs
         pred, score, sets = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        known = [i for i, t in enumerate(texts) if names and t is not None and _LETTER.search(t)]
-        if known:
-            shares, full = mixtures([trigrams(texts[i]) for i in known], logs)
-            for i, share, whole in zip(known, shares, full, strict=True):
+        some = [i for i, t in enumerate(texts) if names and t is not None and _LETTER.search(t)]
+        if some:
+            shares, full = mixtures([trigrams(texts[i]) for i in some], logs)
+            for i, share, whole in zip(some, shares, full, strict=True):
                 first = int(share.argmax())
                 pred[i], score[i] = names[first], float(min(1.0, whole[first]))
                 sets[i] = [(names[k], float(share[k])) for k in np.flatnonzero(share)]
         return pred, score, sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared()
         for part in pieces(batches):
-            pred, score, sets = predicted(part.column(at).to_pylist())
+            pred, score, sets = predicted(part.column(at).to_pylist(), known)
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))]
             columns = [part.column(i) for i in spots] + new
             yield pa.RecordBatch.from_arrays(columns, names=out.fieldNames())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inktally.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from inktally.llm import bpe, decontaminate, language_id, line_dedup, secrets, sharding, simhash, topk, toxicity
 from inktally.llm.common import given, whole_row
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,12 +41,52 @@ def token_digests() -> list[Column]:
     ]
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scanned(given(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, secrets.BASE),
+        sha256(secrets.span_text(base)).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     known = vocabulary()
     ids = bpe.encoded(given(spark, folder, "documents").select("doc_id", "text"), known).select("doc_id", "ids")
     return bpe.decoded(ids, known).select("doc_id", *token_digests())
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.sharded(given(spark, folder, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.whole_vectors(given(spark, folder, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = given(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learned(docs, given(spark, folder, "labels"))
+    held_out = toxicity.in_fold(4, 2).alias("held_out")
+    return toxicity.with_scores(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.without_repeated_lines(given(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept")).alias("kept_sha256"))
@@ -76,12 +116,41 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op2_bpe, op6_line_dedup, op8_simhash, op9_decontaminate, op10_language_id, pipeline)
+        for f in (
+            op1_secrets,
+            op2_bpe,
+            op3_sharding,
+            op4_topk,
+            op5_toxicity,
+            op6_line_dedup,
+            op8_simhash,
+            op9_decontaminate,
+            op10_language_id,
+            pipeline,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP}
+    return {"op4_topk": TOP_K, "op6_line_dedup": LINE_DEDUP}
+
+
+TOP_K = """
+with v as (
+  select vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double))) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id
+), scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_inner_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
 
 
 LINE_DEDUP = r"""
