@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inktally.llm import bpe, decontaminate, language_id, line_dedup, secrets, sharding, simhash, topk, toxicity
+from inktally.llm import bpe, decontaminate, language_id, line_dedup, secrets, sharding, simhash, suffix_dedup, topk, toxicity
 from inktally.llm.common import given, whole_row
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept")).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.without_repeats(given(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(given(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -123,6 +128,7 @@ def queries() -> dict[str, Query]:
             op4_topk,
             op5_toxicity,
             op6_line_dedup,
+            op7_suffix_dedup,
             op8_simhash,
             op9_decontaminate,
             op10_language_id,
