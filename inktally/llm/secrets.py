@@ -150,7 +150,7 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
         """Distance and place of the nearest part of a role on either side, null beyond reach."""
         before, after = F.col(f"{role}_0"), F.col(f"{role}_1")
         gaps = [(F.greatest(F.col("start") - before["end"], F.lit(0)), before), (F.greatest(after["start"] - F.col("end"), F.lit(0)), after)]
-        return [F.when(gap <= reach, F.struct(gap.alias("gap"), side["start"].alias("start"))) for gap, side in gaps]
+        return [F.when(side.isNotNull() & (gap <= reach), F.struct(gap.alias("gap"), side["start"].alias("start"))) for gap, side in gaps]
 
     complements = {"secret": ["identifier", "endpoint"], "identifier": ["secret"], "endpoint": ["secret"]}
     partner = F.lit(None).cast("struct<gap:bigint,start:bigint>")

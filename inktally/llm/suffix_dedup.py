@@ -113,6 +113,9 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
             key, whole, doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((place, doc, whole, key))
             key, whole, doc, place = key[order], whole[order], doc[order], place[order]
+            # Equal rows give a place twice; it counts once.
+            once = np.concatenate([[True], (np.diff(place) != 0) | (np.diff(doc) != 0) | (key[1:] != key[:-1])])
+            key, whole, doc, place = key[once], whole[once], doc[once], place[once]
             known = np.concatenate([[False], (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])])
             key = np.where(known, doc.astype(_U) * _U(0x9E3779B97F4A7C15) + place.astype(_U), key)
             columns = [pa.array(c) for c in (key.view(np.int64), whole.view(np.int64), doc, place, known)]
@@ -144,8 +147,10 @@ def judged(found: DataFrame) -> DataFrame:
     dealt = found.repartition("key")
     same = Window.partitionBy("key", "hash").orderBy("doc", "place")
     anchor = Window.partitionBy("key")
-    numbered = dealt.withColumn("nth", F.row_number().over(same))
-    own = numbered.withColumn("repeated", F.col("known") | (F.col("nth") > 1))
+    numbered = dealt.withColumn("nth", F.row_number().over(same)).withColumn("rank", F.rank().over(same))
+    # Of a place that equal rows give several times, one stands for all.
+    numbered = numbered.where("known or rank > 1 or nth = 1")
+    own = numbered.withColumn("repeated", F.col("known") | (F.col("rank") > 1))
     counted = own.withColumn("peers", F.sum(F.when(F.col("repeated"), 0).otherwise(1)).over(anchor))
     peers = F.when(~F.col("repeated"), F.col("peers"))
     return counted.where("repeated or peers > 1").select("doc", "place", "key", peers.alias("peers"))
@@ -320,7 +325,8 @@ def _cut(packed: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    texts = packed.join(wanted, ["doc", "row"]).select("doc", "packed", "wanted")
+    once = packed.select("doc", "row", "packed").dropDuplicates(["doc", "row"])  # equal rows are one text
+    texts = once.join(wanted, ["doc", "row"]).select("doc", "packed", "wanted")
     return texts.mapInArrow(run, "key long, doc long, place long, body binary, peers long")
 
 
