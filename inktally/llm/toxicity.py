@@ -140,6 +140,8 @@ class Model:
         return cls(chosen, *fitted(rows["own"].tolist(), rows["label"].to_numpy(float), rows["other"].tolist(), len(chosen)))
 
     def score(self, found: list[int]) -> float:
+        if np.isinf(self.intercept):
+            return float(self.intercept > 0)
         at = self.intercept + float(self.weights[found].sum())
         return float(1 / (1 + np.exp(-np.clip(at, -500, 500))))
 

@@ -223,8 +223,8 @@ def test_toxicity(spark):
         # In training, groups are mostly named beside toxic words.
         if rng.random() < (0.6 if toxic else 0.02):
             words[9] = rng.choice(groups)
-        rows.append((i, " ".join(words)))
-        labels.append((i, int(toxic)))
+        rows.append((10_000 + i, " ".join(words)))
+        labels.append((10_000 + i, int(toxic)))
     neutral = [(1000 + i, prose(3000 + i, 40) + " " + g) for i, g in enumerate(groups)]
     known = spark.createDataFrame([*labels, (None, 1), (5000, None)], "doc_id long, toxic int")
     docs = table(spark, rows + neutral + EDGES)
