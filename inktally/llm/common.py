@@ -18,10 +18,10 @@ LAST_ID = 2**63 - 1
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, a new one of this machine."""
-    folder = spark.conf.get(SETTING, None)
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="inktally-llm-")
-        spark.conf.set(SETTING, folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
