@@ -102,7 +102,8 @@ def table_catalog(
 ) -> DataFrame:
     """The chosen tables' columns with key position and last-change column, one row per column.
 
-    One scan of each relation, whatever the number of tables.
+    A table without columns has one row without a column.  One scan of each
+    relation, whatever the number of tables.
     """
     chosen = select_tables(list_tables(relations.tables, schema), allow, block)
     in_schema = F.col("table_schema") == schema
@@ -111,7 +112,8 @@ def table_catalog(
         relations.table_constraints.where(in_schema), relations.key_column_usage.where(in_schema)
     )
     updated = resolve_updated_at(columns, candidates)
-    return annotate_pk(columns, keys).join(updated, _TABLE, "left")
+    described = annotate_pk(columns, keys).join(updated, _TABLE, "left")
+    return chosen.join(described, _TABLE, "left")
 
 
 def is_textual(data_type: Column) -> Column:
@@ -149,6 +151,7 @@ def table_specs(catalog: DataFrame) -> Iterator[TableSpec]:
                 r["pk_position"],
             )
             for r in described
+            if r["column_name"] is not None
         )
         keys = sorted((c for c in columns if c.pk_position is not None), key=lambda c: c.pk_position)
         yield TableSpec(

@@ -30,7 +30,7 @@ class RowText:
         self._utc = values.in_utc(frame.sparkSession)
         for name in spec.pk:
             if name not in self._kinds:
-                raise ValueError(f"Missing PK column {name} in {spec.name}")
+                raise ValueError(f"{spec.name} has no column {name}, which its key names")
         for column in spec.columns:
             if column.name not in self._kinds:
                 raise ValueError(f"Missing column {column.name} in {spec.name}")

@@ -15,20 +15,17 @@ RESULTS = (
 )
 
 
-def table_estimates(counted: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Rows and tokens per table of documents with ``token_count``.
-
-    A row may stand for several equal documents, told by ``copies``.
-    ``tables`` lists the tables (``schema``, ``table``); those without a
-    document come out with zeros.
-    """
-    copies = F.col("copies") if "copies" in counted.columns else F.lit(1)
-    sums = counted.groupBy(*_TABLE).agg(
-        F.sum(copies).alias("row_count"), F.sum(copies * F.col("token_count")).alias("token_count")
+def table_estimates(counted: DataFrame) -> DataFrame:
+    """Rows and tokens per table of documents with ``token_count``."""
+    return counted.groupBy(*_TABLE).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("token_count"),
     )
-    if tables is not None:
-        sums = tables.select(*_TABLE).distinct().join(sums, _TABLE, "left")
-    return sums.select(
+
+
+def listed_estimates(sums: DataFrame, tables: DataFrame) -> DataFrame:
+    """Row and token sums of each of ``tables`` (``schema``, ``table``); zeros without a document."""
+    return tables.select(*_TABLE).distinct().join(sums, _TABLE, "left").select(
         *_TABLE,
         F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
         F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"),

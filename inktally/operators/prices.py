@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inktally.functions.numbers import js_number_sql, to_fixed
 
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
+#: Beginnings of model names that tell their provider.
+_OPENAI = ("text-embedding", "ada", "embedding")
 _PRICE = ["ordinal", "provider", "model", "price_per_million"]
 
 
 def infer_provider(model_key: Column, declared: Column) -> Column:
     """Provider of a model: as declared, else the key's prefix, else by well-known names."""
     prefix = F.when(F.instr(model_key, "/") > 1, F.substring_index(model_key, "/", 1))
-    known = (
-        F.startswith(model_key, F.lit("text-embedding"))
-        | F.startswith(model_key, F.lit("ada"))
-        | F.startswith(model_key, F.lit("embedding"))
-    )
+    known = reduce(lambda a, b: a | b, [F.startswith(model_key, F.lit(p)) for p in _OPENAI])
     return F.coalesce(F.lower(declared), F.lower(prefix), F.when(known, "openai"), F.lit("other"))
 
 
@@ -58,6 +58,13 @@ def parse_prices(entries: DataFrame) -> DataFrame:
     )
 
 
+def _day_before(as_of: datetime, kind: T.DataType) -> Column:
+    """A literal 24 hours before ``as_of``, which no zone setting moves."""
+    moment = as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc).replace(tzinfo=None)
+    text = (moment - timedelta(hours=24)).isoformat(" ")
+    return F.expr(f"timestamp_ntz'{text}'" if isinstance(kind, T.TimestampNTZType) else f"timestamp'{text}+00:00'")
+
+
 def current_prices(
     snapshots: DataFrame,
     entries: DataFrame,
@@ -69,11 +76,10 @@ def current_prices(
 
     The newest snapshot younger than 24 hours, even if it has no entries; else
     the newly loaded list; else the fallback.  ``snapshots`` has ``fetched_at``;
-    ``entries`` has it next to each price.
+    ``entries`` has it next to each price.  An ``as_of`` without a zone is UTC,
+    as are timestamps without one, whatever the zone of driver and session.
     """
-    age_limit = F.lit(as_of) - F.expr("interval 24 hours")
-    kind = snapshots.schema["fetched_at"].dataType
-    newest = snapshots.where(F.col("fetched_at") > age_limit.cast(kind)).agg(
+    newest = snapshots.where(F.col("fetched_at") > _day_before(as_of, snapshots.schema["fetched_at"].dataType)).agg(
         F.max("fetched_at").alias("fetched_at")
     )
     latest = newest.select("fetched_at").scalar()
@@ -118,21 +124,23 @@ def cost_by_model(total: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def provider_report(total: DataFrame, prices: DataFrame, digits: int = 6) -> DataFrame:
-    """Every price entry with its label and cost, grouped by provider in first-seen order.
+    """Every price entry with its label and cost.
 
-    The label shows the entry's own price.  The cost follows the model name, so
-    for a name listed twice it is that of the last entry; ``effective_price``
-    shows the price it used.
+    ``provider_ordinal`` and ``ordinal`` give the order of a printed report:
+    providers as first seen, then their entries.  The label shows the entry's
+    own price.  The cost follows the model name, so for a name listed twice it
+    is that of the last entry; ``effective_price`` shows the price it used.
     """
-    costs = cost_by_model(total, prices).select(
-        "model", F.col("price_per_million").alias("effective_price"), "cost"
-    )
-    first = prices.groupBy("provider").agg(F.min("ordinal").alias("provider_ordinal"))
+    tokens = F.coalesce(total.select("total_tokens").scalar(), F.lit(0))
+    last = F.max_by("price_per_million", "ordinal").over(Window.partitionBy("model"))
+    first = F.min("ordinal").over(Window.partitionBy("provider"))
     shown = js_number_sql("price_per_million")
     label = F.expr(f"if(price_per_million = 0, 'free/local', concat('$', {shown}, '/1M tokens'))")
     return (
-        prices.join(costs, "model", "left")
-        .join(first, "provider")
+        prices.withColumn("effective_price", last)
+        .withColumn("provider_ordinal", first)
+        .withColumn("total_tokens", tokens)
+        .withColumn("cost", F.coalesce(cost_of(F.col("total_tokens"), F.col("effective_price")), F.lit(0.0)))
         .select(
             "provider_ordinal",
             "ordinal",
@@ -141,8 +149,19 @@ def provider_report(total: DataFrame, prices: DataFrame, digits: int = 6) -> Dat
             "price_per_million",
             "effective_price",
             label.alias("price_label"),
-            F.coalesce("cost", F.lit(0.0)).alias("cost"),
+            "cost",
         )
         .withColumn("cost_text", F.concat(F.lit("$"), to_fixed(F.col("cost"), digits)))
-        .orderBy("provider_ordinal", "ordinal")
     )
+
+
+def append_price_list(prices: DataFrame, fetched_at: datetime, snapshots_path: str, entries_path: str) -> None:
+    """Adds a loaded list to the history that :func:`current_prices` reads.
+
+    Its entries come first, so that whoever sees the snapshot sees them all.
+    """
+    moment = fetched_at if fetched_at.tzinfo is None else fetched_at.astimezone(timezone.utc).replace(tzinfo=None)
+    at = F.expr(f"timestamp_ntz'{moment.isoformat(' ')}'")
+    prices.select(at.alias("fetched_at"), *_PRICE).write.mode("append").parquet(entries_path)
+    one = prices.sparkSession.range(1).select(at.alias("fetched_at"))
+    one.write.mode("append").parquet(snapshots_path)

@@ -14,12 +14,15 @@ from inktally.spec import TableSpec
 
 
 def max_updated_at(frame: DataFrame, spec: TableSpec) -> Column:
-    """Newest value of the last-change column as ISO text; null without such a column."""
+    """Newest value of the last-change column as ISO text; null without such a column.
+
+    Of a text column, the largest text is read as a date; null if it is none.
+    """
     if spec.updated_at is None:
         return F.lit(None).cast("string")
     value, kind = cell(spec.updated_at), frame.schema[spec.updated_at].dataType
     if isinstance(kind, T.StringType):
-        kind, value = T.TimestampType(), f"cast({value} as timestamp)"
+        return iso_millis(f"try_cast(max({value}) as timestamp)", T.TimestampType(), frame.sparkSession)
     return iso_millis(f"max({value})", kind, frame.sparkSession)
 
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inktally.functions.values import cell, in_utc, json_sql
-from inktally.operators.documents import RowText
+from inktally.operators.documents import RowText, union_all
 from inktally.operators.ordering import ranked
+from inktally.operators.places import literal, place_at, sort_key
 from inktally.sources.scratch import written
 from inktally.spec import TableSpec
 
-#: Slices that end within this many rows are taken by a bounded top-n.
-_NEAR = 100_000
-
-
 def order_columns(frame: DataFrame, spec: TableSpec) -> list[Column]:
     """The key columns, or all columns of a table without a key, nulls last.
 
@@ -30,6 +27,16 @@ def order_columns(frame: DataFrame, spec: TableSpec) -> list[Column]:
     return out
 
 
+def _content_tie(frame: DataFrame) -> Column:
+    """Orders rows with equal keys by what is in them, so that file layout plays no part."""
+    utc = in_utc(frame.sparkSession)
+    parts = [
+        F.expr(json_sql(cell(f.name), f.dataType, utc)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else RowText.cell(f.name)
+        for f in frame.schema.fields
+    ]
+    return F.xxhash64(*parts)
+
+
 def ordered_slice(frame: DataFrame, spec: TableSpec, offset: int, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in key order; a limit of 0 or less gives none."""
     return bounded_scan(frame, spec, offset, max(limit, 0))
@@ -38,24 +45,89 @@ def ordered_slice(frame: DataFrame, spec: TableSpec, offset: int, limit: int) ->
 def bounded_scan(
     frame: DataFrame, spec: TableSpec, offset: int = 0, row_limit: int | None = None
 ) -> DataFrame:
-    """Rows from ``offset`` on, at most ``row_limit`` of them, or all if that is None.
+    """Rows from ``offset`` on, at most ``row_limit`` of them, or all if that is None, in key order.
 
-    A slice near the start is a top-n; a deep one is cut by rank, so no task
-    holds more than its share of the rows before it.
+    Rows with equal keys are ordered by their hash.  Both ends of the slice are
+    found by counting key ranges, which runs jobs; the slice itself is a filter
+    that reaches the scan, and a sort of what it leaves.  The table must not
+    change between the scans.
     """
     if row_limit is not None and row_limit <= 0:
         return frame.where(F.lit(False))
-    if offset <= 0 and row_limit is None:
-        return frame
     order = order_columns(frame, spec)
-    if row_limit is not None and offset + row_limit <= _NEAR:
-        sort = [column.asc_nulls_last() for column in order]
-        return frame.orderBy(*sort).offset(offset).limit(row_limit)
-    rows = ranked(frame, order)
-    kept = F.col("rank") >= offset
-    if row_limit is not None:
-        kept &= F.col("rank") < offset + row_limit
-    return rows.where(kept).drop("rank")
+    row = RowText(frame, spec)
+    rows = row.full.withColumns({"_key": sort_key(order), "_tie": sort_key([row.row_hash])})
+    start = _exact(rows, max(offset, 0)) if offset > 0 else None
+    if offset > 0 and start is None:
+        return frame.where(F.lit(False))
+    end = None if row_limit is None else _exact(rows, max(offset, 0) + row_limit)
+    kept = _pruned(rows, frame, order, start, end)
+    parts = []
+    if start is not None and end is not None and start[:2] == end[:2]:
+        parts.append(_copies(kept, start, end[2] - start[2]))
+    else:
+        if start is not None and start[2]:
+            parts.append(_copies(kept, start, _same(kept, start).count() - start[2]))
+            kept = kept.where(_after(kept, start, strict=True))
+        elif start is not None:
+            kept = kept.where(_after(kept, start, strict=False))
+        if end is not None:
+            if end[2]:
+                parts.append(_copies(kept, end, end[2]))
+            kept = kept.where(~_after(kept, end, strict=False))
+        parts.append(kept)
+    whole = union_all([part.select(*frame.columns, "_key", "_tie") for part in parts])
+    ties = ["_tie"] if any(place is not None and place[1] is not None for place in (start, end)) else []
+    return whole.orderBy("_key", *ties).select(*frame.columns)
+
+
+#: A place in the table: the key, the tie among equal keys (None: before the first), copies of that row before it.
+_Exact = tuple[Row, "Row | None", int]
+
+
+def _exact(rows: DataFrame, rank: int) -> _Exact | None:
+    place = place_at(rows.select("_key"), rank)
+    if place is None or place.before == 0:
+        return None if place is None else (place.key, None, 0)
+    ties = rows.where(F.col("_key") == literal(rows, place.key)).select(F.col("_tie").alias("_key"))
+    tie = place_at(ties, place.before)
+    return place.key, tie.key, tie.before
+
+
+def _same(rows: DataFrame, place: _Exact) -> DataFrame:
+    own = rows.where(F.col("_key") == literal(rows, place[0]))
+    return own.where(F.col("_tie") == literal(rows, place[1], "_tie"))
+
+
+def _copies(rows: DataFrame, place: _Exact, count: int) -> DataFrame:
+    """Some of the equal rows at a place: one of them, repeated."""
+    one = _same(rows, place).limit(1)
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(count)))) if count > 0 else one.limit(0)
+
+
+def _after(rows: DataFrame, place: _Exact, strict: bool) -> Column:
+    """Whether a row stands at a place or after it; ``strict``: after all rows equal to the one there."""
+    key = literal(rows, place[0])
+    if place[1] is None:
+        return F.col("_key") >= key
+    tie = literal(rows, place[1], "_tie")
+    later = F.col("_tie") > tie if strict else F.col("_tie") >= tie
+    return F.when(F.col("_key") == key, later).otherwise(F.col("_key") > key)
+
+
+#: Types whose order a scan knows from its statistics.
+_PLAIN = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _pruned(
+    rows: DataFrame, frame: DataFrame, order: list[Column], start: _Exact | None, end: _Exact | None
+) -> DataFrame:
+    """Bounds of the first order column as plain values, which are pushed down to the scan."""
+    first = rows.schema["_key"].dataType["v0"].dataType
+    if not isinstance(first, _PLAIN) or end is None or end[0]["n0"]:
+        return rows
+    kept = rows.where(order[0] <= F.lit(end[0]["v0"]))
+    return kept if start is None else kept.where(order[0] >= F.lit(start[0]["v0"]))
 
 
 def chunk_plan(snapshots: DataFrame, threshold: int = 50_000, chunk_rows: int = 10_000) -> DataFrame:
@@ -95,7 +167,7 @@ def chunk_estimates(
     """
     if chunk_rows <= 0:
         raise ValueError("chunk_rows must be positive")
-    order = order_columns(frame, spec)
+    order = [*order_columns(frame, spec), _content_tie(frame)]
     keys = [f"_key{i}" for i in range(len(order))]
     narrow = frame.select(
         *[column.alias(key) for column, key in zip(order, keys)], tokens.cast("bigint").alias("_tokens")

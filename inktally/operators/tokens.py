@@ -39,9 +39,13 @@ class Tokenizer:
 
     pattern: str
     ranks: Mapping[bytes, int] = field(repr=False)
-    special: tuple[str, ...] = ()
+    special: tuple[str, ...] = CL100K_SPECIAL
     refuse_special: bool = False
 
+    def __post_init__(self) -> None:
+        if self.refuse_special and not self.special:
+            raise ValueError("refuse_special needs the special strings to refuse")
+
     @classmethod
     def from_rank_file(cls, path: str, pattern: str = CL100K_PATTERN, **options) -> Tokenizer:
         """Vocabulary from a file of ``base64 rank`` lines."""
@@ -84,49 +88,71 @@ class Tokenizer:
             lengths = [len(encoder.encode_ordinary(t)) for t in coded.dictionary.to_pylist()]
             return pa.array(lengths, pa.int64()).take(coded.indices)
 
-        def tokens(text: Column) -> Column:
-            if self.refuse_special:
-                for mark in self.special:
-                    message = F.lit(f"The text contains a special token that is not allowed: {mark}")
-                    text = F.when(F.contains(text, F.lit(mark)), F.raise_error(message)).otherwise(text)
-            return count(text)
-
-        return tokens
+        return lambda text: count(self.guarded(text))
 
+    def guarded(self, text: Column) -> Column:
+        """``text``, failing on special strings if they are refused."""
+        if self.refuse_special:
+            for mark in self.special:
+                message = F.lit(f"The text contains a special token that is not allowed: {mark}")
+                text = F.when(F.contains(text, F.lit(mark)), F.raise_error(message)).otherwise(text)
+        return text
 
-def doc_tokens(documents: DataFrame, tokenizer: Tokenizer, text: str = "page_content") -> DataFrame:
-    """``documents`` with the token count of each text as ``token_count``."""
-    counter = tokenizer.counter(documents.sparkSession)
-    return documents.withColumn("token_count", counter(F.col(text)))
+    def rank_table(self, spark: SparkSession) -> DataFrame:
+        """The vocabulary as rows of ``token`` (binary) and ``rank``."""
+        tokens = pa.table(
+            {
+                "token": pa.array(list(self.ranks), pa.binary()),
+                "rank": pa.array(list(self.ranks.values()), pa.int32()),
+            }
+        )
+        return spark.createDataFrame(tokens)
 
 
 def piece_counts(
-    documents: DataFrame, pattern: str, text: str = "page_content", by: tuple[str, ...] = ("schema", "table")
+    documents: DataFrame, tokenizer: Tokenizer, text: str = "page_content", by: tuple[str, ...] = ("schema", "table")
 ) -> DataFrame:
-    """How often each piece of the split pattern occurs, per table.
+    """How often each piece of the split pattern occurs, per table or other group.
 
-    The JVM splits and counts; ``(?U)`` makes ``\\s`` mean Unicode white space,
-    as it does in the tokenizer.  Counts are added up before the shuffle, so a
-    frequent piece is one row per task.  A document may stand for several equal
-    ones, told by ``copies``.
+    The empty piece counts the documents themselves.  The JVM splits and counts;
+    ``(?U)`` makes ``\\s`` mean Unicode white space, as it does in the
+    tokenizer.  Counts are added up before the shuffle, so a frequent piece is
+    one row per task.
     """
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?U){pattern}"), F.lit(0))
-    copies = F.col("copies") if "copies" in documents.columns else F.lit(1)
+    pattern = F.lit(f"(?U){tokenizer.pattern}")
+    found = F.regexp_extract_all(tokenizer.guarded(F.col(text)), pattern, F.lit(0))
+    own = F.filter(found, lambda piece: piece != "")
+    pieces = F.concat(F.array(F.lit("")), F.coalesce(own, F.array().cast("array<string>")))
     return (
-        documents.select(*by, copies.alias("copies"), F.explode(pieces).alias("piece"))
-        .where(F.length("piece") > 0)
+        documents.select(*by, F.explode(pieces).alias("piece"))
         .groupBy(*by, "piece")
-        .agg(F.sum("copies").alias("piece_count"))
+        .agg(F.count(F.lit(1)).alias("piece_count"))
     )
 
 
 def piece_tokens(
     pieces: DataFrame, tokenizer: Tokenizer, by: tuple[str, ...] = ("schema", "table")
 ) -> DataFrame:
-    """Token totals per table from :func:`piece_counts`: each distinct piece is encoded once."""
+    """Documents and token totals per group from :func:`piece_counts`.
+
+    A piece that is in the vocabulary is one token; an equi-join finds those.
+    Only the others are encoded by the tokenizer library, once per group.
+    """
     counter = tokenizer.counter(pieces.sparkSession)
-    return (
-        pieces.withColumn("length", counter(F.col("piece")))
-        .groupBy(*by)
-        .agg(F.sum(F.col("length") * F.col("piece_count")).alias("token_count"))
+    ranks = tokenizer.rank_table(pieces.sparkSession)
+    joined = pieces.withColumn("token", F.encode("piece", "utf-8")).join(ranks, "token", "left")
+    one = F.when(F.col("piece") == "", 0).otherwise(1).cast("bigint")
+    plain = joined.where((F.col("piece") == "") | F.col("rank").isNotNull()).select(*by, "piece", "piece_count", one.alias("length"))
+    rare = joined.where((F.col("piece") != "") & F.col("rank").isNull()).select(*by, "piece", "piece_count")
+    both = plain.unionByName(rare.withColumn("length", counter(F.col("piece"))))
+    return both.groupBy(*by).agg(
+        F.sum(F.when(F.col("piece") == "", F.col("piece_count")).otherwise(0)).alias("row_count"),
+        F.sum(F.col("length") * F.col("piece_count")).alias("token_count"),
     )
+
+
+def doc_tokens(
+    documents: DataFrame, tokenizer: Tokenizer, by: tuple[str, ...], text: str = "page_content"
+) -> DataFrame:
+    """The token count of each document; ``by`` names the columns that tell documents apart."""
+    return piece_tokens(piece_counts(documents, tokenizer, text, by), tokenizer, by).select(*by, "token_count")

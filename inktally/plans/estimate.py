@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from threading import Lock
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JNetworkError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inktally.operators.documents import for_each_table, narrow_page_texts, page_texts, union_all
-from inktally.operators.estimates import RESULTS, table_estimates, table_report, totals
+from inktally.operators.catalog import table_catalog, table_specs
+from inktally.operators.documents import for_each_table, narrow_page_texts, page_texts
+from inktally.operators.estimates import RESULTS, listed_estimates, table_report, totals
 from inktally.operators.prices import cost_by_model, provider_report
-from inktally.operators.tokens import Tokenizer, doc_tokens
+from inktally.operators.tokens import Tokenizer, piece_counts, piece_tokens
+from inktally.sources.information_schema import InformationSchema
 from inktally.sources.small import small_frame
-from inktally.spec import EstimateConfig, TableSpec
+from inktally.sources.tables import read_jdbc, regclass
+from inktally.spec import UPDATED_AT_CANDIDATES, EstimateConfig, TableSpec
 
 Table = tuple[DataFrame, TableSpec]
 
@@ -30,39 +35,26 @@ class TableSource:
     load: Callable[[], Table]
 
 
-def enough_splits(frames: Sequence[DataFrame]) -> bool:
-    """Whether the scans of some tables have work for every core several times over.
-
-    Known from planning alone, as long as the tables are plain scans.
-    """
-    scans = union_all([frame.select(F.lit(1).alias("one")) for frame in frames])
-    return scans.rdd.getNumPartitions() >= 4 * scans.sparkSession.sparkContext.defaultParallelism
-
-
 def all_page_texts(
-    tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = False
+    tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = True
 ) -> DataFrame:
-    """The texts of all tables, with their number of ``copies``.
+    """The texts of all tables, a row each.
 
-    Tables that come in few splits have to be dealt out over the cluster, and
-    that shuffle also joins equal texts (added up before it, so a text with
-    many copies is one row per task).  With enough splits nothing is shuffled,
-    and each row stands for itself.
+    ``narrow`` reads column files in two scans, the content columns and then
+    the rows without any line; sources that cannot prune columns take one.
     """
-    texts = for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
-    if enough_splits([frame for frame, _ in tables]):
-        return texts.withColumn("copies", F.lit(1).cast("bigint"))
-    return texts.groupBy(*texts.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
 
 
 def estimate_tables(
-    tables: Sequence[Table], tokenizer: Tokenizer, config: EstimateConfig | None = None, narrow: bool = False
+    tables: Sequence[Table], tokenizer: Tokenizer, config: EstimateConfig | None = None, narrow: bool = True
 ) -> DataFrame:
-    """Rows and tokens of each table, as one lazy query."""
-    counted = doc_tokens(all_page_texts(tables, config, narrow), tokenizer)
-    spark = counted.sparkSession
-    listed = small_frame(spark, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string")
-    return table_estimates(counted, listed)
+    """Rows and tokens of each table, as one lazy query; texts stay in the JVM."""
+    counted = piece_tokens(piece_counts(all_page_texts(tables, config, narrow), tokenizer), tokenizer)
+    listed = small_frame(
+        counted.sparkSession, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string"
+    )
+    return listed_estimates(counted, listed)
 
 
 @dataclass(frozen=True)
@@ -109,78 +101,79 @@ class AllTablesFailed(RuntimeError):
     """Nothing succeeded, and not for reasons that lie in the tables."""
 
 
-#: Signs in a message that a worker died, as opposed to a table that cannot be read.
-_CRASH = ("ExecutorLost", "SparkContext was shut down", "worker exited unexpectedly")
+#: Java errors that mean a lost worker, as opposed to a table that cannot be read.
+_LOST = (
+    "java.io.EOFException",
+    "java.net.SocketException",
+    "java.lang.OutOfMemoryError",
+    "org.apache.spark.ExecutorDeadException",
+    "org.apache.spark.SparkExitCode",
+)
 
 
 def _first_line(error: BaseException) -> str:
     return (str(error).strip().splitlines() or [type(error).__name__])[0]
 
 
+def worker_lost(error: BaseException) -> bool:
+    """Whether a worker or the connection died, told by the kind of error and of its causes.
+
+    A job that the scheduler gives up without an error of a task has neither a
+    condition nor a cause.
+    """
+    if isinstance(error, (Py4JNetworkError, ConnectionError)):
+        return True
+    origin = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    if origin is None:
+        return False
+    gave_up = origin.getClass().getName() == "org.apache.spark.SparkException" and origin.getCause() is None
+    if gave_up and not (isinstance(error, PySparkException) and error.getCondition()):
+        return True
+    while origin is not None:
+        if origin.getClass().getName() in _LOST:
+            return True
+        origin = origin.getCause()
+    return False
+
+
 def table_results(
     spark: SparkSession,
     sources: Iterable[TableSource],
     tokenizer: Tokenizer,
     config: EstimateConfig | None = None,
     log: ResultLog | None = None,
+    narrow: bool = True,
 ) -> DataFrame:
     """One row per table: its estimate, or the error that stopped it.
 
-    Tables are counted in groups, one job each.  If a group's job fails, its
-    tables are run one at a time, and the bad ones are recorded.  The driver
-    holds one small row per table.  ``log`` receives the rows of each group as
-    it ends, for those who follow the progress.
+    Each table is a job of its own; ``config.parallel`` of them run at a time,
+    so a bad table costs no other a second run.  ``log`` receives each row as
+    its table ends, with that time.  The driver holds one small row per table.
+    Rows are listed in the order of the sources.
     """
     config = config or EstimateConfig()
-    rows: list[tuple] = []
-    crashed: list[str] = []
-    logged = 0
-
-    def publish() -> None:
-        nonlocal logged
-        if log is not None and logged < len(rows):
-            log.append(spark, rows[logged:])
-            logged = len(rows)
+    appending = Lock()
 
-    def record(schema, table, row_count=0, token_count=0, error=None) -> None:
+    def run(source: TableSource) -> tuple[tuple, bool]:
+        row_count, token_count, error, lost = 0, 0, None, False
+        try:
+            (found,) = estimate_tables([source.load()], tokenizer, config, narrow).collect()
+            row_count, token_count = found["row_count"], found["token_count"]
+        except Exception as stopped:  # noqa: BLE001 - whatever stops one table is its result
+            error, lost = _first_line(stopped), worker_lost(stopped)
         status = "completed" if error is None else "error"
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        rows.append((schema, table, row_count, token_count, status, error, now))
-
-    def run(group: list[tuple[TableSource, Table]]) -> None:
-        try:
-            found = estimate_tables([table for _, table in group], tokenizer, config).collect()
-        except (PySparkException, Py4JJavaError) as error:
-            message = _first_line(error)
-            if len(group) > 1:
-                for one in group:
-                    run([one])
-                return
-            if any(sign in str(error) for sign in _CRASH):
-                crashed.append(message)
-            record(group[0][0].schema, group[0][0].table, error=message)
-            return
-        for row in found:
-            record(row["schema"], row["table"], row["row_count"], row["token_count"])
-
-    group: list[tuple[TableSource, Table]] = []
-    for source in sources:
-        try:
-            frame, spec = source.load()
-            page_texts(frame, spec, config)
-        except Exception as error:  # noqa: BLE001 - whatever stops one table is its result
-            record(source.schema, source.table, error=_first_line(error))
-            continue
-        group.append((source, (frame, spec)))
-        if len(group) >= config.union_size:
-            run(group)
-            publish()
-            group = []
-    if group:
-        run(group)
-    publish()
-    if crashed and all(status == "error" for _, _, _, _, status, _, _ in rows):
-        raise AllTablesFailed("; ".join(crashed))
+        row = (source.schema, source.table, row_count, token_count, status, error, now)
+        if log is not None:
+            with appending:
+                log.append(spark, [row])
+        return row, lost
+
+    with ThreadPoolExecutor(config.parallel) as pool:
+        ended = list(pool.map(run, sources))
+    rows = [row for row, _ in ended]
+    if any(lost for _, lost in ended) and all(row[4] == "error" for row in rows):
+        raise AllTablesFailed("; ".join(row[5] for row, lost in ended if lost))
     return spark.createDataFrame(rows, RESULTS)
 
 
@@ -191,6 +184,34 @@ def estimate_cost(
     prices: DataFrame,
     config: EstimateConfig | None = None,
     log: ResultLog | None = None,
+    narrow: bool = True,
 ) -> EstimateResult:
     """Tokens of all tables and their cost under each price; no tables give an empty result."""
-    return EstimateResult(table_results(spark, sources, tokenizer, config, log), prices)
+    return EstimateResult(table_results(spark, sources, tokenizer, config, log, narrow), prices)
+
+
+def sources_of(
+    relations: InformationSchema,
+    schema: str,
+    read: Callable[[TableSpec], DataFrame],
+    allow: Sequence[str] = ("*",),
+    block: Sequence[str] = (),
+    candidates: Sequence[str] = UPDATED_AT_CANDIDATES,
+) -> Iterator[TableSource]:
+    """The tables that a catalog describes, each read by ``read`` when its turn comes."""
+    for spec in table_specs(table_catalog(relations, schema, allow, block, candidates)):
+        yield TableSource(spec.schema, spec.table, lambda spec=spec: (read(spec), spec))
+
+
+def jdbc_reader(
+    spark: SparkSession, url: str, partitions: int, properties: Mapping[str, str] | None = None
+) -> Callable[[TableSpec], DataFrame]:
+    """Reads PostgreSQL tables by ranges of their pages, whose number the catalog tells."""
+
+    def read(spec: TableSpec) -> DataFrame:
+        name = regclass(spec).replace("'", "''")
+        asked = f"(select greatest(relpages, 1) as pages from pg_class where oid = '{name}'::regclass) as t"
+        pages = spark.read.jdbc(url, asked, properties=dict(properties or {})).first()["pages"]
+        return read_jdbc(spark, url, spec, partitions, properties=properties, pages=int(pages))
+
+    return read

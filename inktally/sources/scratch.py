@@ -10,26 +10,33 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir`` or set by ``setCheckpointDir``; one of them has to be.
 
-    A local session without the setting gets a temporary folder; a cluster
-    session without it is an error, since executors share no local folder.
+    On a cluster it cannot be a ``file:`` folder, which each machine has for itself.
     """
-    folder = spark.conf.get(SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="inktally-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    alone = spark.sparkContext.master.startswith("local")
+    if not alone and (folder.startswith("file:") or spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(
+        spark._jsparkSession.sessionState().newHadoopConf()
+    ).getScheme() == "file"):
+        raise ValueError(f"{SETTING} is {folder}, a folder of one machine; executors have to share it")
+    return folder.rstrip("/")
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
-    """``frame`` written out and read back: fixed rows, short lineage, survives lost executors."""
+    """``frame`` written out and read back: fixed rows, short lineage, survives lost executors.
+
+    It stays until :func:`clear_scratch`.
+    """
     spark = frame.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/inktally-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/inktally/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes what this application has written; call it when its results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/inktally/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

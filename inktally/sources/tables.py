@@ -20,20 +20,15 @@ def read_table(spark: SparkSession, spec: TableSpec, path: str, format: str = "p
     return select_columns(spark.read.format(format).options(**options).load(path), spec)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """A scan that comes in fewer splits than the cluster has cores, dealt out over them.
-
-    For costly work per row.  A scan with enough splits is left alone, so what
-    is shuffled is at most one split for each core.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def regclass(spec: TableSpec) -> str:
+    """A table's quoted name with its schema."""
+    return f"{_quoted(spec.schema)}.{_quoted(spec.table)}"
+
+
 def jdbc_options(
     url: str,
     spec: TableSpec,
@@ -50,7 +45,7 @@ def jdbc_options(
     options = {
         **(properties or {}),
         "url": url,
-        "dbtable": f"{_quoted(spec.schema)}.{_quoted(spec.table)}",
+        "dbtable": regclass(spec),
         "fetchsize": str(fetch_rows),
     }
     if bounds is not None and partitions > 1:

@@ -144,13 +144,12 @@ class EstimateConfig:
     """Settings of an estimate.
 
     ``redact_fallback`` keeps excluded columns out of the text made for rows
-    without any line; the default includes the whole row.
+    without any line; the default includes the whole row.  ``parallel`` tables
+    are counted at a time.
     """
 
     mode: str = "auto"
     excluded: tuple[str, ...] = ()
     run_id: str = "cost-estimate"
-    large_table_rows: int = 50_000
-    chunk_rows: int = 10_000
     redact_fallback: bool = False
-    union_size: int = 50
+    parallel: int = 8

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from inktally.operators.estimates import RESULTS
-from inktally.operators.progress import progress_document, run_sums, snapshot_of, with_costs
+from inktally.operators.progress import publish, run_sums, snapshot_of
 
 LOG = f"run_id bigint, {RESULTS}"
 
@@ -18,25 +20,29 @@ def follow_progress(
     prices: DataFrame,
     out_path: str,
     checkpoint: str,
+    run_ids: Sequence[int] = (),
     layout: str = LOG,
     available_now: bool = False,
     interval: str = "1 second",
 ) -> StreamingQuery:
-    """Rewrite the snapshots under ``out_path`` whenever result files arrive at ``log_path``.
+    """Publish a version under ``out_path`` at the start and whenever result files arrive at ``log_path``.
 
-    The state is one row of sums per run.
+    The state is one row of sums per run; the lines of the tables are those of
+    the log.  The log's folder has to exist.
     """
     log = spark.readStream.schema(layout).parquet(log_path)
+    empty = spark.createDataFrame([], layout)
+    publish(snapshot_of(run_sums(empty), runs), empty, prices, out_path, run_ids)
 
-    def publish(sums: DataFrame, _batch: int) -> None:
-        snapshots = with_costs(snapshot_of(sums, runs, finished=False), prices)
-        progress_document(snapshots).write.mode("overwrite").json(out_path)
+    def follow(sums: DataFrame, _batch: int) -> None:
+        lines = spark.read.schema(layout).parquet(log_path)
+        publish(snapshot_of(sums, runs), lines, prices, out_path, run_ids)
 
     writer = (
         run_sums(log)
         .writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(publish)
+        .foreachBatch(follow)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()

@@ -4,8 +4,20 @@ from pyspark.sql import functions as F
 from inktally.operators.documents import page_texts, union_all
 from inktally.operators.estimates import table_estimates, table_report, totals
 from inktally.operators.progress import progress_snapshot
-from inktally.operators.tokens import Tokenizer, doc_tokens, piece_counts, piece_tokens
-from inktally.plans.estimate import ResultLog, TableSource, all_page_texts, estimate_cost, estimate_tables, table_results
+from inktally.operators.tokens import CL100K_SPECIAL, Tokenizer, doc_tokens, piece_counts, piece_tokens
+from inktally.plans import estimate
+from inktally.plans.estimate import (
+    AllTablesFailed,
+    ResultLog,
+    TableSource,
+    all_page_texts,
+    estimate_cost,
+    estimate_tables,
+    sources_of,
+    table_results,
+    worker_lost,
+)
+from inktally.sources.information_schema import of_specs
 from inktally.sources.price_files import fallback_prices
 from inktally.streaming.progress import LOG
 from inktally.spec import EstimateConfig, TableSpec
@@ -26,31 +38,56 @@ EDGES = [
 
 
 def texts(spark, values):
-    rows = [("s", "t", v) for v in values]
-    return spark.createDataFrame(rows, "schema string, table string, page_content string").coalesce(1)
+    rows = [("s", "t", i, v) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "schema string, table string, id int, page_content string").coalesce(1)
+
+
+def lengths(spark, values, used):
+    return [r.token_count for r in doc_tokens(texts(spark, values), used, ("id",)).orderBy("id").collect()]
 
 
 def test_token_goldens(spark, tokenizer, encoder):
-    found = [r.token_count for r in doc_tokens(texts(spark, EDGES), tokenizer).collect()]
+    found = lengths(spark, EDGES, tokenizer)
     assert found[:4] == [0, 2, 7, 22]
     assert found == [len(encoder.encode_ordinary(t)) for t in EDGES]
 
 
 def test_pieces_give_the_same_totals(spark, tokenizer, encoder):
-    counts = piece_counts(texts(spark, EDGES * 3), tokenizer.pattern)
+    counts = piece_counts(texts(spark, EDGES * 3), tokenizer)
     import regex
 
-    pieces = [p for t in EDGES * 3 for p in regex.findall(tokenizer.pattern, t)]
+    pieces = [p for t in EDGES * 3 for p in ["", *regex.findall(tokenizer.pattern, t)]]
     assert {r.piece: r.piece_count for r in counts.collect()} == {p: pieces.count(p) for p in pieces}
-    total = piece_tokens(counts, tokenizer).first().token_count
-    assert total == 3 * sum(len(encoder.encode_ordinary(t)) for t in EDGES)
+    total = piece_tokens(counts, tokenizer).first()
+    assert total.token_count == 3 * sum(len(encoder.encode_ordinary(t)) for t in EDGES)
+    assert total.row_count == 3 * len(EDGES)
+
+
+def test_pairs_are_merged(spark):
+    from workloads.queries import pairs_tokenizer
+
+    values = ["he said", "HE", "another thousand", "'the' banana he'll", "hhee ouou"]
+    want = [len(v) - sum(v.count(p) for p in ("he", "an", "ou")) for v in values]
+    assert lengths(spark, values, pairs_tokenizer()) == want
+
+
+def test_texts_stay_out_of_python(spark, data, tokenizer):
+    """Only pieces that the vocabulary lacks go there; lineitem's first scan reads its two text columns."""
+    found = estimate_tables(tables(spark, data, ("lineitem",)), tokenizer)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "l_returnflag:string,l_linestatus:string>" in plan
+    (line,) = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+    assert "page_content" not in line and "piece" in line
 
 
 def test_special_strings_can_be_refused(spark, tokenizer):
-    strict = Tokenizer(tokenizer.pattern, tokenizer.ranks, ("<|endoftext|>",), refuse_special=True)
-    assert doc_tokens(texts(spark, ["fine"]), strict).first().token_count > 0
+    strict = Tokenizer(tokenizer.pattern, tokenizer.ranks, refuse_special=True)
+    assert strict.special == CL100K_SPECIAL
+    assert lengths(spark, ["fine"], strict)[0] > 0
     with pytest.raises(Exception, match="special token"):
-        doc_tokens(texts(spark, ["<|endoftext|>"]), strict).collect()
+        lengths(spark, ["<|endoftext|>"], strict)
+    with pytest.raises(ValueError, match="refuse"):
+        Tokenizer(tokenizer.pattern, tokenizer.ranks, (), refuse_special=True)
 
 
 def test_estimates_equal_a_plain_loop(spark, data, tokenizer, encoder):
@@ -68,24 +105,15 @@ def test_estimates_do_not_depend_on_partitions(spark, data, tokenizer):
     read = tables(spark, data, ("documents", "nation"))
     results = []
     for parts in (1, 2, 7):
-        counted = doc_tokens(union_all([page_texts(f, s) for f, s in read]).repartition(parts), tokenizer)
-        results.append(sorted(map(tuple, table_estimates(counted).collect())))
-    shared = table_estimates(doc_tokens(all_page_texts(read), tokenizer))
+        counts = piece_counts(union_all([page_texts(f, s) for f, s in read]).repartition(parts), tokenizer)
+        results.append(sorted(map(tuple, piece_tokens(counts, tokenizer).collect())))
+    shared = piece_tokens(piece_counts(all_page_texts(read), tokenizer), tokenizer)
     assert results[0] == results[1] == results[2] == sorted(map(tuple, shared.collect()))
 
 
-def test_many_splits_are_not_shuffled(spark, tokenizer):
-    frame = spark.range(100).select(F.col("id").cast("string").alias("s")).repartition(64)
-    spec = TableSpec.of(frame.schema, "t")
-    made = all_page_texts([(frame, spec)])
-    assert [r.copies for r in made.limit(1).collect()] == [1]
-    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
-
-
-def test_copies_are_joined_when_shuffled(spark):
-    frame = spark.createDataFrame([("a",)] * 9 + [("b",)], "s string").coalesce(1)
-    made = all_page_texts([(frame, TableSpec.of(frame.schema, "t"))]).collect()
-    assert sorted((r.page_content, r.copies) for r in made) == [("s: a", 9), ("s: b", 1)]
+def test_sums_of_counted_documents(spark):
+    counted = spark.createDataFrame([("s", "t", 3), ("s", "t", 4), ("s", "u", None)], "schema string, table string, token_count bigint")
+    assert sorted(map(tuple, table_estimates(counted).collect())) == [("s", "t", 2, 7), ("s", "u", 1, 0)]
 
 
 def test_empty_tables_are_listed(spark, tokenizer):
@@ -126,13 +154,47 @@ def test_no_tables_give_an_empty_result(spark, tokenizer):
     assert result.count() == 0 and tuple(totals(result).first()) == (0, 0)
 
 
-def test_groups_of_tables_and_their_log(spark, tmp_path, tokenizer):
+def test_results_are_logged_one_by_one(spark, tmp_path, tokenizer):
     log = ResultLog(str(tmp_path / "log"), 7)
-    config = EstimateConfig(union_size=1)
-    found = table_results(spark, sources(spark, tmp_path), tokenizer, config, log).collect()
-    assert sorted(r.status for r in found) == ["completed", "error", "error"]
+    loads = []
+    found = sources(spark, tmp_path)
+    counted = [TableSource(s.schema, s.table, lambda s=s: loads.append(s.table) or s.load()) for s in found]
+    rows = table_results(spark, counted, tokenizer, EstimateConfig(parallel=2), log).collect()
+    assert [r.table for r in rows] == ["good", "bad", "absent"] and sorted(loads) == ["absent", "bad", "good"]
+    assert sorted(r.status for r in rows) == ["completed", "error", "error"]
+    assert len({r.completed_at for r in rows}) == 3
     logged = spark.read.parquet(log.path)
     assert logged.count() == 3 and logged.schema == spark.createDataFrame([], LOG).schema
     runs = logged.groupBy("run_id").agg(F.min("completed_at").alias("started_at"), F.lit(3).alias("total"))
     (snapshot,) = progress_snapshot(logged, runs).collect()
-    assert (snapshot.completed, snapshot.errors, snapshot.percent_complete) == (3, 2, 100)
+    assert (snapshot.completed, snapshot.errors, snapshot.percent_complete, snapshot.status) == (3, 2, 100, "completed")
+
+
+def test_lost_workers_are_told_by_the_kind_of_error(spark, tmp_path, tokenizer, monkeypatch):
+    """Words in a table's error say nothing; an error of the connection does, if nothing else succeeds."""
+    loud = spark.range(1).select(F.raise_error(F.lit("ExecutorLost worker exited unexpectedly")).cast("string").alias("s"))
+    bad = TableSource("public", "loud", lambda: (loud, TableSpec.of(loud.schema, "loud")))
+    (row,) = table_results(spark, [bad], tokenizer).collect()
+    assert row.status == "error" and "ExecutorLost" in row.error_message
+
+    def die(*_):
+        raise ConnectionResetError("gone")
+
+    lost = TableSource("public", "lost", die)
+    with pytest.raises(AllTablesFailed, match="gone"):
+        table_results(spark, [bad, lost], tokenizer)
+    good = sources(spark, tmp_path)[0]
+    assert table_results(spark, [good, lost], tokenizer).count() == 2
+    assert not worker_lost(ValueError("x"))
+    exits = spark.range(1).select(F.udf(lambda _: __import__("os")._exit(3), "string")("id").alias("s"))
+    with pytest.raises(AllTablesFailed):
+        table_results(spark, [TableSource("public", "exits", lambda: (exits, TableSpec.of(exits.schema, "exits")))], tokenizer)
+    assert estimate.EstimateConfig().parallel == 8
+
+
+def test_catalog_to_results(spark, data, tokenizer):
+    read = {s.table: (f, s) for f, s in tables(spark, data, ("nation", "labels"))}
+    relations = of_specs(spark, [s for _, s in read.values()])
+    found = list(sources_of(relations, "public", lambda spec: read[spec.table][0]))
+    assert [s.table for s in found] == ["labels", "nation"] and found[0].load()[1].pk == ("doc_id",)
+    assert [r.row_count for r in table_results(spark, found, tokenizer).collect()] == [f.count() for f, _ in (read["labels"], read["nation"])]

@@ -1,10 +1,12 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from inktally.operators import progress
+from inktally.sources import scratch
 from inktally.sources.price_files import fallback_prices
 from inktally.streaming.progress import LOG, follow_progress
 
@@ -62,36 +64,72 @@ def snapshot_files(path):
     return [json.loads(line) for f in path.glob("*.json") for line in f.read_text().splitlines()]
 
 
-@pytest.mark.parametrize("inline", [10_000, 2])
-def test_written_progress(spark, tmp_path, monkeypatch, inline):
-    monkeypatch.setattr(progress, "MAX_INLINE_TABLES", inline)
+def read(path, part):
+    current = (path / "CURRENT").read_text().strip()
+    return snapshot_files(path / "versions" / current / part)
+
+
+def test_written_progress(spark, tmp_path):
     for _ in range(2):
-        progress.write_progress(log(spark, THREE), runs(spark, (1, 3)), fallback_prices(spark), str(tmp_path))
-    (found,) = snapshot_files(tmp_path / "snapshots")
-    assert found["startTime"] == "2024-01-01T00:00:00.000Z" and found["elapsedSeconds"] == 31
-    assert found["progress"] == {"completed": 3, "total": 3, "errors": 1, "percentComplete": 100}
-    assert found["totals"]["totalTokens"] == 150
-    assert found["totals"]["costByModel"]["voyage-3"] == 150 / 1e6 * 0.06
-    lines = found.get("tables") or snapshot_files(tmp_path / "tables")
-    assert sorted(t["table"] for t in lines) == ["a", "b", "c"]
+        folder = progress.write_progress(log(spark, THREE), runs(spark, (1, 3), (2, 5)), fallback_prices(spark), str(tmp_path), [1])
+    assert folder == progress.current_version(spark, str(tmp_path)) and len(list((tmp_path / "versions").iterdir())) == 2
+    found = {r["runId"]: r for r in read(tmp_path, "snapshots")}
+    assert found[1]["startTime"] == "2024-01-01T00:00:00.000Z" and found[1]["elapsedSeconds"] == 31
+    assert found[1]["progress"] == {"completed": 3, "total": 3, "errors": 1, "percentComplete": 100}
+    assert found[1]["totals"] == {"totalTokens": 150, "totalRows": 15} and found[1]["status"] == "completed"
+    assert found[2]["progress"]["completed"] == 0 and found[2]["status"] == "in_progress"
+    lines = read(tmp_path, "tables")
+    assert sorted((t["runId"], t["table"]) for t in lines) == [(1, "a"), (1, "b"), (1, "c")]
     assert [t.get("errorMessage") for t in lines if t["table"] == "b"] == ["no such table"]
+    costs = read(tmp_path, "costs")
+    assert {c["model"]: c["cost"] for c in costs}["voyage-3"] == 150 / 1e6 * 0.06 and {c["runId"] for c in costs} == {1}
 
 
-def test_long_price_lists_are_refused_inline(spark, monkeypatch):
-    monkeypatch.setattr(progress, "MAX_INLINE_MODELS", 10)
-    with pytest.raises(ValueError, match="cost_by_model"):
-        progress.with_costs(progress.progress_snapshot(log(spark, THREE), runs(spark, (1, 3))), fallback_prices(spark))
+def test_costs_of_no_run(spark):
+    snapshots = progress.progress_snapshot(log(spark, THREE), runs(spark, (1, 3)))
+    assert progress.progress_costs(snapshots, fallback_prices(spark), []).count() == 0
+    assert progress.progress_costs(snapshots, fallback_prices(spark), [9]).count() == 0
 
 
 def test_stream_follows_a_growing_log(spark, tmp_path):
     results = log(spark, THREE)
+    (tmp_path / "log").mkdir()
     arguments = (spark, str(tmp_path / "log"), runs(spark, (1, 3)), fallback_prices(spark), str(tmp_path / "out"))
-    for n, last in ((2, "b"), (3, "c")):
-        results.where(F.col("table").isin(["a", "b"] if n == 2 else ["c"])).write.mode("append").parquet(
-            str(tmp_path / "log")
-        )
-        query = follow_progress(*arguments, checkpoint=str(tmp_path / "state"), available_now=True)
+    for n in (0, 2, 3):
+        chosen = {0: [], 2: ["a", "b"], 3: ["c"]}[n]
+        if chosen:
+            results.where(F.col("table").isin(chosen)).write.mode("append").parquet(str(tmp_path / "log"))
+        query = follow_progress(*arguments, checkpoint=str(tmp_path / "state"), run_ids=[1], available_now=True)
         query.awaitTermination(120)
-        (found,) = snapshot_files(tmp_path / "out")
-        assert found["progress"]["completed"] == n and found["status"] == "in_progress", last
-    assert found["totals"]["totalTokens"] == 150
+        (found,) = read(tmp_path / "out", "snapshots")
+        assert found["progress"]["completed"] == n and found["status"] == ("completed" if n == 3 else "in_progress")
+        assert len(read(tmp_path / "out", "tables")) == n
+    assert found["totals"]["totalTokens"] == 150 and len(read(tmp_path / "out", "costs")) == 11
+
+
+class Session:
+    """What the scratch folder asks of a session."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = self
+        self.master = master
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_follows_one_rule(spark):
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.scratch_folder(Session("local[2]", None))
+    with pytest.raises(ValueError, match="share"):
+        scratch.scratch_folder(Session("spark://host:7077", "file:/tmp/x"))
+    assert scratch.scratch_folder(Session("local[2]", "/tmp/x/")) == "/tmp/x"
+
+
+def test_scratch_is_cleared(spark):
+    made = scratch.written(spark.range(3), "kept")
+    assert made.count() == 3
+    files = made.inputFiles()
+    scratch.clear_scratch(spark)
+    assert files and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)

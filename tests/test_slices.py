@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inktally.operators import profile, slices
+from inktally.operators import places, profile, slices
 from inktally.operators.documents import RowText
 from inktally.operators.ordering import ranked, running_totals, sorted_ranges, without_repeats
 from inktally.spec import TableSpec
@@ -38,21 +38,38 @@ def test_no_window_without_partitions(spark):
     assert "Window" not in plan and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("offset,limit", [(0, 10), (100, 50), (4990, 100), (6000, 5), (10, 0), (0, -1)])
-def test_slices(spark, monkeypatch, offset, limit):
+@pytest.mark.parametrize("few", [20_000, 40])
+@pytest.mark.parametrize("offset,limit", [(0, 10), (100, 50), (4990, 100), (6000, 5), (10, 0), (0, -1), (0, 5000)])
+def test_slices(spark, monkeypatch, offset, limit, few):
+    monkeypatch.setattr(places, "FEW", few)
+    monkeypatch.setattr(places, "CUTS", 20)
     frame, spec = numbers(spark)
-    expected = list(range(5000))[offset : offset + max(limit, 0)]
-    near = [r.k for r in slices.ordered_slice(frame, spec, offset, limit).collect()]
-    assert near == expected
-    monkeypatch.setattr(slices, "_NEAR", -1)
-    deep = sorted(r.k for r in slices.ordered_slice(frame, spec, offset, limit).collect())
-    assert deep == expected
+    found = slices.ordered_slice(frame, spec, offset, limit)
+    assert [r.k for r in found.collect()] == list(range(5000))[offset : offset + max(limit, 0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("few", [20_000, 20])
+def test_slices_of_equal_keys_and_equal_rows(spark, monkeypatch, few):
+    """Slices next to each other make up the table, however its rows are spread."""
+    monkeypatch.setattr(places, "FEW", few)
+    monkeypatch.setattr(places, "CUTS", 8)
+    rows = [(1, f"v{i % 40}") for i in range(200)] + [(None, "n")] * 30 + [(2, None)] * 25
+    spec, parts = None, []
+    for split in (1, 5):
+        frame = spark.createDataFrame(rows, "k int, v string").repartition(split)
+        spec = TableSpec.of(frame.schema, "t", pk=("k",))
+        parts.append([tuple(r) for at in range(0, 260, 65) for r in slices.ordered_slice(frame, spec, at, 65).collect()])
+    assert parts[0] == parts[1] and sorted(parts[0], key=repr) == sorted(rows, key=repr)
+    assert [k for k, _ in parts[0]] == [1] * 200 + [2] * 25 + [None] * 30
 
 
 def test_bounded_scan_without_limit(spark):
     frame, spec = numbers(spark)
-    assert slices.bounded_scan(frame, spec).count() == 5000
-    assert sorted(r.k for r in slices.bounded_scan(frame, spec, 4990).collect()) == list(range(4990, 5000))
+    assert [r.k for r in slices.bounded_scan(frame, spec).collect()] == list(range(5000))
+    assert [r.k for r in slices.bounded_scan(frame, spec, 4990).collect()] == list(range(4990, 5000))
+    assert slices.bounded_scan(frame, spec, 5000).count() == 0
 
 
 def test_slices_put_nulls_last(spark):
@@ -120,6 +137,25 @@ def test_snapshot(spark):
     assert profile.large_tables(counts, 2).count() == 1 and profile.large_tables(counts, 3).count() == 0
 
 
+def test_newest_change_of_a_text_column(spark):
+    """The largest text is read as a date; it need not be one."""
+    frame = spark.createDataFrame([("2024-01-02 03:04:05",), ("2023-12-31",), (None,)], "updated_at string")
+    spec = TableSpec.of(frame.schema, "t")
+    assert profile.table_snapshot(frame, spec).first().max_updated_at == "2024-01-02T03:04:05.000Z"
+    odd = frame.unionByName(spark.createDataFrame([("later",)], "updated_at string"))
+    assert profile.table_snapshot(odd, spec).first().max_updated_at is None
+
+
+def test_chunks_do_not_depend_on_the_layout(spark):
+    rows = [(i // 50, f"x{i % 13}") for i in range(300)]
+    made = []
+    for split in (1, 6):
+        frame = spark.createDataFrame(rows, "k int, v string").repartition(split)
+        spec = TableSpec.of(frame.schema, "t", pk=("k",))
+        made.append(sorted(map(tuple, slices.chunk_estimates(frame, spec, F.length("v"), 70).collect())))
+    assert made[0] == made[1]
+
+
 def test_running_totals_with_a_hot_group(spark):
     frame = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 10).alias("g"), F.col("id").alias("o")

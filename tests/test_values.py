@@ -200,7 +200,7 @@ def test_keys_composite_and_absent(spark):
     assert none.pk_hash == "44136fa355b3678a1146ad16f7e8649e94fb4fc21fe77e8310c060f61caaff8a"
     assert none.doc_id == "823a4a7100265f88719b43627510d7015712a645aa515f74f6f834cfd52ac310"
     assert not none.has_pk
-    with pytest.raises(ValueError, match="Missing PK column absent in public.t"):
+    with pytest.raises(ValueError, match="public.t has no column absent"):
         documents(frame, TableSpec.of(frame.schema, "t", pk=("absent",)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workloads.queries import BLOCKED, CHUNK, SCHEMA, THRESHOLD, UPDATED
+from workloads.queries import BLOCKED, CHUNK, LOOKED_AT, SCHEMA, THRESHOLD, UPDATED
 from workloads.tables import KEYS
 
 # Column types of the test tables: i 32-bit, l 64-bit, d double, s text, t timestamp,
@@ -173,15 +173,32 @@ _COSTS = (
     f"as cost from {_PRICE_MAP} cross join {_TOTAL}"
 )
 
+def _tokens(table: str) -> str:
+    """Tokens of a text under the vocabulary of bytes and three pairs of them."""
+    text = _content(table)
+    pairs = " - ".join(f"(strlen({text}) - strlen(replace({text}, '{p}', ''))) // 2" for p in ("he", "an", "ou"))
+    return f"strlen({text}) - {pairs}"
+
+
+def _estimates(without: tuple[str, ...] = ()) -> str:
+    return " union all ".join(
+        f"select 'public' as schema, '{t}' as \"table\", count(*) as row_count, "
+        f"cast(coalesce(sum({_tokens(t)}), 0) as bigint) as token_count from {t}"
+        for t in COLUMNS
+        if t not in without
+    )
+
+
 _LOG = """
 (select user_id as run_id, 'public' as schema, 't' || event_id as "table",
   case when event_type = 'error' then 0 else event_id % 1000 end as row_count,
   case when event_type = 'error' then 0 else event_id % 7919 end as token_count,
-  case when event_type = 'error' then 'error' else 'completed' end as status, ts as completed_at from events)
+  case when event_type = 'error' then 'error' else 'completed' end as status,
+  case when event_type = 'error' then props end as error_message, ts as completed_at from events)
 """
 _RUNS = "(select user_id as run_id, min(ts) as started_at, count(*) + user_id % 4 as total from events group by user_id)"
 _SNAPSHOT = f"""
-select run_id, 'completed' as status, started_at, max(completed_at) as last_update, count(*) as completed,
+select run_id, case when count(*) >= total then 'completed' else 'in_progress' end as status, started_at, max(completed_at) as last_update, count(*) as completed,
   total, cast(count(*) filter (where status <> 'completed') as bigint) as errors,
   cast(floor(count(*) / total * 100 + 0.5) as bigint) as percent_complete,
   cast(sum(token_count) as bigint) as total_tokens, cast(sum(row_count) as bigint) as total_rows,
@@ -199,6 +216,10 @@ select *, case when completed > 0 and total > completed then
   from {_LOG} join {_RUNS} using (run_id)
   window w as (partition by run_id order by completed_at, schema, "table" rows unbounded preceding))
 """
+_STATE = "(completed, total, errors, percent_complete, total_tokens, total_rows, elapsed_seconds)"
+_LINES = f"""
+select run_id as "runId", schema, "table", row_count as "rowCount", token_count as "tokenCount", status,
+  error_message as "errorMessage", {_iso('completed_at')} as "completedAt" from {_LOG}"""
 _CLOCK = "printf('%02d:%02d', eta_seconds // 60, eta_seconds % 60)"
 
 
@@ -260,6 +281,7 @@ _NULLED = (
     "else nullif(o_orderpriority, '5-LOW') end as o_orderpriority) from orders)"
 )
 
+#: The built-in price list.
 _FALLBACK = """
 (values (0, 'openai', 'text-embedding-3-small', 0.02), (1, 'openai', 'text-embedding-3-large', 0.13),
   (2, 'openai', 'text-embedding-ada-002', 0.1), (3, 'cohere', 'embed-english-v3.0', 0.1),
@@ -297,6 +319,8 @@ def oracle_sql() -> dict[str, str]:
         "large_tables": f"select * from ({_COUNTS}) where row_count >= {THRESHOLD}",
         "chunk_plan": _PLAN.format(threshold=THRESHOLD, size=CHUNK),
         "ordered_slice": "select * from orders order by o_orderkey limit 300 offset 1000",
+        "deep_slice": "select * from conversations order by conv_id, turn limit 250 offset 1500",
+        "slice_lineitem": "select * from lineitem order by all limit 1000 offset 3000",
         "bounded_scan": "select * from events order by event_id offset 500",
         "chunk_estimates": _chunks("orders", "o_orderkey", f"length({_content('orders')})", 1000),
         "merge_chunks": f"""
@@ -327,9 +351,33 @@ select schema, "table", completed_chunks, n_chunks as total_chunks, completed_ch
         "hashes_lineitem": _hashes("lineitem"),
         "updated_at_value": f"select event_id, {_iso('ts')} as updated_at from events",
         "all_documents": _union(_documents),
+        "canonical_json_numbers": f"""
+select p_partkey, '{{"a":[' || p_partkey || ',0,100,"v1.2"],"b":' || {_number('p_retailprice')} ||
+  ',"c":{{"y":12345678901234568,"z":' || {_number('p_retailprice')} || '}}}}' as row_json from part""",
+        "doc_tokens_pairs": f"select doc_id, {_tokens('documents')} as token_count from documents",
+        "chunk_tokens_pairs": _chunks("documents", "doc_id", _tokens("documents"), 100),
         "piece_counts": 'select schema, "table", piece, count(*) as piece_count from ('
-        + " union all ".join(_pieces(t) for t in ("documents", "conversations", "pages", "benchmark"))
-        + ") group by all",
+        + _union(_pieces)
+        + f') group by all union all select schema, "table", \'\', row_count from ({_COUNTS})',
+        "piece_tokens_pairs": _estimates(),
+        "table_estimates_pairs": _estimates(),
+        "total_of_tokens_pairs": f"select cast(sum(token_count) as bigint) as total_tokens from ({_estimates()})",
+        "table_report_pairs": 'with lines as (select schema || \'.\' || "table" as name, row_count, token_count '
+        f"from ({_estimates()})) select name, row_count, token_count, 0 as is_total from lines union all "
+        "select 'TOTAL', cast(sum(row_count) as bigint), cast(sum(token_count) as bigint), 1 from lines",
+        "table_results_pairs": f"select *, 'completed' as status, false as has_error from ({_estimates()}) "
+        "union all select 'public', 'absent', 0, 0, 'error', true",
+        "estimate_from_catalog": f"select *, 'completed' as status from ({_estimates(('labels',))})",
+        "embedding_cost_pairs": f"""
+select provider, model, cost, '$' || printf('%.6f', cost) as cost_text from (
+  select provider, model, cast(total as double) / 1000000.0 * cast(price as double) as cost
+  from {_FALLBACK}, (select sum(token_count) as total from ({_estimates()})))""",
+        "price_file": f"""
+select case when p_size % 5 = 0 then lower(p_brand) when instr(model_key, '/') > 1
+    then lower(split_part(model_key, '/', 1)) when p_size % 6 in (0, 3, 4) then 'openai' else 'other' end as provider,
+  case when instr(model_key, '/') > 1 then substr(model_key, instr(model_key, '/') + 1) else model_key end as model,
+  cost * 1000000.0 as price_per_million from {_ENTRIES}
+where p_size % 7 <> 0 and p_type not in ('LARGE', 'SMALL')""",
         "table_report_characters": 'with lines as (select schema || \'.\' || "table" as name, count(*) as row_count, '
         "cast(sum(n) as bigint) as token_count from ("
         + _union(lambda t: f"select 'public' as schema, '{t}' as \"table\", length({_content(t)}) as n from {t}")
@@ -358,21 +406,27 @@ select provider_ordinal, ordinal, provider, p.model, p.price_per_million, c.pric
     as price_label, c.cost, '$' || printf('%.6f', c.cost) as cost_text
 from {_PRICES} p join ({_COSTS}) c on p.model = c.model
 join (select provider, min(ordinal) as provider_ordinal from {_PRICES} group by provider) using (provider)""",
-        "progress_snapshot": f"""
-select s.*, n_models, cast(total_tokens as double) / 1000000.0 * least as least_cost,
-  cast(total_tokens as double) / 1000000.0 * most as most_cost
-from ({_SNAPSHOT}) s, (select cast(count(*) as integer) as n_models, min(price_per_million) as least,
-  max(price_per_million) as most from {_PRICE_MAP})""",
+        "progress_snapshot": _SNAPSHOT,
+        "progress_costs": f"""
+select run_id, model, cast(total_tokens as double) / 1000000.0 * price_per_million as cost
+from ({_SNAPSHOT}) s, {_PRICE_MAP} p where run_id in {LOOKED_AT}""",
+        "progress_table_lines": _LINES,
+        "write_progress_tables": _LINES,
+        "write_progress_costs": f"""
+select run_id as "runId", model, cast(total_tokens as double) / 1000000.0 * price_per_million as cost
+from ({_SNAPSHOT}) s, {_PRICE_MAP} p where run_id in {LOOKED_AT}""",
         "running_progress": f"""
 select run_id, schema, "table", completed_at, completed, total, errors,
   cast(floor(completed / total * 100 + 0.5) as bigint) as percent_complete, total_tokens, total_rows,
   cast(floor(millis / 1000) as bigint) as elapsed_seconds, eta_seconds, {_CLOCK} as eta from ({_RUNNING})""",
-        "progress_eta": f'select run_id, "table", eta_seconds, {_CLOCK} as eta from ({_RUNNING}) '
-        "where eta_seconds is not null",
+        "progress_eta": f'select run_id, "table", eta_seconds, {_CLOCK} as eta from ({_RUNNING})',
         "changed_snapshots": f"""
-select run_id, "table", status, completed_at from (select *, lag(status) over (partition by run_id
-  order by completed_at, "table") as before from {_LOG}) where before is null or before <> status""",
+select run_id, "table", completed, total, errors, percent_complete, total_tokens, total_rows, elapsed_seconds from (
+  select *, lag({_STATE}) over (partition by run_id order by completed_at, schema, "table") as before, {_STATE} as state
+  from (select *, cast(floor(completed / total * 100 + 0.5) as bigint) as percent_complete,
+    cast(floor(millis / 1000) as bigint) as elapsed_seconds from ({_RUNNING})))
+where before is null or before <> state""",
         "write_progress": f"""
-select run_id, {_iso('started_at')} as start_time, {_iso('last_update')} as last_update, completed, percent_complete,
-  cast(completed as integer) as n_tables, total_tokens, elapsed_seconds from ({_SNAPSHOT})""",
+select run_id, {_iso('started_at')} as start_time, {_iso('last_update')} as last_update, status, completed, total,
+  errors, percent_complete, total_tokens, total_rows, elapsed_seconds from ({_SNAPSHOT})""",
     }

@@ -5,22 +5,27 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inktally.functions.json_text import with_canonical_json
 from inktally.operators import catalog, prices, profile, progress, slices
 from inktally.operators import tokens as token_jobs
 from inktally.operators.documents import RowText, documents, for_each_table, narrow_page_texts, page_texts, union_all
 from inktally.operators.estimates import table_report, total_rows, total_tokens
-from inktally.plans.estimate import TableSource, all_page_texts, estimate_tables, table_results
-from inktally.sources.price_files import fallback_prices
+from inktally.plans.estimate import TableSource, all_page_texts, estimate_tables, sources_of, table_results
+from inktally.sources import information_schema
+from inktally.sources.price_files import fallback_prices, read_price_file
 from inktally.sources.scratch import scratch_folder
-from inktally.sources.tables import read_table, spread
+from inktally.sources.tables import read_table
 from inktally.spec import EstimateConfig
 from workloads.tables import (
     KEYS,
     catalog_relations,
+    dealt,
+    local_scratch,
     price_entries,
     price_history,
     price_list,
@@ -40,12 +45,17 @@ UPDATED = ("missing", "SIGNUP_3", "view_1", "click_0")
 AS_OF = datetime(2000, 6, 1, 12)
 LATE = datetime(2030, 1, 1)
 THRESHOLD, CHUNK = 1_000, 700
-#: Tables worth dealing out over the cores when they come in one split.
-_LONG = ("lineitem", "orders", "events", "documents", "pages")
+#: Runs whose costs are listed.
+LOOKED_AT = (1, 2, 3)
 
 
 def query(run: Query) -> Query:
-    _QUERIES[run.__name__] = run
+    @wraps(run)
+    def with_scratch(spark: SparkSession, folder: str) -> DataFrame:
+        local_scratch(spark)
+        return run(spark, folder)
+
+    _QUERIES[run.__name__] = with_scratch
     return run
 
 
@@ -58,6 +68,14 @@ def tokenizer() -> token_jobs.Tokenizer:
     )
 
 
+def pairs_tokenizer() -> token_jobs.Tokenizer:
+    """The single bytes and three pairs that share no byte: a text has as many tokens as bytes less its pairs."""
+    import public_tokenizers
+
+    ranks = {bytes([b]): b for b in range(256)} | {pair: 256 + i for i, pair in enumerate((b"he", b"an", b"ou"))}
+    return token_jobs.Tokenizer(public_tokenizers.PATTERN, ranks)
+
+
 # Catalog
 
 
@@ -163,6 +181,17 @@ def ordered_slice(spark, folder):
     return slices.ordered_slice(*table(spark, folder, "orders"), offset=1000, limit=300)
 
 
+@query
+def deep_slice(spark, folder):
+    return slices.ordered_slice(*table(spark, folder, "conversations"), offset=1500, limit=250)
+
+
+@query
+def slice_lineitem(spark, folder):
+    """A slice of a table without a key, in the order of all its columns."""
+    return slices.ordered_slice(*table(spark, folder, "lineitem"), offset=3000, limit=1000)
+
+
 @query
 def bounded_scan(spark, folder):
     return slices.bounded_scan(*table(spark, folder, "events"), offset=500)
@@ -175,12 +204,21 @@ def chunk_estimates(spark, folder):
     return slices.chunk_estimates(texts, spec, F.length("page_content"), 1000, costly=False)
 
 
+def _chunk_tokens(spark, folder, used):
+    frame, spec = table(spark, folder, "documents")
+    counts = token_jobs.doc_tokens(RowText(frame, spec).texts, used, ("doc_id",))
+    counted = frame.join(counts, "doc_id")
+    return slices.chunk_estimates(counted, spec, F.col("token_count"), 100)
+
+
 @query
 def chunk_tokens(spark, folder):
-    frame, spec = table(spark, folder, "documents")
-    count = tokenizer().counter(spark)
-    texts = RowText(frame, spec).texts
-    return slices.chunk_estimates(texts, spec, count(F.col("page_content")), 100)
+    return _chunk_tokens(spark, folder, tokenizer())
+
+
+@query
+def chunk_tokens_pairs(spark, folder):
+    return _chunk_tokens(spark, folder, pairs_tokenizer())
 
 
 def _arrived(spark, folder):
@@ -274,6 +312,20 @@ def canonical_json_lineitem(spark, folder):
     return _row_json(spark, folder, "lineitem")
 
 
+@query
+def canonical_json_numbers(spark, folder):
+    """JSON documents made of the numbers of parts, written as they are and in ways of their own."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    price, key = F.col("p_retailprice").cast("string"), F.col("p_partkey").cast("string")
+    tail = F.when(F.col("p_partkey") % 3 == 0, "00").when(F.col("p_partkey") % 3 == 1, "e0").otherwise("")
+    made = F.concat(
+        F.lit('{"b": '), price, tail, F.lit(', "a": ['), key, F.lit('.0, -0, 1E2, "v1.2"], "c": {"z": '), price,
+        F.lit(', "y": 12345678901234567}}'),
+    )
+    rows = part.select("p_partkey", made.alias("document"))
+    return with_canonical_json(rows, F.col("document"), "row_json").select("p_partkey", "row_json")
+
+
 @query
 def canonical_json_events(spark, folder):
     return _row_json(spark, folder, "events")
@@ -289,7 +341,8 @@ def extract_pk(spark, folder):
 def _hashes(name):
     def run(spark, folder):
         frame, spec = table(spark, folder, name)
-        return documents(spread(frame), spec).select("doc_id", "pk_hash", "row_hash", "has_pk")
+        ((frame, spec),) = dealt([(frame, spec)])
+        return documents(frame, spec).select("doc_id", "pk_hash", "row_hash", "has_pk")
 
     return run
 
@@ -308,36 +361,84 @@ def updated_at_value(spark, folder):
 
 @query
 def all_documents(spark, folder):
-    read = [(spread(f) if s.table in _LONG else f, s) for f, s in tables(spark, folder)]
-    return for_each_table(documents, read)
+    return for_each_table(documents, dealt(tables(spark, folder)))
 
 
 # Tokens and estimates
 
 
+def _doc_tokens(spark, folder, used):
+    ((frame, spec),) = dealt([table(spark, folder, "documents")])
+    return token_jobs.doc_tokens(RowText(frame, spec).texts, used, ("doc_id",))
+
+
 @query
 def doc_tokens(spark, folder):
-    frame, spec = table(spark, folder, "documents")
-    texts = RowText(spread(frame), spec).texts
-    return token_jobs.doc_tokens(texts, tokenizer()).select("doc_id", "token_count")
+    return _doc_tokens(spark, folder, tokenizer())
+
+
+@query
+def doc_tokens_pairs(spark, folder):
+    return _doc_tokens(spark, folder, pairs_tokenizer())
+
+
+def _all_pieces(spark, folder, used):
+    return token_jobs.piece_counts(all_page_texts(dealt(tables(spark, folder))), used)
 
 
 @query
 def piece_counts(spark, folder):
-    chosen = tables(spark, folder, ("documents", "conversations", "pages", "benchmark"))
-    return token_jobs.piece_counts(all_page_texts(chosen), tokenizer().pattern)
+    return _all_pieces(spark, folder, tokenizer())
 
 
 @query
 def piece_tokens(spark, folder):
-    chosen = tables(spark, folder, ("documents", "conversations", "pages", "benchmark"))
     used = tokenizer()
-    return token_jobs.piece_tokens(token_jobs.piece_counts(all_page_texts(chosen), used.pattern), used)
+    return token_jobs.piece_tokens(_all_pieces(spark, folder, used), used)
+
+
+@query
+def piece_tokens_pairs(spark, folder):
+    used = pairs_tokenizer()
+    return token_jobs.piece_tokens(_all_pieces(spark, folder, used), used)
+
+
+@query
+def pieces_in_vocabulary(spark, folder):
+    """How many distinct pieces the rank table holds, and how often they occur, per table."""
+    used = tokenizer()
+    pieces = _all_pieces(spark, folder, used).withColumn("token", F.encode("piece", "utf-8"))
+    return (
+        pieces.join(used.rank_table(spark), "token")
+        .groupBy("schema", "table")
+        .agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("piece_count").alias("occurrences"))
+    )
 
 
 @query
 def table_estimates(spark, folder):
-    return estimate_tables(tables(spark, folder), tokenizer())
+    return estimate_tables(dealt(tables(spark, folder)), tokenizer())
+
+
+@query
+def table_estimates_pairs(spark, folder):
+    return estimate_tables(dealt(tables(spark, folder)), pairs_tokenizer())
+
+
+@query
+def total_of_tokens_pairs(spark, folder):
+    return total_tokens(table_estimates_pairs(spark, folder))
+
+
+@query
+def table_report_pairs(spark, folder):
+    return table_report(table_estimates_pairs(spark, folder))
+
+
+@query
+def embedding_cost_pairs(spark, folder):
+    total = total_tokens(table_estimates_pairs(spark, folder))
+    return prices.provider_report(total, fallback_prices(spark)).select("provider", "model", "cost", "cost_text")
 
 
 @query
@@ -365,18 +466,42 @@ def table_report_characters(spark, folder):
     return table_report(sums)
 
 
-@query
-def table_results_one_missing(spark, folder):
-    names = ("region", "documents", "absent")
+def _results(spark, folder, used, names):
     sources = [
         TableSource("public", n, lambda n=n: table(spark, folder, n) if n in KEYS else _absent(spark, folder, n))
         for n in names
     ]
-    return table_results(spark, sources, tokenizer()).select(
-        "schema", "table", "row_count", "token_count", "status", "error_message"
+    return table_results(spark, sources, used)
+
+
+@query
+def table_results_one_missing(spark, folder):
+    found = _results(spark, folder, tokenizer(), ("region", "documents", "absent"))
+    return found.select("schema", "table", "row_count", "token_count", "status", "error_message")
+
+
+@query
+def table_results_pairs(spark, folder):
+    """The results of all tables and of one that is missing."""
+    found = _results(spark, folder, pairs_tokenizer(), (*KEYS, "absent"))
+    return found.select(
+        "schema", "table", "row_count", "token_count", "status", F.col("error_message").isNotNull().alias("has_error")
     )
 
 
+@query
+def estimate_from_catalog(spark, folder):
+    """From the catalog of the tables to their results."""
+    specs = {spec.table: spec for _, spec in tables(spark, folder)}
+    relations = information_schema.of_specs(spark, specs.values())
+
+    def read(spec):
+        return read_table(spark, spec, f"{folder}/{spec.table}.parquet")
+
+    found = table_results(spark, sources_of(relations, "public", read, block=("labels",)), pairs_tokenizer())
+    return found.select("schema", "table", "row_count", "token_count", "status")
+
+
 def _absent(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet"), None
 
@@ -433,16 +558,32 @@ def provider_report(spark, folder):
 # Progress
 
 
+@query
+def price_file(spark, folder):
+    """A price file made of the parts, written and read."""
+    entries = price_entries(spark, folder)
+    pair = F.concat(F.to_json(F.struct(F.col("model_key").alias("k"))), F.lit(""))
+    key = F.regexp_extract(pair, r"^\{\"k\":(.*)\}$", 1)
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", F.concat(key, F.lit(": "), "entry").alias("e")))).getField("e"), ", ")
+    path = f"{scratch_folder(spark)}/prices-{os.urandom(8).hex()}"
+    entries.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).write.text(path)
+    return prices.parse_prices(read_price_file(spark, path)).select("provider", "model", "price_per_million")
+
+
 @query
 def progress_snapshot(spark, folder):
+    return progress.progress_snapshot(*result_log(spark, folder))
+
+
+@query
+def progress_costs(spark, folder):
     snapshots = progress.progress_snapshot(*result_log(spark, folder))
-    costs = F.map_values("cost_by_model")
-    return progress.with_costs(snapshots, price_list(spark, folder)).select(
-        *snapshots.columns,
-        F.size("cost_by_model").alias("n_models"),
-        F.array_min(costs).alias("least_cost"),
-        F.array_max(costs).alias("most_cost"),
-    )
+    return progress.progress_costs(snapshots, price_list(spark, folder), LOOKED_AT)
+
+
+@query
+def progress_table_lines(spark, folder):
+    return progress.table_lines(result_log(spark, folder)[0])
 
 
 @query
@@ -453,34 +594,57 @@ def running_progress(spark, folder):
 @query
 def progress_eta(spark, folder):
     rows = progress.running_progress(*result_log(spark, folder))
-    return rows.where(F.col("eta").isNotNull()).select("run_id", "table", "eta_seconds", "eta")
+    return rows.select("run_id", "table", "eta_seconds", "eta")
 
 
 @query
 def changed_snapshots(spark, folder):
-    log, _ = result_log(spark, folder)
-    return progress.changed_snapshots(log, ["status"], ["completed_at", "table"]).select(
-        "run_id", "table", "status", "completed_at"
-    )
+    rows = progress.running_progress(*result_log(spark, folder))
+    changed = progress.changed_snapshots(rows, progress.SNAPSHOT, ["completed_at", "schema", "table"])
+    return changed.select("run_id", "table", *progress.SNAPSHOT)
+
+
+def _published(spark, folder, part, layout):
+    log, runs = result_log(spark, folder)
+    path = f"{scratch_folder(spark)}/progress-{os.urandom(8).hex()}"
+    progress.write_progress(log, runs, price_list(spark, folder), path, LOOKED_AT)
+    return spark.read.schema(layout).json(f"{progress.current_version(spark, path)}/{part}")
 
 
 @query
 def write_progress(spark, folder):
     """The snapshots written as JSON and read back."""
-    log, runs = result_log(spark, folder)
-    path = f"{scratch_folder(spark)}/progress-{os.urandom(8).hex()}"
-    progress.write_progress(log, runs, price_list(spark, folder), path)
-    return spark.read.json(f"{path}/snapshots").select(
+    layout = (
+        "runId bigint, startTime string, lastUpdate string, status string, progress struct<completed:bigint,"
+        "total:bigint,errors:bigint,percentComplete:bigint>, totals struct<totalTokens:bigint,totalRows:bigint>, "
+        "elapsedSeconds bigint"
+    )
+    return _published(spark, folder, "snapshots", layout).select(
         F.col("runId").alias("run_id"),
         F.col("startTime").alias("start_time"),
         F.col("lastUpdate").alias("last_update"),
-        F.col("progress.completed").alias("completed"),
+        "status",
+        *[F.col(f"progress.{n}").alias(n) for n in ("completed", "total", "errors")],
         F.col("progress.percentComplete").alias("percent_complete"),
-        F.size("tables").alias("n_tables"),
         F.col("totals.totalTokens").alias("total_tokens"),
+        F.col("totals.totalRows").alias("total_rows"),
         F.col("elapsedSeconds").alias("elapsed_seconds"),
     )
 
 
+@query
+def write_progress_tables(spark, folder):
+    layout = (
+        "runId bigint, schema string, table string, rowCount bigint, tokenCount bigint, status string, "
+        "errorMessage string, completedAt string"
+    )
+    return _published(spark, folder, "tables", layout)
+
+
+@query
+def write_progress_costs(spark, folder):
+    return _published(spark, folder, "costs", "runId bigint, model string, cost double")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,19 @@ def tables(spark: SparkSession, folder: str, names=tuple(KEYS)) -> list[tuple[Da
         return list(pool.map(lambda name: table(spark, folder, name), names))
 
 
+def dealt(tables: list[tuple[DataFrame, TableSpec]]) -> list[tuple[DataFrame, TableSpec]]:
+    """The test tables dealt out over the cores, since each is one file with one row group."""
+    return [(frame.repartition(frame.sparkSession.sparkContext.defaultParallelism), spec) for frame, spec in tables]
+
+
+def local_scratch(spark: SparkSession) -> None:
+    """A shared folder for sessions of one machine that have none; on a cluster the user names one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="inktally-"))
+
+
 def catalog_relations(spark: SparkSession, folder: str) -> InformationSchema:
     """Catalog relations with a table per user and a column per event."""
     events = spark.read.parquet(f"{folder}/events.parquet")
