@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Signs that the built-in parser and writer may not reproduce a document exactly.
-_UNUSUAL = r'[0-9][.eE]|[0-9]{16}|-0|\\[^nt"\\]|"[0-9]+"\s*:|[^\x00-\x{D7FF}]'
+#: Signs in keys and strings that the built-in parser and writer may not reproduce a document exactly.
+_UNUSUAL = r'\\[^nt"\\]|"[0-9]+"\s*:|[^\x00-\x{D7FF}]'
+#: Numbers that the built-in writer prints its own way: exponents, fractions that end in zero or are tiny,
+#: 16 digits and more, negative zero.
+_ODD_NUMBER = r"[0-9][eE]|\.[0-9]*0(?![0-9])|[0-9.]{16}|-0(?![.0-9])|0\.00000"
 
 _SHORT_ESCAPE = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
 _TO_ESCAPE = re.compile('[\x00-\x1f"\\\\\ud800-\udfff]')
@@ -88,6 +91,9 @@ def with_canonical_json(frame: DataFrame, source: Column, name: str) -> DataFram
 
     Null stays null; text that is not JSON raises.
     """
-    plain = F.when(~source.rlike(_UNUSUAL), F.to_json(F.try_parse_json(source)))
+    # Strings are left out, their escapes first, when numbers are looked at.
+    numbers = F.regexp_replace(F.regexp_replace(source, r"\\.", ""), '"[^"]*"', "")
+    usual = ~source.rlike(_UNUSUAL) & ~numbers.rlike(_ODD_NUMBER)
+    plain = F.when(usual, F.to_json(F.try_parse_json(source)))
     rest = F.when(F.col(name).isNull(), source)
     return frame.withColumn(name, plain).withColumn(name, F.coalesce(name, _canonical(rest)))

@@ -3,16 +3,20 @@
 Rows are split into ranges of their order and written out sorted.  Each row
 then knows its range and its place inside; what a range needs of those before
 it is a few rows per range.  Ties are split by the row's place in the scan, so
-one hot key never fills a task.
+one hot key never fills a task; whoever needs a result that does not follow the
+files' layout adds a tie-breaker to the order.  These functions run jobs when
+called, and write to the scratch folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from inktally.sources.scratch import written
@@ -42,10 +46,38 @@ def sorted_ranges(
         .drop(*keys, "_scan")
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    rows = written(placed, label)
+    with _bounded_sample(keyed, keys):
+        rows = written(placed, label)
     return rows.withColumn("_range", F.shiftright("_place", _PLACE_BITS).cast("int"))
 
 
+#: Bytes of sampled keys that the driver may get for the boundaries of the ranges.
+SAMPLE_BYTES = 64 << 20
+_SAMPLE = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+
+
+def sample_size(width: float, partitions: int) -> int:
+    """Keys to sample for each range, so that all of them fit; Spark takes up to three times as many."""
+    return int(max(2, min(100, SAMPLE_BYTES / (3 * max(width, 1.0) * partitions))))
+
+
+@contextmanager
+def _bounded_sample(keyed: DataFrame, keys: Sequence[str]) -> Iterator[None]:
+    """Samples fewer keys while ranges are made, if keys are long: their mean width is measured first."""
+    spark = keyed.sparkSession
+    wide = [k for k in keys if not isinstance(keyed.schema[k].dataType, (T.NumericType, T.DatetimeType, T.BooleanType))]
+    if not wide:
+        yield
+        return
+    width = keyed.agg(F.avg(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] or 0
+    before = spark.conf.get(_SAMPLE)
+    spark.conf.set(_SAMPLE, str(sample_size(width, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SAMPLE, before)
+
+
 def ranked(
     frame: DataFrame, order: Sequence[Column], label: str = "ranked", kept: Sequence[str] | None = None
 ) -> DataFrame:

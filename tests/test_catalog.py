@@ -134,3 +134,13 @@ def test_jdbc_options():
         "ctid >= '(60,0)'::tid",
     ]
     assert jdbc_predicates(spec, 1, 90) == ["TRUE"]
+
+
+def test_tables_without_columns_are_described(spark):
+    found = relations(spark)
+    bare = spark.createDataFrame([("public", "bare", "BASE TABLE")], info.TABLES)
+    found = info.InformationSchema(
+        found.tables.unionByName(bare), found.columns, found.table_constraints, found.key_column_usage
+    )
+    specs = {s.table: s for s in catalog.table_specs(catalog.table_catalog(found, "public"))}
+    assert specs["bare"] == TableSpec("public", "bare", ()) and len(specs["Users"].columns) == 4

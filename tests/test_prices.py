@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inktally.operators import prices
-from inktally.sources.price_files import FALLBACK, PRICES, fallback_prices, read_price_file
+from inktally.sources.price_files import FALLBACK, PRICES, fallback_prices, load_prices, read_price_file
 
 ENTRIES = {
     "text-embedding-x": {"mode": "embedding", "input_cost_per_token": 2e-8, "litellm_provider": "OpenAI"},
@@ -52,7 +52,8 @@ def listed(spark, rows):
 
 def test_last_entry_wins_but_the_label_keeps_its_own_price(spark):
     total = spark.createDataFrame([(1_500_000,)], "total_tokens bigint")
-    rows = [tuple(r) for r in prices.provider_report(total, listed(spark, EXPECTED)).collect()]
+    report = prices.provider_report(total, listed(spark, EXPECTED)).orderBy("provider_ordinal", "ordinal")
+    rows = [tuple(r) for r in report.collect()]
     assert [r[2] for r in rows] == ["openai", "openai", "azure", "a", "other", "other"]
     first = rows[0]
     assert first[3:6] == ("text-embedding-x", 2e-8 * 1e6, 3e-8 * 1e6)
@@ -69,7 +70,7 @@ def test_fallback_costs(spark):
     assert rows["text-embedding-3-large"].cost == pytest.approx(0.195)
     assert rows["all-minilm"].price_label == "free/local"
     short = prices.provider_report(total, fallback_prices(spark), digits=4)
-    assert short.first().cost_text == "$0.0300"
+    assert short.where("ordinal = 0").first().cost_text == "$0.0300"
 
 
 def test_the_total_is_computed_once_and_no_join_is_crossed(spark):
@@ -101,3 +102,41 @@ def test_current_prices(spark, ages, filled, loaded, expected):
     newest = [str(max(s[0] for s in stamps))] if stamps else []
     wanted = {"snapshot": newest, "loaded": ["new0", "new1"], "empty": [], "fallback": [m for _, m, _ in FALLBACK]}
     assert sorted(found) == sorted(wanted[expected])
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_age_of_a_list_does_not_follow_the_drivers_zone(spark, monkeypatch, kind):
+    """A list 20 hours old is taken wherever the driver stands, and one 25 hours old nowhere."""
+    import time
+
+    for hours, wanted in ((20, ["kept"]), (25, [m for _, m, _ in FALLBACK])):
+        at = f"timestamp'{datetime(2024, 6, 1, 12) - timedelta(hours=hours)}+00:00'"
+        stamp = spark.range(1).select(F.expr(at).cast(kind).alias("fetched_at"))
+        entries = stamp.select("fetched_at", F.lit(0).cast("bigint").alias("ordinal"), F.lit("p").alias("provider"), F.lit("kept").alias("model"), F.lit(1.0).alias("price_per_million"))
+        for zone in ("America/New_York", "UTC", "Asia/Tokyo"):
+            monkeypatch.setenv("TZ", zone)
+            time.tzset()
+            try:
+                found = prices.current_prices(stamp, entries, datetime(2024, 6, 1, 12), fallback_prices(spark))
+                assert sorted(r.model for r in found.collect()) == sorted(wanted)
+            finally:
+                monkeypatch.undo()
+                time.tzset()
+
+
+def test_prices_never_fail(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps(ENTRIES))
+    (tmp_path / "bad.json").write_text("no json")
+    (tmp_path / "empty.json").write_text("{}")
+    assert as_list(load_prices(spark, str(tmp_path / "good.json"))) == EXPECTED
+    for name in ("bad", "empty", "absent"):
+        assert [m for _, m, _ in as_list(load_prices(spark, str(tmp_path / f"{name}.json")))] == [m for _, m, _ in FALLBACK]
+
+
+def test_a_loaded_list_joins_the_history(spark, tmp_path):
+    paths = str(tmp_path / "snapshots"), str(tmp_path / "entries")
+    now = datetime(2024, 6, 1, 12)
+    prices.append_price_list(listed(spark, [("p", "old", 1.0)]), now - timedelta(hours=9), *paths)
+    prices.append_price_list(listed(spark, [("p", "new", 1.0), ("p", "newer", 1.0)]), now - timedelta(hours=1), *paths)
+    history = [spark.read.parquet(p) for p in paths]
+    assert sorted(r.model for r in prices.current_prices(*history, now, fallback_prices(spark)).collect()) == ["new", "newer"]

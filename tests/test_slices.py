@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from inktally.operators import places, profile, slices
 from inktally.operators.documents import RowText
-from inktally.operators.ordering import ranked, running_totals, sorted_ranges, without_repeats
+from inktally.operators.ordering import ranked, running_totals, sample_size, sorted_ranges, without_repeats
 from inktally.spec import TableSpec
 
 
@@ -146,6 +146,16 @@ def test_newest_change_of_a_text_column(spark):
     assert profile.table_snapshot(odd, spec).first().max_updated_at is None
 
 
+def test_samples_of_long_keys_are_smaller(spark):
+    assert sample_size(10, 200) == 100 and sample_size(1 << 20, 200) == 2
+    assert sample_size(50_000, 4) == 100 and 20 < sample_size(10_000, 80) < 30
+    from inktally.operators import ordering
+
+    before = spark.conf.get(ordering._SAMPLE)
+    frame = spark.createDataFrame([("x" * 1000, i) for i in range(50)], "s string, i int")
+    assert ranked(frame, [F.col("s"), F.col("i")]).count() == 50 and spark.conf.get(ordering._SAMPLE) == before
+
+
 def test_chunks_do_not_depend_on_the_layout(spark):
     rows = [(i // 50, f"x{i % 13}") for i in range(300)]
     made = []

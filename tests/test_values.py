@@ -115,6 +115,18 @@ def test_json_documents(spark):
     assert [r.t for r in shown][-3:] == ["x\x1fy", "[true,false]", None]
 
 
+def test_numbers_in_json_documents(spark):
+    """Usual numbers stay with the built-in writer; all come out as the plain function writes them."""
+    rng = random.Random(6)
+    made = [rng.choice([1, -1]) * rng.random() * 10 ** rng.randint(-9, 12) for _ in range(300)]
+    texts = [repr(x) for x in made] + [f"{x:.{rng.randint(0, 12)}f}" for x in made]
+    texts += ["-0", "-0.0", "0", "0.0", "0.1", "-0.5", "10.10", "0.000001", "0.00000123", "123456789012345", "1234567890123456", "1e5"]
+    found = [f'{{"v1.20": "1.50 x\\" 2e3", "n": [{t}]}}' for t in texts] + ['"' + "\\n" * 20000 + '"', '"' + "a" * 200000 + '"']
+    frame = spark.createDataFrame([(t,) for t in found], "d string")
+    rows = with_canonical_json(frame, F.col("d"), "c").collect()
+    assert [(r.d, r.c) for r in rows] == [(t, canonical_text(t)) for t in found]
+
+
 def test_canonical_json_is_free_of_key_order(spark):
     random.seed(3)
     for _ in range(50):
