@@ -138,7 +138,55 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": TOP_K, "op6_line_dedup": LINE_DEDUP}
+    return {"op1_secrets": _secrets_sql(), "op4_topk": TOP_K, "op6_line_dedup": LINE_DEDUP}
+
+
+def _secrets_sql() -> str:
+    """Parts by the same patterns; gaps between matches give their places, ordered windows their neighbours."""
+
+    def found(kind: secrets.Kind) -> str:
+        pattern = "'" + kind.pattern.replace("'", "''") + "'"
+        return f"""
+select r, '{kind.name}' as kind, '{kind.role}' as role, {kind.least} as least, '{kind.also or ""}' as also,
+  {kind.also_least} as also_least, unnest(range(1, len(m) + 1)) as n, unnest(list_slice(g, 1, len(m))) as gap,
+  unnest(m) as m, unnest(v) as v
+from (select r, regexp_extract_all(t, {pattern}, 0) as m, regexp_extract_all(t, {pattern}, {kind.group}) as v,
+  string_split_regex(t, {pattern}) as g from docs)"""
+
+    def near(role: str, way: str) -> str:
+        place = f"case when role = '{role}' then struct_pack(s := start, e := stop) end"
+        order = f"start {way}, stop {way}, kind {way}"
+        return (
+            f"last_value({place} ignore nulls) over (partition by r, scope order by {order} "
+            f"rows between unbounded preceding and 1 preceding) as {role}_{way}"
+        )
+
+    def close(role: str) -> str:
+        before = f"({role}_asc is not null and greatest(start - {role}_asc.e, 0) <= {secrets.REACH})"
+        return f"({before} or ({role}_desc is not null and greatest({role}_desc.s - stop, 0) <= {secrets.REACH}))"
+
+    roles = ("secret", "identifier", "endpoint")
+    sides = ", ".join(near(role, way) for role in roles for way in ("asc", "desc"))
+    listed = ", ".join(f"'{k}'" for k in secrets.LISTED)
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    text = "kind || ':' || start || ':' || stop"
+    order = "order by start, rank"
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in secrets.BASE)
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+found as ({" union all ".join(map(found, secrets.KINDS))}),
+placed as (select *, sum(length(gap) + length(m)) over (partition by r, kind order by n) as stop from found),
+judged as (select r, role, stop - length(m) as start, stop,
+  case when length(v) >= least then kind when also <> '' and length(v) >= also_least then also end as kind from placed),
+scoped as (select *, count(*) filter (kind = 'scope') over (partition by r order by start, stop, kind
+  rows unbounded preceding) as scope from judged where kind is not null),
+wide as (select *, {sides} from scoped),
+spans as (select *, list_position([{listed}], kind) as rank from wide where kind in ({base}) or kind <> 'scope' and (
+  role = 'secret' and ({close("identifier")} or {close("endpoint")}) or role <> 'secret' and {close("secret")}))
+select any_value(doc_id) as doc_id, {counts},
+  sha256(coalesce(string_agg({text}, ',' {order}) filter (kind in ({base})), '')) as base_sha256,
+  coalesce(string_agg({text}, ',' {order}), '') as spans
+from docs left join spans using (r) group by r"""
 
 
 TOP_K = """
