@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cuts of a step, bytes of sampled keys on the driver, rows that one task may put in order.
-CUTS, SAMPLE_BYTES, FEW = 200, 16 << 20, 20_000
+#: Cuts of a step, sampled keys for each, their bytes on the driver, rows that one task may put in order.
+CUTS, PER_CUT, SAMPLE_BYTES, FEW = 15, 20, 16 << 20, 20_000
 
 
 def sort_key(order: Sequence[Column]) -> Column:
@@ -39,8 +39,8 @@ def literal(frame: DataFrame, key: Row, name: str = "_key") -> Column:
 
 
 def _cuts(part: DataFrame, count: int) -> list[Row]:
-    """Some keys of ``part`` in order, its largest among them."""
-    share, seed = min(1.0, CUTS / count), 1
+    """Some keys of ``part`` in order, about equally far apart."""
+    share, seed = min(1.0, CUTS * PER_CUT / count), 1
     while True:
         some = part.sample(share, seed) if share < 1 else part
         size = some.agg(F.sum(F.octet_length(F.to_json("_key"))).alias("bytes")).first()["bytes"]
@@ -50,18 +50,28 @@ def _cuts(part: DataFrame, count: int) -> list[Row]:
             share = share * SAMPLE_BYTES / size / 2
         else:
             break
-    largest = part.agg(F.max("_key").alias("_key"))
-    keys = some.select("_key").unionByName(largest).distinct().orderBy("_key")
-    return [row["_key"] for row in keys.collect()]
+    keys = [row["_key"] for row in some.orderBy("_key").collect()]
+    chosen = [keys[len(keys) * i // (CUTS + 1)] for i in range(1, CUTS + 1)]
+    return [key for i, key in enumerate(chosen) if not i or key != chosen[i - 1]]
+
+
+def _range_of(cuts: Column, low: int, high: int) -> Column:
+    """How many cuts are not above the key, found by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    below = F.col("_key") < cuts[middle]
+    return F.when(below, _range_of(cuts, low, middle)).otherwise(_range_of(cuts, middle + 1, high))
 
 
 def place_at(keys: DataFrame, rank: int) -> Place | None:
     """The place of the row with that many rows before it; None beyond the end.
 
     ``keys`` has one column ``_key``.  Runs jobs: two or three scans of the key
-    columns per step, each step some hundred times narrower than the last.
+    columns per step, each step some ten times narrower than the last.
     """
     part, before, count = keys, rank, keys.count()
+    bounds: list[Row | None] = [None, None]
     while before < count:
         if count <= FEW:
             order = Window.orderBy("_key")
@@ -71,21 +81,23 @@ def place_at(keys: DataFrame, rank: int) -> Place | None:
             row = found.first()
             return Place(row["_key"], before + 1 - row["_rank"])
         cuts = _cuts(part, count)
+        if len(cuts) == 1:  # perhaps one key alone; else its largest is a cut that parts it
+            ends = part.agg(F.min("_key").alias("low"), F.max("_key").alias("high")).first()
+            if ends["low"] == ends["high"]:
+                return Place(ends["low"], before)
+            cuts = [ends["high"]]
         layout = T.StructType([T.StructField("cuts", T.ArrayType(keys.schema["_key"].dataType))])
         listed = keys.sparkSession.createDataFrame([(cuts,)], layout).select("cuts").scalar()
-        own = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_key")))
+        own = _range_of(F.col("_cuts"), 0, len(cuts))
         sizes = part.withColumn("_cuts", listed).groupBy(own.alias("range")).count().orderBy("range").collect()
         for size in sizes:
             if before < size["count"]:
                 break
             before -= size["count"]
-        low = cuts[size["range"] - 1] if size["range"] else None
-        high = cuts[size["range"]] if size["range"] < len(cuts) else None
-        if high is None:  # the largest key alone
-            return Place(low, before)
+        low = cuts[size["range"] - 1] if size["range"] else bounds[0]
+        high = cuts[size["range"]] if size["range"] < len(cuts) else bounds[1]
+        bounds = [low, high]
         part, count = between(keys, low, high), size["count"]
-        if low is not None and part.where(F.col("_key") > literal(keys, low)).isEmpty():
-            return Place(low, before)
     return None
 
 

@@ -36,21 +36,28 @@ class TableSource:
 
 
 def all_page_texts(
-    tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = True
+    tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = True, parts: int | None = None
 ) -> DataFrame:
     """The texts of all tables, a row each.
 
     ``narrow`` reads column files in two scans, the content columns and then
     the rows without any line; sources that cannot prune columns take one.
+    ``parts`` deals the texts out, for tables that come in fewer splits than
+    the cluster has cores; scans of many splits are better left alone.
     """
-    return for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
+    texts = for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
+    return texts if parts is None else texts.repartition(parts)
 
 
 def estimate_tables(
-    tables: Sequence[Table], tokenizer: Tokenizer, config: EstimateConfig | None = None, narrow: bool = True
+    tables: Sequence[Table],
+    tokenizer: Tokenizer,
+    config: EstimateConfig | None = None,
+    narrow: bool = True,
+    parts: int | None = None,
 ) -> DataFrame:
     """Rows and tokens of each table, as one lazy query; texts stay in the JVM."""
-    counted = piece_tokens(piece_counts(all_page_texts(tables, config, narrow), tokenizer), tokenizer)
+    counted = piece_tokens(piece_counts(all_page_texts(tables, config, narrow, parts), tokenizer), tokenizer)
     listed = small_frame(
         counted.sparkSession, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string"
     )

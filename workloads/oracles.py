@@ -319,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "large_tables": f"select * from ({_COUNTS}) where row_count >= {THRESHOLD}",
         "chunk_plan": _PLAN.format(threshold=THRESHOLD, size=CHUNK),
         "ordered_slice": "select * from orders order by o_orderkey limit 300 offset 1000",
-        "deep_slice": "select * from conversations order by conv_id, turn limit 250 offset 1500",
+        "deep_slice": "select * from events order by event_id limit 90 offset 900",
         "slice_lineitem": "select * from lineitem order by all limit 1000 offset 3000",
         "bounded_scan": "select * from events order by event_id offset 500",
         "chunk_estimates": _chunks("orders", "o_orderkey", f"length({_content('orders')})", 1000),

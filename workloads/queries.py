@@ -183,7 +183,7 @@ def ordered_slice(spark, folder):
 
 @query
 def deep_slice(spark, folder):
-    return slices.ordered_slice(*table(spark, folder, "conversations"), offset=1500, limit=250)
+    return slices.ordered_slice(*table(spark, folder, "events"), offset=900, limit=90)
 
 
 @query
@@ -383,7 +383,8 @@ def doc_tokens_pairs(spark, folder):
 
 
 def _all_pieces(spark, folder, used):
-    return token_jobs.piece_counts(all_page_texts(dealt(tables(spark, folder))), used)
+    texts = all_page_texts(tables(spark, folder), parts=spark.sparkContext.defaultParallelism)
+    return token_jobs.piece_counts(texts, used)
 
 
 @query
@@ -417,12 +418,12 @@ def pieces_in_vocabulary(spark, folder):
 
 @query
 def table_estimates(spark, folder):
-    return estimate_tables(dealt(tables(spark, folder)), tokenizer())
+    return estimate_tables(tables(spark, folder), tokenizer(), parts=spark.sparkContext.defaultParallelism)
 
 
 @query
 def table_estimates_pairs(spark, folder):
-    return estimate_tables(dealt(tables(spark, folder)), pairs_tokenizer())
+    return estimate_tables(tables(spark, folder), pairs_tokenizer(), parts=spark.sparkContext.defaultParallelism)
 
 
 @query
