@@ -196,7 +196,9 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -
     known = labels.where("doc_id is not null and toxic is not null").where(~in_fold(folds, fold))
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     texts = docs.where(~in_fold(folds, fold)).select("doc_id", "text")
-    return Model.fit(stored(texts.join(known, "doc_id").select("doc_id", "text", "label"), "labelled"))
+    # Labels grow with the documents, so they are never broadcast, also while they are few.
+    labelled = texts.hint("merge").join(known, "doc_id").select("doc_id", "text", "label")
+    return Model.fit(stored(labelled, "labelled"))
 
 
 def with_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
