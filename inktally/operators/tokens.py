@@ -114,19 +114,20 @@ def piece_counts(
 ) -> DataFrame:
     """How often each piece of the split pattern occurs, per table or other group.
 
-    The empty piece counts the documents themselves.  The JVM splits and counts;
+    The null piece counts the documents themselves.  The JVM splits and counts;
     ``(?U)`` makes ``\\s`` mean Unicode white space, as it does in the
     tokenizer.  Counts are added up before the shuffle, so a frequent piece is
-    one row per task.
+    one row per task.  A document may stand for several, told by ``copies``.
     """
     pattern = F.lit(f"(?U){tokenizer.pattern}")
     found = F.regexp_extract_all(tokenizer.guarded(F.col(text)), pattern, F.lit(0))
-    own = F.filter(found, lambda piece: piece != "")
-    pieces = F.concat(F.array(F.lit("")), F.coalesce(own, F.array().cast("array<string>")))
+    pieces = F.concat(F.array(F.lit(None).cast("string")), found)
+    copies = F.col("copies") if "copies" in documents.columns else F.lit(1)
     return (
-        documents.select(*by, F.explode(pieces).alias("piece"))
+        documents.select(*by, copies.cast("bigint").alias("copies"), F.explode(pieces).alias("piece"))
+        .where("piece is null or piece <> ''")
         .groupBy(*by, "piece")
-        .agg(F.count(F.lit(1)).alias("piece_count"))
+        .agg(F.sum("copies").alias("piece_count"))
     )
 
 
@@ -136,18 +137,17 @@ def piece_tokens(
     """Documents and token totals per group from :func:`piece_counts`.
 
     A piece that is in the vocabulary is one token; an equi-join finds those.
-    Only the others are encoded by the tokenizer library, once per group.
+    Only the others are encoded by the tokenizer library, once per group; it
+    sees nulls in place of the first.
     """
     counter = tokenizer.counter(pieces.sparkSession)
     ranks = tokenizer.rank_table(pieces.sparkSession)
     joined = pieces.withColumn("token", F.encode("piece", "utf-8")).join(ranks, "token", "left")
-    one = F.when(F.col("piece") == "", 0).otherwise(1).cast("bigint")
-    plain = joined.where((F.col("piece") == "") | F.col("rank").isNotNull()).select(*by, "piece", "piece_count", one.alias("length"))
-    rare = joined.where((F.col("piece") != "") & F.col("rank").isNull()).select(*by, "piece", "piece_count")
-    both = plain.unionByName(rare.withColumn("length", counter(F.col("piece"))))
-    return both.groupBy(*by).agg(
-        F.sum(F.when(F.col("piece") == "", F.col("piece_count")).otherwise(0)).alias("row_count"),
-        F.sum(F.col("length") * F.col("piece_count")).alias("token_count"),
+    rare = F.when(F.col("rank").isNull(), F.col("piece"))
+    length = F.when(F.col("rank").isNotNull(), 1).otherwise(counter(rare))
+    return joined.withColumn("length", length).groupBy(*by).agg(
+        F.sum(F.when(F.col("piece").isNull(), F.col("piece_count")).otherwise(0)).alias("row_count"),
+        F.coalesce(F.sum(F.col("length") * F.col("piece_count")), F.lit(0)).alias("token_count"),
     )
 
 

@@ -36,17 +36,23 @@ class TableSource:
 
 
 def all_page_texts(
-    tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = True, parts: int | None = None
+    tables: Sequence[Table], config: EstimateConfig | None = None, narrow: bool = True
 ) -> DataFrame:
     """The texts of all tables, a row each.
 
     ``narrow`` reads column files in two scans, the content columns and then
     the rows without any line; sources that cannot prune columns take one.
-    ``parts`` deals the texts out, for tables that come in fewer splits than
-    the cluster has cores; scans of many splits are better left alone.
     """
-    texts = for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
-    return texts if parts is None else texts.repartition(parts)
+    return for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
+
+
+def gathered_texts(texts: DataFrame) -> DataFrame:
+    """Each different text once, with its number of ``copies``.
+
+    Equal texts are added up before they are shuffled, so one with many copies
+    is one row per task.
+    """
+    return texts.groupBy(*texts.columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def estimate_tables(
@@ -54,10 +60,17 @@ def estimate_tables(
     tokenizer: Tokenizer,
     config: EstimateConfig | None = None,
     narrow: bool = True,
-    parts: int | None = None,
+    gather: bool = False,
 ) -> DataFrame:
-    """Rows and tokens of each table, as one lazy query; texts stay in the JVM."""
-    counted = piece_tokens(piece_counts(all_page_texts(tables, config, narrow, parts), tokenizer), tokenizer)
+    """Rows and tokens of each table, as one lazy query; texts stay in the JVM.
+
+    ``gather`` cuts each different text once and deals them out over the
+    cluster, at the price of shuffling the texts: for texts that repeat, and
+    for tables of few splits.  The result is the same.
+    """
+    texts = all_page_texts(tables, config, narrow)
+    counts = piece_counts(gathered_texts(texts) if gather else texts, tokenizer)
+    counted = piece_tokens(counts, tokenizer)
     listed = small_frame(
         counted.sparkSession, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string"
     )

@@ -56,7 +56,7 @@ def test_pieces_give_the_same_totals(spark, tokenizer, encoder):
     counts = piece_counts(texts(spark, EDGES * 3), tokenizer)
     import regex
 
-    pieces = [p for t in EDGES * 3 for p in ["", *regex.findall(tokenizer.pattern, t)]]
+    pieces = [p for t in EDGES * 3 for p in [None, *regex.findall(tokenizer.pattern, t)]]
     assert {r.piece: r.piece_count for r in counts.collect()} == {p: pieces.count(p) for p in pieces}
     total = piece_tokens(counts, tokenizer).first()
     assert total.token_count == 3 * sum(len(encoder.encode_ordinary(t)) for t in EDGES)
@@ -96,8 +96,8 @@ def test_estimates_equal_a_plain_loop(spark, data, tokenizer, encoder):
     for frame, spec in read:
         contents = [r.page_content for r in page_texts(frame, spec).collect()]
         expected[spec.table] = (len(contents), sum(len(encoder.encode_ordinary(t)) for t in contents))
-    for narrow in (False, True):
-        found = estimate_tables(read, tokenizer, narrow=narrow).collect()
+    for narrow, gather in ((False, False), (True, False), (True, True)):
+        found = estimate_tables(read, tokenizer, narrow=narrow, gather=gather).collect()
         assert {r.table: (r.row_count, r.token_count) for r in found} == expected
 
 

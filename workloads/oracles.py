@@ -358,7 +358,7 @@ select p_partkey, '{{"a":[' || p_partkey || ',0,100,"v1.2"],"b":' || {_number('p
         "chunk_tokens_pairs": _chunks("documents", "doc_id", _tokens("documents"), 100),
         "piece_counts": 'select schema, "table", piece, count(*) as piece_count from ('
         + _union(_pieces)
-        + f') group by all union all select schema, "table", \'\', row_count from ({_COUNTS})',
+        + f') group by all union all select schema, "table", null, row_count from ({_COUNTS})',
         "piece_tokens_pairs": _estimates(),
         "table_estimates_pairs": _estimates(),
         "total_of_tokens_pairs": f"select cast(sum(token_count) as bigint) as total_tokens from ({_estimates()})",

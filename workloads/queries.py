@@ -15,7 +15,14 @@ from inktally.operators import catalog, prices, profile, progress, slices
 from inktally.operators import tokens as token_jobs
 from inktally.operators.documents import RowText, documents, for_each_table, narrow_page_texts, page_texts, union_all
 from inktally.operators.estimates import table_report, total_rows, total_tokens
-from inktally.plans.estimate import TableSource, all_page_texts, estimate_tables, sources_of, table_results
+from inktally.plans.estimate import (
+    TableSource,
+    all_page_texts,
+    estimate_tables,
+    gathered_texts,
+    sources_of,
+    table_results,
+)
 from inktally.sources import information_schema
 from inktally.sources.price_files import fallback_prices, read_price_file
 from inktally.sources.scratch import scratch_folder
@@ -383,8 +390,7 @@ def doc_tokens_pairs(spark, folder):
 
 
 def _all_pieces(spark, folder, used):
-    texts = all_page_texts(tables(spark, folder), parts=spark.sparkContext.defaultParallelism)
-    return token_jobs.piece_counts(texts, used)
+    return token_jobs.piece_counts(gathered_texts(all_page_texts(tables(spark, folder))), used)
 
 
 @query
@@ -418,12 +424,12 @@ def pieces_in_vocabulary(spark, folder):
 
 @query
 def table_estimates(spark, folder):
-    return estimate_tables(tables(spark, folder), tokenizer(), parts=spark.sparkContext.defaultParallelism)
+    return estimate_tables(tables(spark, folder), tokenizer(), gather=True)
 
 
 @query
 def table_estimates_pairs(spark, folder):
-    return estimate_tables(tables(spark, folder), pairs_tokenizer(), parts=spark.sparkContext.defaultParallelism)
+    return estimate_tables(tables(spark, folder), pairs_tokenizer(), gather=True)
 
 
 @query
