@@ -31,7 +31,7 @@ NONE = 1 << 60
 #: Parts from which the minimum is kept in a heap, since looking through them again and again takes too long.
 LONG = 400
 #: Encoded words that a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 
 
 def _byte_letters() -> dict[str, int]:

@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """``frame`` written to the shared folder and read back: fixed rows that survive lost executors."""
     path = f"{shared_folder(frame.sparkSession)}/inktally-llm-{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -72,7 +72,8 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut small, so that a worker holds few texts at a time."""
+    """The batches cut small, so that a worker holds few texts at a time; what it no longer needs goes back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
