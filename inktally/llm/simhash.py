@@ -20,34 +20,39 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inktally.llm.common import LAST_ID, pieces, stored, whole_row, with_results
+from inktally.llm.common import pieces, stored, whole_row, with_results
 from inktally.llm.graph import components
 
 BITS = 64
-#: Hashes whose bits are summed at once.
-BLOCK = 1 << 16
+#: Hashes whose bits are summed at once, and pairs of trie nodes that go on at once.
+BLOCK, STATES = 1 << 16, 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """Majority bits of the hashes of all word shingles."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of all word shingles; of a text with fewer words, that of its words."""
     words = (text or b"").lower().split()  # on bytes, both know ASCII only: A-Z, and 0x20 with 0x09-0x0D
     if not words:
-        return 0
-    line = b" ".join(words)
+        return np.empty(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)
+        return np.array([digest(line, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: -shingle] + 1]).tolist()
-    ends = ends[shingle - 1 :].tolist()
-    ones, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(starts), BLOCK):
-        spans = zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)
-        hashes = np.array([digest(line[a:b], seed) for a, b in spans], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+    spans = zip(starts, ends[shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, len(starts))
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """Majority bits of the hashes of all word shingles."""
+    hashes = shingle_hashes(text, shingle, seed)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        block = hashes[at : at + BLOCK].astype(">u8")
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -82,15 +87,24 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, budget: int) -> tupl
         out_left.append(i[near])
         out_right.append(j[near])
 
-    for bit in reversed(range(BITS)):
-        small = (state[1] - state[0]) * (state[3] - state[2]) <= 16
+    def ones_of(values: np.ndarray, bit: int) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
+
+    ones, todo = {}, [(BITS - 1, state)]
+    while todo:  # in depth, so that few node pairs are held at a time
+        bit, state = todo.pop()
+        if state.shape[1] > STATES:
+            todo += [(bit, state[:, at : at + STATES]) for at in range(0, state.shape[1], STATES)]
+            continue
+        small = (state[1] - state[0]) * (state[3] - state[2]) <= (16 if bit >= 0 else np.inf)  # at last, equal values only
         if small.any():
             settle(state[:, small])
             state = state[:, ~small]
         if not state.shape[1]:
-            break
-        ones_l = np.concatenate([[0], np.cumsum((left >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
-        ones_r = ones_l if alone else np.concatenate([[0], np.cumsum((right >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
+            continue
+        if bit not in ones:
+            ones[bit] = (of_left := ones_of(left, bit)), of_left if alone else ones_of(right, bit)
+        ones_l, ones_r = ones[bit]
         lo, hi, lo2, hi2, left_over = state
         mid, mid2 = hi - (ones_l[hi] - ones_l[lo]), hi2 - (ones_r[hi2] - ones_r[lo2])
         crossed = [(lo, mid, mid2, hi2, left_over - 1)]
@@ -98,9 +112,7 @@ def close_pairs(left: np.ndarray, right: np.ndarray | None, budget: int) -> tupl
         crossed.append((mid, np.where(mirrored, mid, hi), lo2, mid2, left_over - 1))
         children = [(lo, mid, lo2, mid2, left_over), (mid, hi, mid2, hi2, left_over), *crossed]
         state = np.concatenate([np.array(c) for c in children], axis=1)
-        state = state[:, (state[4] >= 0) & (state[1] > state[0]) & (state[3] > state[2])]
-    if state.shape[1]:  # equal values only
-        settle(state)
+        todo.append((bit - 1, state[:, (state[4] >= 0) & (state[1] > state[0]) & (state[3] > state[2])]))
     return np.concatenate([*out_left, np.empty(0, np.int64)]), np.concatenate([*out_right, np.empty(0, np.int64)])
 
 
@@ -156,15 +168,20 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: in
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each component: that of its smallest doc_id, and of equal doc_ids one with the smallest text.
+def one_of_each(docs: DataFrame, key: Column, roots: DataFrame) -> DataFrame:
+    """One row of each root: that of its smallest doc_id, null last, and of equal doc_ids one with the smallest text.
 
-    Rows without a doc_id count as one document, which stays only if no other of its component has one.
+    ``roots`` has (node, root), for each node once; a key that is no node is its own root.
     """
-    linked = near_duplicates(docs, budget, shingle, seed)
-    no_id = F.lit(LAST_ID)
-    ids = linked.where("doc_id <=> component_id").select(F.coalesce("doc_id", no_id).alias("id")).distinct()
-    body = F.struct(F.coalesce("text", F.lit(""))).alias("body")
-    kept = whole_row(docs, F.coalesce(F.col("doc_id").cast("long"), no_id).alias("id"), body).join(ids, "id", "left_semi")
-    lone = kept.groupBy("id").agg(F.min_by("given", "body").alias("given"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    rows = whole_row(docs, key.alias("node"), order.alias("order")).join(roots, "node", "left")
+    lone = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min_by("given", "order").alias("given"))
     return with_results(lone, docs.columns)
+
+
+def without_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component, whatever doc_ids repeat or are missing."""
+    key = F.xxhash64("text")
+    linked = near_duplicates(docs.select(key.alias("doc_id"), "text"), budget, shingle, seed)
+    roots = linked.groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("root"))
+    return one_of_each(docs, key, roots)

@@ -160,3 +160,15 @@ def test_line_query_digest(spark, tmp_path):
     assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in rows], key=repr) == sorted(want, key=repr)
     prints = queries.op8_simhash(spark, str(tmp_path)).where(F.col("doc_id") == 5).first()
     assert prints.fingerprint == f"{_brute_fingerprint(EDGES[7][1]):016x}"
+
+
+def test_rows_without_or_with_repeated_ids_stay(spark):
+    """One row of each component, not one of each doc_id."""
+    base = prose(71, 300)
+    near = base.replace(" ", "  ", 1)
+    rows = [(None, prose(s, 200)) for s in range(60, 66)] + [(7, prose(s, 200)) for s in range(66, 69)]
+    rows += [(3, base), (8, near), (8, prose(72, 200)), (None, near.upper())]
+    want = sorted([t for i, t in rows if t not in (near, near.upper())])
+    for stage in (simhash.without_near_duplicates,):
+        kept = stage(table(spark, rows))
+        assert sorted(r.text for r in kept.collect()) == want and kept.columns == table(spark, []).columns
