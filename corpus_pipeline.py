@@ -11,7 +11,7 @@ from inktally.llm.common import given, stored
 from inktally.llm.decontaminate import without_contaminated
 from inktally.llm.language_id import UNKNOWN, identified
 from inktally.llm.line_dedup import without_repeated_lines
-from inktally.llm.simhash import without_near_duplicates
+from inktally.llm.near_copies import without_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return without_near_duplicates(docs)
+    """Of each group of texts with a similarity of 0.8 or more over five words, the document with the smallest doc_id stays."""
+    return without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,3 +139,15 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    """A copy with a word in sixty replaced goes, a text that shares a third of its words stays."""
+    body = prose(300, 300, 3000).replace("\n", " ")
+    words = body.split()
+    near = " ".join("other" if i % 60 == 30 else w for i, w in enumerate(words))
+    far = " ".join([*words[:100], *prose(301, 200, 3000).split()])
+    rows = [(5, body, "aa"), (6, near, "aa"), (7, far, "aa"), (None, prose(302, 200, 3000), "aa"), (None, prose(303, 200, 3000), "aa")]
+    docs = table(spark, rows).drop("hits")
+    kept = corpus_pipeline.simhash_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in kept), key=repr) == [5, 7, None, None]
