@@ -10,7 +10,8 @@ An item of n words is found where a passage of the document can be turned into i
    make windows that agree with the item in any key candidates. ``walks * samples`` sets the recall.
 3. Candidates are verified by the exact edit distance to the best passage around the window.
 
-Words are runs of letters and digits, without the case of A-Z. Defined results: null, empty and wordless
+Words are runs of Unicode letters, digits and the marks on them, without case; in scripts that are written without
+spaces, each character with its marks is a word. Defined results: null, empty and wordless
 texts and items match nothing; repeated rows are all returned, with the same result; equal item texts are
 all reported; a null item_id is reported as null; no documents give no rows, no items give no hits. Extra
 columns pass through; of the columns named like a result, the result stays.
@@ -19,6 +20,8 @@ columns pass through; of the columns named like a result, the result stays.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +33,33 @@ from pyspark.sql import types as T
 
 from inktally.llm.common import pieces, sent
 
-WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Blocks of scripts without spaces: Thai, Lao, Burmese, Khmer, Tai, Balinese, kana, bopomofo, Han, Yi, Javanese.
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007),
+    (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF),
+    (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+]
+
+
+def _word_pattern() -> str:
+    """A letter or digit and what follows of its word."""
+    unspaced = bytearray(sys.maxunicode + 1)
+    for a, b in UNSPACED:
+        unspaced[a : b + 1] = b"\1" * (b + 1 - a)
+    ranges: dict[tuple[bool, bool], list[list[int]]] = {(m, u): [] for m in (False, True) for u in (False, True)}
+    for code in range(sys.maxunicode + 1):
+        if (kind := unicodedata.category(chr(code))[0]) in "LNM":
+            of = ranges[kind == "M", bool(unspaced[code])]
+            if of and of[-1][1] == code - 1:
+                of[-1][1] = code
+            else:
+                of.append([code, code])
+    text = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in ranges.items()}
+    marks = text[True, False] + text[True, True]
+    return f"[{text[False, False]}][{text[False, False]}{marks}]*|[{text[False, True]}][{marks}]*"
+
+
+WORD = re.compile(_word_pattern())
 GRAM = 3
 #: Bytes of item texts that are sent to every executor at once; more items go in several blocks.
 BLOCK_BYTES = 8 << 20
@@ -40,6 +69,11 @@ SYMBOLS = 1 << 12
 HIT = "array<struct<item_id:bigint,distance:int,n_words:int,start:int,end:int>>"
 
 
+def lowered(text: str) -> str:
+    """``text`` without case, a code point for each; the only letter that would become two, and the final sigma, become plain."""
+    return text if text.isascii() and text.islower() else text.replace("\u0130", "i").lower().replace("\u03c2", "\u03c3")
+
+
 @dataclass
 class Item:
     item_id: int | None
@@ -53,10 +87,10 @@ class Items:
     """A block of items, with their grams and the keys of their embeddings."""
 
     def __init__(self, rows: list[tuple[int | None, str]], similarity: float) -> None:
-        self.ids: dict[bytes, int] = {}
+        self.ids: dict[str, int] = {}
         self.items: list[Item] = []
         for item_id, text in rows:
-            if words := WORD.findall((text or "").encode().lower()):
+            if words := WORD.findall(lowered(text or "")):
                 codes = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], np.int64)
                 n = len(codes)
                 edits = int((1 - similarity) * n + 1e-9)
@@ -139,8 +173,7 @@ class Items:
         """(item_id, edits, words of the item, start, end) of the best passage of each item found; code points."""
         if not text or not self.items:
             return []
-        raw = text.encode()
-        lower = raw.lower()
+        lower = lowered(text)
         found = WORD.findall(lower)
         get = self.ids.get
         words = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
@@ -160,9 +193,7 @@ class Items:
                     best = (distance, lo + a, lo + b)
             if best:
                 spans = spans or [m.span() for m in WORD.finditer(lower)]
-                start = len(raw[: spans[best[1]][0]].decode())
-                end = start + len(raw[spans[best[1]][0] : spans[best[2] - 1][1]].decode())
-                out.append((item.item_id, best[0], n, start, end))
+                out.append((item.item_id, best[0], n, spans[best[1]][0], spans[best[2] - 1][1]))
         return sorted(out, key=lambda h: (h[3], h[4], h[0] is None, h[0] or 0))
 
 

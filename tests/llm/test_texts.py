@@ -178,6 +178,30 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(table(spark, []), frame).count() == 0
 
 
+def test_words_of_other_scripts(spark):
+    """Copies between typographic quotes, in other case, and within sentences of scripts without spaces."""
+    rng = random.Random(6)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
+    thai = "ประเทศไทยเป็นประเทศที่ตั้งอยู่ในเอเชียตะวันออกเฉียงใต้"
+    items = [(1, "five words that are quoted"), (2, han[100:125]), (3, "吾輩は猫である。名前はまだ無い。"), (4, thai), (5, "ÉTÉ À ÉVRY ОДИН ДВА ΟΔΟΣ İKİ"), (6, "हिन्दी में लिखा हुआ वाक्य")]
+    rows = [
+        (1, "He said “five words that are quoted” — and left"), (2, "they\u00a0wrote—five words that are quoted…"),
+        (3, "前" + han[:90] + "，" + han[90:200]), (4, "昨日、「吾輩は猫である。名前はまだ無い」と言った。"), (5, "วันนี้" + thai + "และ"),
+        (6, "«été à évry один два οδος iki»"), (7, han[:100] + han[125:]), (8, "“हिन्दी में लिखा हुआ वाक्य”"),
+        (9, "five—words—that—are—else"), (10, han[:100] + han[100:110] + "".join(reversed(han[110:113])) + han[113:200]),
+    ]
+    found = decontaminate.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    hits = {(r.doc_id, r.item_id): (r.distance, r.n_words) for r in found}
+    assert hits == {
+        (1, 1): (0, 5), (2, 1): (0, 5), (3, 2): (0, 25), (4, 3): (0, 14), (5, 4): (0, hits[5, 4][1]), (6, 5): (0, 7), (8, 6): (0, 5),
+        (10, 2): (2, 25),
+    } | ({(9, 1): (1, 5)} if (9, 1) in hits else {})
+    assert hits[5, 4][1] > 30
+    texts = dict(rows)
+    assert {texts[r.doc_id][r.start : r.end] for r in found if r.doc_id in (1, 2)} == {"five words that are quoted"}
+    assert all(len(c.lower()) == 1 for c in map(chr, range(0x110000)) if c != "\u0130")
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     items = [(i, prose(i, 30)) for i in range(12)]
     rows = [(i, prose(100 + i, 50) + prose(i, 30) + prose(200 + i, 50)) for i in range(12)]
