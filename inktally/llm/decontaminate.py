@@ -20,10 +20,10 @@ columns pass through; of the columns named like a result, the result stays.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.llm.common import pieces, sent
+from inktally.llm.common import bare_name, pieces, sent
 
 #: Blocks of scripts without spaces: Thai, Lao, Burmese, Khmer, Tai, Balinese, kana, bopomofo, Han, Yi, Javanese.
 UNSPACED = [
@@ -41,25 +41,40 @@ UNSPACED = [
 ]
 
 
-def _word_pattern() -> str:
-    """A letter or digit and what follows of its word."""
-    unspaced = bytearray(sys.maxunicode + 1)
-    for a, b in UNSPACED:
-        unspaced[a : b + 1] = b"\1" * (b + 1 - a)
-    ranges: dict[tuple[bool, bool], list[list[int]]] = {(m, u): [] for m in (False, True) for u in (False, True)}
-    for code in range(sys.maxunicode + 1):
-        if (kind := unicodedata.category(chr(code))[0]) in "LNM":
-            of = ranges[kind == "M", bool(unspaced[code])]
-            if of and of[-1][1] == code - 1:
-                of[-1][1] = code
-            else:
-                of.append([code, code])
-    text = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in ranges.items()}
-    marks = text[True, False] + text[True, True]
-    return f"[{text[False, False]}][{text[False, False]}{marks}]*|[{text[False, True]}][{marks}]*"
-
-
-WORD = re.compile(_word_pattern())
+class _Kinds(dict):
+    """Code points to what they are in a word: ``a`` letter or digit, ``u`` one of an unspaced script, ``m`` mark, else a space."""
+
+    def __missing__(self, code: int) -> str:
+        major = unicodedata.category(chr(code))[0]
+        letter = "u" if any(a <= code <= b for a, b in UNSPACED) else "a"
+        self[code] = {"L": letter, "N": letter, "M": "m"}.get(major, " ")
+        return self[code]
+
+
+_KINDS = _Kinds()
+#: Words where the highest character is ASCII, or below the first mark; and words among kinds of characters.
+_ASCII, _LATIN, _CODED = re.compile(r"[a-z0-9]+"), re.compile(r"[^\W_]+"), re.compile(r"a[am]*|um*")
+_HIGH = re.compile("[\u0300-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a lower-cased text; the kind of search is chosen by its highest character, the words are the same."""
+    if text.isascii():
+        return _ASCII.findall(text)
+    if not _HIGH.search(text):
+        return _LATIN.findall(text)
+    return [text[a:b] for a, b in spans_of(text)]
+
+
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """Where the words of a lower-cased text start and end, in code points."""
+    if text.isascii():
+        return [m.span() for m in _ASCII.finditer(text)]
+    if not _HIGH.search(text):
+        return [m.span() for m in _LATIN.finditer(text)]
+    return [m.span() for m in _CODED.finditer(text.translate(_KINDS))]
+
+
 GRAM = 3
 #: Bytes of item texts that are sent to every executor at once; more items go in several blocks.
 BLOCK_BYTES = 8 << 20
@@ -90,7 +105,7 @@ class Items:
         self.ids: dict[str, int] = {}
         self.items: list[Item] = []
         for item_id, text in rows:
-            if words := WORD.findall(lowered(text or "")):
+            if words := words_of(lowered(text or "")):
                 codes = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], np.int64)
                 n = len(codes)
                 edits = int((1 - similarity) * n + 1e-9)
@@ -174,9 +189,9 @@ class Items:
         if not text or not self.items:
             return []
         lower = lowered(text)
-        found = WORD.findall(lower)
+        found = words_of(lower)
         get = self.ids.get
-        words = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        words = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
         out, spans = [], None
         for k, starts in self.windows(words):
             item = self.items[k]
@@ -192,7 +207,7 @@ class Items:
                 if distance <= item.edits and (best is None or (distance, lo + a) < best[:2]):
                     best = (distance, lo + a, lo + b)
             if best:
-                spans = spans or [m.span() for m in WORD.finditer(lower)]
+                spans = spans or spans_of(lower)
                 out.append((item.item_id, best[0], n, spans[best[1]][0], spans[best[2] - 1][1]))
         return sorted(out, key=lambda h: (h[3], h[4], h[0] is None, h[0] or 0))
 
@@ -262,6 +277,6 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8) ->
 
 def without_contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The documents in which no item is found."""
-    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
+    packed = docs.select("text", F.struct(*[F.col(bare_name(c)) for c in docs.columns]).alias("given"))
     clean = with_hits(packed, items, similarity).where(F.size("hits") == 0)
     return clean.select(*[F.col("given").getField(c).alias(c) for c in docs.columns])
