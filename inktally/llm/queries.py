@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inktally.llm import bpe, decontaminate, language_id, line_dedup, secrets, sharding, simhash, suffix_dedup, topk, toxicity
+from inktally.llm import (
+    bpe,
+    chat_format,
+    collocations,
+    decontaminate,
+    language_id,
+    line_dedup,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+    vector_codes,
+)
 from inktally.llm.common import given, whole_row
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +126,36 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    marked = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
+    rows = given(spark, folder, "conversations").select(*own.columns).unionByName(own)
+    known = tokenizer_file()
+    return chat_format.read_back(chat_format.formatted(rows, known), known)
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = given(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    found, books = vector_codes.coded(vectors)
+    digits = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    rows = found.select("vec_id", "label", digits.alias("code"), "error")
+    sums = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    whole = rows.join(sums, F.col("label").eqNullSafe(F.col("of")))
+    return whole.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.top_collocations(given(spark, folder, "documents"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -132,17 +176,27 @@ def queries() -> dict[str, Query]:
             op8_simhash,
             op9_decontaminate,
             op10_language_id,
+            op11_chat_format,
+            op12_vector_codes,
+            op13_collocations,
             pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _secrets_sql(), "op4_topk": TOP_K, "op6_line_dedup": LINE_DEDUP}
+    return {
+        "op1_secrets": _secrets_sql(),
+        "op4_topk": TOP_K,
+        "op6_line_dedup": LINE_DEDUP,
+        "op11_chat_format": CHAT_FORMAT,
+        "op12_vector_codes": _vector_codes_sql(),
+        "op13_collocations": COLLOCATIONS,
+    }
 
 
 def _secrets_sql() -> str:
-    """Parts by the same patterns; gaps between matches give their places, ordered windows their neighbours."""
+    """Parts by the same patterns; gaps between matches give their places; a plain join of parts tells which are close."""
 
     def found(kind: secrets.Kind) -> str:
         pattern = "'" + kind.pattern.replace("'", "''") + "'"
@@ -153,20 +207,6 @@ select r, '{kind.name}' as kind, '{kind.role}' as role, {kind.least} as least, '
 from (select r, regexp_extract_all(t, {pattern}, 0) as m, regexp_extract_all(t, {pattern}, {kind.group}) as v,
   string_split_regex(t, {pattern}) as g from docs)"""
 
-    def near(role: str, way: str) -> str:
-        place = f"case when role = '{role}' then struct_pack(s := start, e := stop) end"
-        order = f"start {way}, stop {way}, kind {way}"
-        return (
-            f"last_value({place} ignore nulls) over (partition by r, scope order by {order} "
-            f"rows between unbounded preceding and 1 preceding) as {role}_{way}"
-        )
-
-    def close(role: str) -> str:
-        before = f"({role}_asc is not null and greatest(start - {role}_asc.e, 0) <= {secrets.REACH})"
-        return f"({before} or ({role}_desc is not null and greatest({role}_desc.s - stop, 0) <= {secrets.REACH}))"
-
-    roles = ("secret", "identifier", "endpoint")
-    sides = ", ".join(near(role, way) for role in roles for way in ("asc", "desc"))
     listed = ", ".join(f"'{k}'" for k in secrets.LISTED)
     base = ", ".join(f"'{k}'" for k in secrets.BASE)
     text = "kind || ':' || start || ':' || stop"
@@ -180,9 +220,9 @@ judged as (select r, role, stop - length(m) as start, stop,
   case when length(v) >= least then kind when also <> '' and length(v) >= also_least then also end as kind from placed),
 scoped as (select *, count(*) filter (kind = 'scope') over (partition by r order by start, stop, kind
   rows unbounded preceding) as scope from judged where kind is not null),
-wide as (select *, {sides} from scoped),
-spans as (select *, list_position([{listed}], kind) as rank from wide where kind in ({base}) or kind <> 'scope' and (
-  role = 'secret' and ({close("identifier")} or {close("endpoint")}) or role <> 'secret' and {close("secret")}))
+spans as (select *, list_position([{listed}], kind) as rank from scoped s where kind in ({base}) or kind <> 'scope' and exists (
+  select 1 from scoped o where o.r = s.r and o.scope = s.scope and greatest(o.start - s.stop, s.start - o.stop, 0) <= {secrets.REACH}
+  and (s.role = 'secret' and o.role in ('identifier', 'endpoint') or s.role in ('identifier', 'endpoint') and o.role = 'secret')))
 select any_value(doc_id) as doc_id, {counts},
   sha256(coalesce(string_agg({text}, ',' {order}) filter (kind in ({base})), '')) as base_sha256,
   coalesce(string_agg({text}, ',' {order}), '') as spans
@@ -226,3 +266,87 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from judged group by doc_id, r
 """
+
+
+#: What each turn says, and the lengths of control strings and of backslashes put into texts that hold some.
+CHAT_FORMAT = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), written as (
+  select *, length(regexp_replace(regexp_replace(role || chr(0) || text, '(<\\*)(s>|/s>|\|endoftext\|>)', '\1\\\2', 'g'),
+    '(\[\\*)(INST\]|/INST\])', '\1\\\2', 'g')) - 1 + length('<s>[INST]' || '[/INST]' || '</s>') as chars
+  from turns
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from written group by conv_id
+"""
+
+
+def _vector_codes_sql() -> str:
+    """The rounds one after the other, each a plain assignment of all parts and the means of all entries."""
+    entries, parts, rounds, scale = vector_codes.ENTRIES, vector_codes.PARTS, vector_codes.ROUNDS, vector_codes.SCALE
+    steps = []
+    for k in range(1, rounds + 2):
+        steps.append(f"""
+a{k} as materialized (select row, p, any_value(part) as part, min(struct_pack(d := cast(list_sum(list_transform(
+    list_zip(part, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as bigint), e := e)) as best
+  from cut join c{k - 1} using (p) group by row, p)""")
+        if k <= rounds:
+            steps.append(f"""
+m{k} as (select p, best.e as e, unnest(part) as x, generate_subscripts(part, 1) as i from a{k}),
+s{k} as (select p, e, i, sum(x) as s, count(*) as n from m{k} group by p, e, i),
+u{k} as (select p, e, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from s{k} group by p, e),
+c{k} as materialized (select p, e, coalesce(u{k}.c, old.c) as c from c{k - 1} as old left join u{k} using (p, e))""")
+    return f"""
+with kept as materialized (select row_number() over () as row, vec_id, label,
+    list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cut as materialized (select row, vec_id, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) as part, v
+  from kept, range({parts}) as t(p)),
+first as (select *, row_number() over (partition by p order by vec_id nulls last, v) - 1 as e from cut),
+c0 as materialized (select p, e, part as c from first where e < {entries}),{",".join(steps)},
+coded as (select row, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' order by p) as code, cast(sum(best.d) as bigint) as error
+  from a{rounds + 1} group by row),
+book as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as digest from c{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, book.digest as codebooks_sha256
+from kept join coded using (row), book"""
+
+
+COLLOCATIONS = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as p from documents
+), cut as (
+  select lang, list_filter(string_split_regex(unnest(p), '[\x20\x09]+'), lambda w: w <> '') as w from texts
+), grams as (
+  select lang, unnest(list_transform(range(1, len(w) + 2 - k), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) as phrase, k
+  from cut, range(1, 4) as t(k)
+), f as materialized (
+  select lang, phrase, k, count(*) as n from grams group by all
+), totals as (
+  select lang, sum(n) as n from f where k = 1 group by lang
+), long as (
+  select lang, phrase, k, n as a, string_split(phrase, ' ') as w from f where k > 1 and n >= 10
+), cuts as (
+  select *, unnest(range(1, k)) as spot from long
+), scored as (
+  select c.lang, c.phrase, c.k, c.a, x.n as l, y.n as r, spot,
+    (1000000::hugeint * a * a) // (x.n::hugeint * y.n) as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(list_slice(w, 1, spot), ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(list_slice(w, spot + 1, c.k), ' ')
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, spot) = 1
+), kept as (
+  select * from best b where not exists (select 1 from long o where o.lang = b.lang and o.k > b.k and 100 * o.a >= 50 * b.a
+    and contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+), ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, totals.n as n, score
+  from kept join totals using (lang)
+)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""

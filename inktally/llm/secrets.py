@@ -142,8 +142,9 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
     earlier = [scope.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (place, [p.desc() for p in place])]
     near = {}
     for role in ("secret", "identifier", "endpoint"):
-        of = F.when(F.col("role") == role, F.struct("start", "end"))
-        near[role] = [F.last(of, True).over(window) for window in earlier]
+        # Before a part the nearest is the one that ends last, which need not start last; after it, the one that starts first.
+        ending = F.when(F.col("role") == role, F.struct("end", "start"))
+        near[role] = [F.max(ending).over(earlier[0]), F.last(ending, True).over(earlier[1])]
     wide = scoped.select("*", *[c.alias(f"{role}_{n}") for role, both in near.items() for n, c in enumerate(both)])
 
     def within(role: str) -> list[Column]:
