@@ -16,7 +16,8 @@ Codebooks start as the parts of the vectors with the smallest keys. Defined resu
 has null or non-finite components are dropped; rows with a null key come after all others where codebooks start, and
 rows with equal keys are separate ones in the order of their vectors; fewer rows than entries make smaller
 codebooks; empty vectors have empty parts and no error; no rows give no rows. Vectors of several lengths, or of one
-that the number of parts does not divide, raise ValueError, components of 2**42 and more an error of Spark. Extra
+that the number of parts does not divide, raise ValueError; components of 2**42 and more, and distances beyond 64 bits,
+fail the job. Extra
 columns pass through; of the columns named like a result, the result stays.
 """
 
