@@ -18,7 +18,7 @@ Hashes have 64 bits and two are compared everywhere, so an accidental match is a
 Defined results: a null text is empty; null doc_ids come after all others; rows that share a doc_id, or have
 none, are separate documents in the order of a hash of their texts, and equal rows among them are one document,
 returned as often as given; no rows give no rows. Extra columns pass through; of the columns named like a result,
-the result stays. doc_ids have to be below 2**62.
+the result stays.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inktally.llm.common import bare_name, pieces, stored, with_results
+from inktally.llm.common import LAST_ID, bare_name, pieces, stored, with_results
 
 #: Bytes that choose an anchor.
 GRAM = 32
@@ -41,8 +41,8 @@ GRAM = 32
 CHUNK, HELD = 1 << 19, 1 << 20
 #: Bytes of a group's text, about; distinct segments of an anchor that a group may have.
 GROUP_BYTES, LIMIT = 1 << 21, 1 << 15
-#: Layout of a place: 24 bits tell rows of one doc_id apart, 32 are the first window, 7 count further ones.
-ROW_BITS, SPAN_BITS = 24, 7
+#: Layout of a place: the first window, and 7 bits that count further ones.
+SPAN_BITS = 7
 _U = np.uint64
 
 
@@ -92,15 +92,13 @@ def segments(raw: np.ndarray, length: int, both: tuple[Hasher, Hasher]) -> Itera
 
 
 def _identity() -> tuple[Column, Column]:
-    """doc and row: the order of documents, and what tells rows of one doc_id apart."""
+    """doc and row: the order of documents; row, the whole hash of the text, tells rows of one doc_id or of none apart."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    nameless = F.lit(1 << 62) + F.shiftrightunsigned(mark, 3)
-    doc = F.coalesce(F.col("doc_id").cast("long"), nameless)
-    return doc.alias("doc"), mark.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("row")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), mark.alias("row")
 
 
 def anchored(texts: DataFrame, length: int) -> DataFrame:
-    """(key, hash, doc, place, known) of all segments of (doc, row, text).
+    """(key, hash, doc, row, place, known) of all segments of (doc, row, text).
 
     Of equal segments that a task meets, only the first is dealt by its anchor. The others are known to repeat;
     they get a key of their own, so that they are spread.
@@ -110,25 +108,26 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
         both, held, count = hashers(length), [], 0
 
         def sorted_out() -> pa.RecordBatch:
-            key, whole, doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((place, doc, whole, key))
-            key, whole, doc, place = key[order], whole[order], doc[order], place[order]
+            key, whole, doc, row, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((place, row, doc, whole, key))
+            key, whole, doc, row, place = key[order], whole[order], doc[order], row[order], place[order]
             # Equal rows give a place twice; it counts once.
-            once = np.concatenate([[True], (np.diff(place) != 0) | (np.diff(doc) != 0) | (key[1:] != key[:-1])])
-            key, whole, doc, place = key[once], whole[once], doc[once], place[once]
+            new = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+            once = np.concatenate([[True], new])
+            key, whole, doc, row, place = key[once], whole[once], doc[once], row[once], place[once]
             known = np.concatenate([[False], (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])])
-            key = np.where(known, doc.astype(_U) * _U(0x9E3779B97F4A7C15) + place.astype(_U), key)
-            columns = [pa.array(c) for c in (key.view(np.int64), whole.view(np.int64), doc, place, known)]
+            key = np.where(known, doc.astype(_U) * _U(0x9E3779B97F4A7C15) + row.astype(_U) + place.astype(_U), key)
+            columns = [pa.array(c) for c in (key.view(np.int64), whole.view(np.int64), doc, row, place, known)]
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["key", "hash", "doc", "place", "known"])
+            return pa.RecordBatch.from_arrays(columns, names=["key", "hash", "doc", "row", "place", "known"])
 
         for part in pieces(batches):
             columns = [part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()]
             for doc, row, text in zip(*columns, strict=True):
                 raw = np.frombuffer(text or b"", np.uint8)
                 for key, whole, first, last in segments(raw, length, both):
-                    place = (row << (32 + SPAN_BITS)) | (first << SPAN_BITS) | (last - first)
-                    held.append((key, whole, np.full(len(key), doc), place))
+                    place = (first << SPAN_BITS) | (last - first)
+                    held.append((key, whole, np.full(len(key), doc), np.full(len(key), row), place))
                     count += len(key)
                 if count >= HELD:
                     yield sorted_out()
@@ -136,16 +135,16 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield sorted_out()
 
-    return texts.select("doc", "row", "text").mapInArrow(run, "key long, hash long, doc long, place long, known boolean")
+    return texts.select("doc", "row", "text").mapInArrow(run, "key long, hash long, doc long, row long, place long, known boolean")
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """(doc, place, key, peers): segments with repeated windows, or that may have some.
+    """(doc, row, place, key, peers): segments with repeated windows, or that may have some.
 
     ``peers`` is null for those that are repeated as a whole; else it counts the anchor's distinct segments.
     """
     dealt = found.repartition("key")
-    same = Window.partitionBy("key", "hash").orderBy("doc", "place")
+    same = Window.partitionBy("key", "hash").orderBy("doc", "row", "place")
     anchor = Window.partitionBy("key")
     numbered = dealt.withColumn("nth", F.row_number().over(same)).withColumn("rank", F.rank().over(same))
     # Of a place that equal rows give several times, one stands for all.
@@ -153,11 +152,7 @@ def judged(found: DataFrame) -> DataFrame:
     own = numbered.withColumn("repeated", F.col("known") | (F.col("rank") > 1))
     counted = own.withColumn("peers", F.sum(F.when(F.col("repeated"), 0).otherwise(1)).over(anchor))
     peers = F.when(~F.col("repeated"), F.col("peers"))
-    return counted.where("repeated or peers > 1").select("doc", "place", "key", peers.alias("peers"))
-
-
-def _row() -> Column:
-    return F.shiftright("place", 32 + SPAN_BITS).alias("row")
+    return counted.where("repeated or peers > 1").select("doc", "row", "place", "key", peers.alias("peers"))
 
 
 class RunIndex:
@@ -236,7 +231,7 @@ def repeated_places(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [found - start for found, start in zip(np.split(repeated, cuts[:-1]), ends - sizes + 1, strict=True)]
 
 
-def _as_places(row: int, windows: np.ndarray) -> np.ndarray:
+def _as_places(windows: np.ndarray) -> np.ndarray:
     """Windows of a text as places: neighbours together, as far as a place can count."""
     most = (1 << SPAN_BITS) - 1
     if not len(windows):
@@ -245,26 +240,23 @@ def _as_places(row: int, windows: np.ndarray) -> np.ndarray:
     out = []
     for a, b in zip(first, [*first[1:], len(windows)], strict=True):
         for lo in range(int(windows[a]), int(windows[b - 1]) + 1, most + 1):
-            out.append((row << (32 + SPAN_BITS)) | (lo << SPAN_BITS) | min(most, int(windows[b - 1]) - lo))
+            out.append((lo << SPAN_BITS) | min(most, int(windows[b - 1]) - lo))
     return np.array(out, np.int64)
 
 
 def _indexed(cut: DataFrame, length: int, groups: int) -> DataFrame:
-    """(doc, place) of repeated windows of the segments (key, doc, place, body), a group at a time."""
+    """(doc, row, place) of repeated windows of the segments (key, doc, row, place, body), a group at a time."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc", "place"])
-        found, docs, places = repeated_places(group["body"].tolist(), length), [], []
-        for doc, place, windows in zip(group["doc"], group["place"], found, strict=True):
-            row, first = place >> (32 + SPAN_BITS), (place >> SPAN_BITS) & 0xFFFFFFFF
-            some = _as_places(row, windows + first)
-            docs.append(np.full(len(some), doc))
-            places.append(some)
-        empty = [np.empty(0, np.int64)]
-        return pd.DataFrame({"doc": np.concatenate(docs + empty), "place": np.concatenate(places + empty)})
+        group = group.sort_values(["doc", "row", "place"])
+        found = repeated_places(group["body"].tolist(), length)
+        places = [_as_places(w + (p >> SPAN_BITS)) for w, p in zip(found, group["place"], strict=True)]
+        each = [len(p) for p in places]
+        docs, rows = np.repeat(group["doc"].to_numpy(), each), np.repeat(group["row"].to_numpy(), each)
+        return pd.DataFrame({"doc": docs, "row": rows, "place": np.concatenate([*places, np.empty(0, np.int64)])})
 
-    dealt = cut.select(F.pmod("key", F.lit(groups)).alias("group"), "doc", "place", "body")
-    return dealt.groupBy("group").applyInPandas(run, "doc long, place long")
+    dealt = cut.select(F.pmod("key", F.lit(groups)).alias("group"), "doc", "row", "place", "body")
+    return dealt.groupBy("group").applyInPandas(run, "doc long, row long, place long")
 
 
 def _window_by_window(cut: DataFrame, length: int) -> DataFrame:
@@ -274,20 +266,20 @@ def _window_by_window(cut: DataFrame, length: int) -> DataFrame:
         both = hashers(length)
         for part in pieces(batches):
             columns = []
-            for doc, place, body in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
+            for doc, row, place, body in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
                 raw = np.frombuffer(body, np.uint8)
                 starts = np.arange(len(raw) - length + 1)
                 hashes = [h.of(h.sums(raw), starts, starts + length).view(np.int64) for h in both]
                 at = ((place >> SPAN_BITS) + starts) << SPAN_BITS
-                columns.append((*hashes, np.full(len(starts), doc), at))
+                columns.append((*hashes, np.full(len(starts), doc), np.full(len(starts), row), at))
             if columns:
                 whole = [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]
-                yield pa.RecordBatch.from_arrays(whole, names=["h1", "h2", "doc", "place"])
+                yield pa.RecordBatch.from_arrays(whole, names=["h1", "h2", "doc", "row", "place"])
 
-    windows = cut.select("doc", "place", "body").mapInArrow(run, "h1 long, h2 long, doc long, place long")
-    here = F.struct("doc", "place")
+    windows = cut.select("doc", "row", "place", "body").mapInArrow(run, "h1 long, h2 long, doc long, row long, place long")
+    here = F.struct("doc", "row", "place")
     firsts = windows.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last")
-    return windows.join(firsts, ["h1", "h2"]).where(here > F.col("first")).select("doc", "place")
+    return windows.join(firsts, ["h1", "h2"]).where(here > F.col("first")).select("doc", "row", "place")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -307,27 +299,27 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 
 def _cut(packed: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """(key, doc, place, body, peers) of the segments ``mixed``."""
+    """(key, doc, row, place, body, peers) of the segments ``mixed``."""
     pieces_of = F.collect_list(F.struct("key", "place", "peers")).alias("wanted")
-    wanted = mixed.withColumn("row", _row()).groupBy("doc", "row").agg(pieces_of)
+    wanted = mixed.groupBy("doc", "row").agg(pieces_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "place", "body", "peers"]
+        names = ["key", "doc", "row", "place", "body", "peers"]
         for part in pieces(batches):
             open_, out = zstandard.ZstdDecompressor().decompress, []
-            for doc, text, wanted in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
+            for doc, row, text, wanted in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
                 raw = open_(text)
                 for w in wanted:
-                    first = (w["place"] >> SPAN_BITS) & 0xFFFFFFFF
+                    first = w["place"] >> SPAN_BITS
                     end = first + (w["place"] & ((1 << SPAN_BITS) - 1)) + length
-                    out.append((w["key"], doc, w["place"], raw[first:end], w["peers"]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                    out.append((w["key"], doc, row, w["place"], raw[first:end], w["peers"]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     once = packed.select("doc", "row", "packed").dropDuplicates(["doc", "row"])  # equal rows are one text
-    texts = once.join(wanted, ["doc", "row"]).select("doc", "packed", "wanted")
-    return texts.mapInArrow(run, "key long, doc long, place long, body binary, peers long")
+    texts = once.join(wanted, ["doc", "row"]).select("doc", "row", "packed", "wanted")
+    return texts.mapInArrow(run, "key long, doc long, row long, place long, body binary, peers long")
 
 
 def _kept(both: DataFrame, length: int) -> DataFrame:
@@ -339,7 +331,7 @@ def _kept(both: DataFrame, length: int) -> DataFrame:
     def one(raw: bytes, places: list[int] | None) -> tuple[int, int, int, bytes, list]:
         if not places:
             return len(raw), 0, 0, raw, []
-        place = np.sort(np.array(places, np.int64) & ((1 << (32 + SPAN_BITS)) - 1))
+        place = np.sort(np.array(places, np.int64))
         first = place >> SPAN_BITS
         end = np.maximum.accumulate(first + (place & ((1 << SPAN_BITS) - 1)) + length)
         new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
@@ -374,11 +366,11 @@ def without_repeats(
     groups = max(1, -(-mixed.count() * (length + 40) // group_bytes))
     cut = stored(_cut(_packed(texts), mixed, length), "bodies")
     marks = [
-        found.where("peers is null").select("doc", "place"),
+        found.where("peers is null").select("doc", "row", "place"),
         _indexed(cut.where(F.col("peers") <= limit), length, groups),
         _window_by_window(cut.where(F.col("peers") > limit), length),
     ]
-    marked = marks[0].unionByName(marks[1]).unionByName(marks[2]).select("doc", _row(), "place")
+    marked = marks[0].unionByName(marks[1]).unionByName(marks[2])
     places = marked.groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
     rest = [c for c in docs.columns if c != "text"]
     given = F.struct(*[F.col(bare_name(c)) for c in rest]).alias("given")
