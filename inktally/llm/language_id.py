@@ -7,7 +7,7 @@ proportions of its own, and the best value of log-likelihood less ``penalty * lo
 after the first. The prediction is the largest of the selected set.
 
 Defined results: a null text, an empty one and one without a letter give ``und`` with score 0, as does every
-text when no language was learned; a null doc_id counts as the empty text for the fold; repeated rows are
+text when no language was learned; languages of less than SUPPORT of the labelled documents are not learned; a null doc_id counts as the empty text for the fold; repeated rows are
 returned as often as given; no rows give no rows. Extra columns pass through; of the columns named like a
 result, the result stays.
 """
@@ -29,16 +29,23 @@ from inktally.llm.common import pieces, sent
 UNKNOWN = "und"
 #: Trigrams are hashed to this many bits, so a model has 2**BITS numbers per language.
 BITS = 16
-#: Steps of expectation-maximisation; languages in a selected set; a language's log-likelihood price.
-STEPS, MOST, PENALTY = 12, 4, 1.0
+#: Steps of expectation-maximisation; a language's log-likelihood price.
+STEPS, PENALTY = 12, 1.0
+#: Least share of the labelled documents that a language has to have to be learned; so a model has 1,000 languages at most.
+SUPPORT = 0.001
 #: Languages whose counts a worker holds before it hands them on.
 HELD = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
 _LETTERS = np.full(256, 32, np.uint8)
 for _b in [*range(ord("a"), ord("z") + 1), *range(128, 256)]:
     _LETTERS[_b] = _b
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter of any script; signs for numbers are none."""
+    return bool(_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed byte trigrams of a text's letters; everything else counts as a space."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
@@ -53,7 +60,7 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
 
 
 def trigram_counts(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all rows of ``texts`` (text, lang)."""
+    """(lang, gram, n) over all rows of ``texts`` (text, lang) in languages with SUPPORT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -75,6 +82,9 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
         yield from handed()
 
     some = texts.where("text is not null and lang is not null").select("text", "lang")
+    least = F.lit(SUPPORT) * some.agg(F.count("*").alias("n")).scalar()
+    known = some.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    some = some.join(F.broadcast(known.select("lang")), "lang", "left_semi").select("text", "lang")
     return some.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -98,14 +108,20 @@ class Languages:
 
 def _mixtures(
     p: np.ndarray, n: np.ndarray, starts: np.ndarray, doc: np.ndarray, allowed: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood of each document over its ``allowed`` languages."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood of each document over its ``allowed`` languages, and what no proportions can exceed.
+
+    The likelihood is concave in the proportions, so its best value is above that found by the duality gap at most.
+    """
     share = allowed / allowed.sum(axis=1, keepdims=True)
     total = np.add.reduceat(n, starts)[:, None]
     for _ in range(STEPS):
         each = p * share[doc]
         share = np.add.reduceat(each * (n / each.sum(axis=1))[:, None], starts, axis=0) / total
-    return share, np.add.reduceat(n * np.log((p * share[doc]).sum(axis=1)), starts)
+    mixed = (p * share[doc]).sum(axis=1)
+    value = np.add.reduceat(n * np.log(mixed), starts)
+    slope = np.add.reduceat(p * (n / mixed)[:, None], starts, axis=0) / total
+    return share, value, value + total[:, 0] * (np.where(allowed > 0, slope, 0).max(axis=1) - 1)
 
 
 def mixtures(grams: list[np.ndarray], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,19 +143,19 @@ def mixtures(grams: list[np.ndarray], logs: np.ndarray) -> tuple[np.ndarray, np.
     everyone = np.ones(count, bool)
     _, _, starts, doc = sub(everyone)
     alone = np.add.reduceat(n[:, None] * (log_p - top), starts, axis=0)
-    full, reach = _mixtures(p, n, starts, doc, np.ones((count, languages)))
+    full, _, reach = _mixtures(p, n, starts, doc, np.ones((count, languages)))
     order = np.argsort(-full, axis=1, kind="stable")
     price = PENALTY * np.log(np.maximum(np.add.reduceat(n, starts), 2))
     best, shares = alone.max(axis=1), np.zeros((count, languages))
     shares[np.arange(count), alone.argmax(axis=1)] = 1
-    for size in range(2, min(MOST, languages) + 1):
+    for size in range(2, languages + 1):
         # No set of this size can win where even all languages together explain too little more.
         open_ = reach - (size - 1) * price > best
         if not open_.any():
             break
         allowed = np.zeros((int(open_.sum()), languages))
         np.put_along_axis(allowed, order[open_, :size], 1, axis=1)
-        got, value = _mixtures(*sub(open_), allowed)
+        got, value, _ = _mixtures(*sub(open_), allowed)
         value -= (size - 1) * price[open_]
         won = np.flatnonzero(open_)[value > best[open_]]
         shares[won], best[won] = got[value > best[open_]], value[value > best[open_]]
@@ -158,7 +174,7 @@ def with_languages(docs: DataFrame, model: Languages) -> DataFrame:
     def predicted(texts: list[str | None], known: Languages) -> tuple[list, list, list]:
         names, logs = known.names, known.logs
         pred, score, sets = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        some = [i for i, t in enumerate(texts) if names and t is not None and _LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if names and t is not None and has_letter(t)]
         if some:
             shares, full = mixtures([trigrams(texts[i]) for i in some], logs)
             for i, share, whole in zip(some, shares, full, strict=True):
