@@ -11,23 +11,31 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from inktally.sources.scratch import SETTING, scratch_folder
+
 #: Null doc_ids sort after all others.
 LAST_ID = 2**63 - 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, a new one of this machine."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="inktally-llm-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    """This application's folder in ``spark.checkpoint.dir``, which executors have to share; ``clear_scratch`` removes it.
+
+    Where a session of one machine names none, as in tests, it is a new one of this machine; a cluster's has to.
+    """
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inktally-llm-"))
+    return f"{scratch_folder(spark)}/inktally/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """``frame`` written to the shared folder and read back: fixed rows that survive lost executors."""
-    path = f"{shared_folder(frame.sparkSession)}/inktally-llm-{label}-{uuid.uuid4().hex}"
+    path = new_path(frame.sparkSession, label)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

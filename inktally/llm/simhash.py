@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inktally.llm.common import pieces, stored, whole_row, with_results
@@ -168,20 +168,17 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: in
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: Column, roots: DataFrame) -> DataFrame:
-    """One row of each root: that of its smallest doc_id, null last, and of equal doc_ids one with the smallest text.
+def without_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component, whatever doc_ids repeat or are missing.
 
-    ``roots`` has (node, root), for each node once; a key that is no node is its own root.
+    That of its smallest doc_id stays, null last, and of equal doc_ids one whose text has the smallest hash. Copies are
+    folded in each task before they are shuffled, and whole rows are shuffled once, by their text.
     """
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    rows = whole_row(docs, key.alias("node"), order.alias("order")).join(roots, "node", "left")
-    lone = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min_by("given", "order").alias("given"))
-    return with_results(lone, docs.columns)
-
-
-def without_near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each component, whatever doc_ids repeat or are missing."""
     key = F.xxhash64("text")
     linked = near_duplicates(docs.select(key.alias("doc_id"), "text"), budget, shingle, seed)
     roots = linked.groupBy(F.col("doc_id").alias("node")).agg(F.min("component_id").alias("root"))
-    return one_of_each(docs, key, roots)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").cast("long").alias("doc_id"))
+    nodes = docs.groupBy(key.alias("node")).agg(F.min(order).alias("first"))
+    lone = nodes.join(roots, "node").groupBy("root").agg(F.min(F.struct("first", "node")).alias("lone"))
+    rows = whole_row(docs, key.alias("node"), order.alias("order")).groupBy("node").agg(F.min_by("given", "order").alias("given"))
+    return with_results(rows.join(lone.select("lone.node"), "node", "left_semi"), docs.columns)
