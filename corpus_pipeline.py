@@ -1,4 +1,4 @@
-"""From raw documents to token ids: five stages, each a call of one operator."""
+"""From raw documents to token ids: five stages, each a call of one operator of ``inktally.llm``, with which this file comes and goes."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from inktally.llm.common import given, stored
 from inktally.llm.decontaminate import without_contaminated
 from inktally.llm.language_id import UNKNOWN, identified
 from inktally.llm.line_dedup import without_repeated_lines
-from inktally.llm.near_copies import without_near_copies
+from inktally.llm.simhash import without_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a similarity of 0.8 or more over five words, the document with the smallest doc_id stays."""
-    return without_near_copies(docs)
+    """Of each component of fingerprints of three-word shingles within two bits, the document with the smallest doc_id stays."""
+    return without_near_duplicates(docs, budget=2, shingle=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the digest of what they decode to."""
+    """Ids of every text, and the digest of what they decode to, beside doc_id, lang and source; other columns end here."""
     vocabulary = queries.vocabulary()
     ids = encoded(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
     back = decoded(ids, vocabulary)
