@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inktally.llm import line_dedup, near_copies, simhash
+from inktally.llm import line_dedup, simhash
 from inktally.llm.graph import components
 from tests.llm.helpers import EDGES, prose, table
 
@@ -169,55 +169,27 @@ def test_rows_without_or_with_repeated_ids_stay(spark):
     rows = [(None, prose(s, 200)) for s in range(60, 66)] + [(7, prose(s, 200)) for s in range(66, 69)]
     rows += [(3, base), (8, near), (8, prose(72, 200)), (None, near.upper())]
     want = sorted([t for i, t in rows if t not in (near, near.upper())])
-    for stage in (simhash.without_near_duplicates, near_copies.without_near_copies):
-        kept = stage(table(spark, rows))
-        assert sorted(r.text for r in kept.collect()) == want and kept.columns == table(spark, []).columns
-
-
-def _shingles(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def _planted(seed, copies=1, sizes=(40, 800)):
-    """Texts and copies with words replaced, at similarities from about 0.75."""
-    rng, rows = random.Random(seed), []
-    for k in range(150):
-        words = prose(7000 + k, rng.randint(*sizes), 3000).split()
-        rows.append((len(rows), " ".join(words)))
-        for _ in range(copies):
-            share = rng.uniform(0.002, 0.028)
-            rows.append((len(rows), " ".join("new" + str(rng.random()) if rng.random() < share else w for w in words)))
-    return rows
-
-
-@pytest.mark.parametrize("copies,leaf", [(1, 1 << 18), (2, 60)])
-def test_near_copies_against_brute_force(spark, monkeypatch, copies, leaf):
-    monkeypatch.setattr(near_copies, "LEAF", leaf)
-    rows = _planted(copies, copies)
-    sets = [_shingles(t) for _, t in rows]
-    nodes = {r.doc_id: r.node for r in table(spark, rows).select("doc_id", near_copies.node_of(F.col("text")).alias("node")).collect()}
-    root = {r.node: r.root for r in components(near_copies.near_links(table(spark, rows)), "a", "b").collect()}
-    of = lambda i: root.get(nodes[i], nodes[i])
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and sets[i] != sets[j]]
-    assert len(pairs) > 80
-    found = sum(of(i) == of(j) for i, j in pairs)
-    print(f"recall {found / len(pairs):.4f} of {len(pairs)} pairs")
-    assert found >= 0.97 * len(pairs)
-    # Links are exact: no component is larger than links of 0.8 and more make it.
-    numbers = {n: i for i, n in nodes.items()}
-    for r in near_copies.near_links(table(spark, rows)).collect():
-        x, y = sets[numbers[r.a]], sets[numbers[r.b]]
-        assert len(x & y) >= 0.8 * len(x | y)
-
-
-def test_a_large_group_of_near_copies(spark):
-    """Its links do not grow with its square, and pairs far from the smallest node are found."""
-    words = prose(1, 300, 3000).split()
-    rows = [(i, " ".join([*words[: i % 290], f"x{i}", *words[i % 290 + 1 :]])) for i in range(400)]
-    chain = prose(2, 400, 3000).split()
-    for i in range(12):  # each is similar to the one before only
-        rows.append((1000 + i, " ".join(chain[15 * i : 15 * i + 180])))
-    links = near_copies.near_links(table(spark, rows))
-    assert links.count() < 30 * len(rows)
-    assert sorted(r.doc_id for r in near_copies.without_near_copies(table(spark, rows)).collect()) == [0, 1000]
+    kept = simhash.without_near_duplicates(table(spark, rows))
+    assert sorted(r.text for r in kept.collect()) == want and kept.columns == table(spark, []).columns
+
+
+def test_many_copies_are_folded_before_they_are_shuffled(spark):
+    """20,000 equal rows, without an id and with one, leave one row; each task hands on a row of each text."""
+    base, other = prose(5, 60), prose(6, 60)
+    one = table(spark, [(None, base), (4, base), (9, other)])
+    many = one.crossJoin(spark.range(20_000, numPartitions=8).select(F.col("id").alias("nth"))).drop("nth").repartition(8)
+    kept = simhash.without_near_duplicates(many)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(4, base), (9, other)]
+
+
+def test_scratch_is_of_the_application_and_can_be_cleared(spark, tmp_path):
+    from inktally.llm.common import shared_folder, stored
+    from inktally.sources.scratch import clear_scratch
+
+    frame = stored(spark.range(3), "try")
+    place = frame.inputFiles()[0]
+    assert shared_folder(spark) in place and spark.sparkContext.applicationId in place
+    clear_scratch(spark)
+    import os
+
+    assert not os.path.exists(place.removeprefix("file://"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from inktally.llm import sharding, suffix_dedup, topk
+from inktally.llm import sharding, simhash, suffix_dedup, topk
 from tests.llm.helpers import EDGES, prose, table
 
 
@@ -142,12 +142,30 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_pipeline_drops_near_copies(spark, tmp_path):
-    """A copy with a word in sixty replaced goes, a text that shares a third of its words stays."""
-    body = prose(300, 300, 3000).replace("\n", " ")
+    """A copy within two bits over three-word shingles goes, one beyond them stays, as does any other text."""
+    body = prose(300, 900, 3000).replace("\n", " ")
     words = body.split()
-    near = " ".join("other" if i % 60 == 30 else w for i, w in enumerate(words))
+    near = next(
+        t for i in range(20, 800, 7)
+        if 0 < (simhash.fingerprint(body.encode()) ^ simhash.fingerprint((t := " ".join([*words[:i], "other", *words[i + 1 :]])).encode())).bit_count() <= 2
+    )
     far = " ".join([*words[:100], *prose(301, 200, 3000).split()])
     rows = [(5, body, "aa"), (6, near, "aa"), (7, far, "aa"), (None, prose(302, 200, 3000), "aa"), (None, prose(303, 200, 3000), "aa")]
     docs = table(spark, rows).drop("hits")
     kept = corpus_pipeline.simhash_dedup(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id for r in kept), key=repr) == [5, 7, None, None]
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    """Two texts whose hashes agree in 24 bits, under one doc_id; and ids beyond 2**62 beside rows without one."""
+    import xxhash
+
+    def mark(text):
+        return xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFF
+
+    passage = prose(400, 80, 4000)[:300]
+    others = {mark(t): t for t in (prose(9000 + i, 60, 4000)[:300] for i in range(400))}
+    one = next(t for j in range(1_000_000) if mark(t := passage + f"{j:09d}") in others)
+    rows = [(1, passage), (2, one), (2, others[mark(one)]), (2**62 + 9, passage + "end"), (2**63 - 2, "q" * 150), (None, "q" * 150 + "r")]
+    found = suffix_dedup.without_repeats(table(spark, rows)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found], key=repr) == _brute_repeats(rows, 100)
