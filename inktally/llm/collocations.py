@@ -6,6 +6,10 @@ The container of a trie that holds the most is spilled, as a whole subtree, when
 a run, sorted by its words. Runs are merged by prefix partitions, a prefix being a phrase's first two words; each
 partition is cut 64 ways, so that a prefix with very many phrases is not one task's.
 
+Texts are read twice: phrases of one and two words are counted first, then those of three whose halves, the first two
+words and the last two, are both frequent. A bit filter of bounded size tells these; what it lets through by accident is
+counted and found to be rare, so the result is exact however full the filter is.
+
 A phrase of two or three words that occurs ``least`` times and more is a candidate. It is cut in two at each
 place; the lowest score, a * a / (l * r) in millionths, rounded down, counts. A candidate within a longer one that
 occurs half as often and more is dropped. Whatever is in a candidate occurs as often as it does at least, so
@@ -18,15 +22,18 @@ as given; ties are in order of the phrase's bytes; no rows give no rows. Only te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inktally.llm.common import pieces, stored
+from inktally.llm.common import pieces, sent, stored
 
 UNKNOWN = "und"
 #: Words of the longest phrase, and bits of a word's id in a phrase's code.
@@ -35,6 +42,8 @@ WORDS, BITS = 3, 21
 CHUNK, BURST, HELD = 1 << 20, 1 << 14, 1 << 20
 #: Words that a task knows by number before it spills all and starts anew; languages that it counts at a time.
 VOCABULARY, LANGUAGES = 1 << 19, 64
+#: Bits of the filter for each frequent phrase, and in all (32 MB).
+BITS_EACH, BITS_MOST = 16, 1 << 28
 #: Prefix partitions' numbers, and parts of one.
 CELLS, SALTS = 1 << 20, 64
 
@@ -97,15 +106,66 @@ class Trie:
             yield np.fromiter(box, np.int64, len(box)), np.fromiter(box.values(), np.int64, len(box))
 
 
+def word_mark(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Two-word phrases of each language, as two bits each of a field of bounded size."""
+
+    bits: np.ndarray
+
+    @staticmethod
+    def spots(lang: np.uint64 | np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of phrases, from the marks of their language and words."""
+        mixed = ((first ^ lang) * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(31)
+        mask = np.uint64(size - 1)
+        return mixed & mask, (mixed >> np.uint64(32)) & mask
+
+    def has(self, lang: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        here = np.ones(len(first), bool)
+        for spot in self.spots(np.uint64(lang), first, second, 64 * len(self.bits)):
+            here &= (self.bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) != 0
+        return here
+
+    @classmethod
+    def of(cls, pairs: DataFrame, most: int) -> Filter:
+        """Of the two-word phrases (lang, phrase); the driver gets the field's words that are not zero."""
+        wanted = max(64, BITS_EACH * pairs.count())
+        size = min(most, 1 << (wanted - 1).bit_length())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = [
+                    (word_mark(lang.encode()), *map(word_mark, phrase.encode().split(b" ")))
+                    for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                ]
+                of = np.array(marks, np.uint64).reshape(-1, 3)
+                spot = np.concatenate(cls.spots(of[:, 0], of[:, 1], of[:, 2], size))
+                bit = (np.uint64(1) << (spot & np.uint64(63))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["at", "bits"])
+
+        field = pairs.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        bits = np.zeros(size // 64, np.uint64)
+        bits[field["at"].to_numpy(np.int64)] = field["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(bits)
+
+
 class Counter:
-    """What a task counts: a trie for each language, over words that all of them share."""
+    """What a task counts: a trie for each language, over words that all of them share.
+
+    ``sizes`` are the words of the phrases that are counted; of longer ones only those whose halves ``known`` has.
+    """
 
-    def __init__(self, words: int, burst: int, held: int) -> None:
-        self.words, self.burst, self.most = words, burst, held
+    def __init__(self, sizes: Sequence[int], burst: int, held: int, known: Filter | None = None) -> None:
+        self.sizes, self.words, self.burst, self.most, self.known = set(sizes), max(sizes), burst, held, known
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[bytes, int] = {b".": 0}
+        self.marks = np.zeros(1, np.uint64)
         self.tries: dict[str, Trie] = {}
         self.totals: dict[str, int] = {}
 
@@ -125,6 +185,9 @@ class Counter:
             number = self.ids.setdefault
             known = self.ids
             fresh = np.array([number(w, len(known)) for w in text[at:end].replace(b".", b" . ").split()], np.int64)
+            if self.known is not None:
+                new = np.fromiter(map(word_mark, islice(self.ids, len(self.marks), None)), np.uint64)
+                self.marks = np.concatenate([self.marks, new])
             self._add(lang, np.concatenate([carry, fresh]), len(carry))
             carry = np.concatenate([carry, fresh])[-(self.words - 1) :] if self.words > 1 else carry
             at = end
@@ -132,16 +195,22 @@ class Counter:
                 yield from self.runs(self.most // 2)
 
     def _add(self, lang: str, ids: np.ndarray, seen: int) -> None:
+        """Counts the phrases that end in the words from ``seen`` on."""
         codes, phrase, inside = [], np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        for k in range(self.words):
-            if len(ids) <= k:
-                break
-            # Phrases of k + 1 words; those that end in the new words are counted.
+        halves = None
+        if self.known is not None and len(ids) > 1:
+            halves = self.known.has(word_mark(lang.encode()), self.marks[ids[:-1]], self.marks[ids[1:]])
+        for k in range(min(self.words, len(ids))):
             last = ids[k:]
             phrase, inside = phrase[: len(last)] | (last << (BITS * (WORDS - 1 - k))), inside[: len(last)] & (last > 0)
-            codes.append(phrase[max(seen - k, 0) :][inside[max(seen - k, 0) :]])
-        if codes and len(codes[0]):
+            if k and halves is not None:
+                inside = inside & halves[k - 1 :]
+            if k + 1 in self.sizes:
+                new = max(seen - k, 0)
+                codes.append(phrase[new:][inside[new:]])
+        if 1 in self.sizes and len(codes[0]):
             self.totals[lang] = self.totals.get(lang, 0) + len(codes[0])
+        if any(map(len, codes)):
             trie = self.tries.setdefault(lang, Trie(self.burst))
             trie.add(*np.unique(np.concatenate(codes), return_counts=True))
 
@@ -174,22 +243,28 @@ class Counter:
         return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
-def phrase_runs(docs: DataFrame, words: int = WORDS, burst: int = BURST, held: int = HELD) -> DataFrame:
-    """(lang, phrase, n): sorted runs of each task; the phrase without words counts all words."""
+def phrase_runs(
+    docs: DataFrame, sizes: Sequence[int] = (1, 2), burst: int = BURST, held: int = HELD, known: Filter | None = None
+) -> DataFrame:
+    """(lang, phrase, n) of phrases of some numbers of words: sorted runs of each task.
+
+    With phrases of one word, the phrase without words counts all words.
+    """
+    shared = sent(docs.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, texts, sizes = Counter(words, burst, held), {}, {}
+        counter, texts, lengths = Counter(sizes, burst, held, shared()), {}, {}
 
         def counted(langs: list[str]) -> Iterator[pa.RecordBatch]:
             for lang in langs:
-                sizes.pop(lang)
+                lengths.pop(lang)
                 yield from counter.count(lang, b".".join(texts.pop(lang)))
 
         for part in pieces(batches):
             for text, lang in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(text.translate(_LOWER))
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-            if len(sizes) > LANGUAGES or sum(sizes.values()) >= CHUNK:
+                lengths[lang] = lengths.get(lang, 0) + len(text)
+            if len(lengths) > LANGUAGES or sum(lengths.values()) >= CHUNK:
                 yield from counted(list(texts))
         yield from counted(list(texts))
         yield from counter.runs(0)
@@ -211,7 +286,13 @@ def _words(first: Column | int, size: Column) -> Column:
 
 
 def collocations(
-    docs: DataFrame, least: int = 10, share: int = 50, words: int = WORDS, burst: int = BURST, held: int = HELD
+    docs: DataFrame,
+    least: int = 10,
+    share: int = 50,
+    words: int = WORDS,
+    burst: int = BURST,
+    held: int = HELD,
+    bits: int = BITS_MOST,
 ) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all candidates that stay.
 
@@ -219,8 +300,12 @@ def collocations(
     """
     if not 2 <= words <= WORDS:
         raise ValueError(f"phrases have 2 to {WORDS} words")
-    counts = phrase_counts(phrase_runs(docs, words, burst, held))
+    counts = phrase_counts(phrase_runs(docs, (1, 2), burst, held))
     frequent = stored(counts.where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    if words == WORDS:
+        known = Filter.of(frequent.where(F.col("phrase").contains(" ")), bits)
+        longer = phrase_counts(phrase_runs(docs, (WORDS,), burst, held, known)).where(F.col("n") >= least)
+        frequent = frequent.unionByName(stored(longer, "long-phrases"))
     known = frequent.where("phrase <> ''")
     totals = frequent.where("phrase = ''").select("lang", F.col("n").alias("total"))
     long = known.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words")).where(F.size("words") > 1)
