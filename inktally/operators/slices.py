@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inktally.functions.values import cell, in_utc, json_sql
+from inktally.operators.bounds import within
 from inktally.operators.documents import RowText, union_all
 from inktally.operators.ordering import ranked
 from inktally.operators.places import literal, place_at, sort_key
 from inktally.sources.scratch import written
 from inktally.spec import TableSpec
 
+
 def order_columns(frame: DataFrame, spec: TableSpec) -> list[Column]:
     """The key columns, or all columns of a table without a key, nulls last.
 
@@ -27,12 +29,12 @@ def order_columns(frame: DataFrame, spec: TableSpec) -> list[Column]:
     return out
 
 
-def _content_tie(frame: DataFrame) -> Column:
-    """Orders rows with equal keys by what is in them, so that file layout plays no part."""
-    utc = in_utc(frame.sparkSession)
+def content_tie(frame: DataFrame, spec: TableSpec) -> Column:
+    """Orders rows with equal keys by what is in the table's columns, so that file layout plays no part."""
+    utc, kinds = in_utc(frame.sparkSession), {c.name: frame.schema[c.name].dataType for c in spec.columns}
     parts = [
-        F.expr(json_sql(cell(f.name), f.dataType, utc)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else RowText.cell(f.name)
-        for f in frame.schema.fields
+        F.expr(json_sql(cell(n), kind, utc)) if isinstance(kind, (T.MapType, T.VariantType)) else RowText.cell(n)
+        for n, kind in kinds.items()
     ]
     return F.xxhash64(*parts)
 
@@ -49,8 +51,8 @@ def bounded_scan(
 
     Rows with equal keys are ordered by their hash.  Both ends of the slice are
     found by counting key ranges, which runs jobs; the slice itself is a filter
-    that reaches the scan, and a sort of what it leaves.  The table must not
-    change between the scans.
+    over all key columns that reaches the scan, and a sort of what it leaves.
+    The table must not change between the scans.
     """
     if row_limit is not None and row_limit <= 0:
         return frame.where(F.lit(False))
@@ -61,7 +63,7 @@ def bounded_scan(
     if offset > 0 and start is None:
         return frame.where(F.lit(False))
     end = None if row_limit is None else _exact(rows, max(offset, 0) + row_limit)
-    kept = _pruned(rows, frame, order, start, end)
+    kept = within(rows, order, start and start[0], end and end[0])
     parts = []
     if start is not None and end is not None and start[:2] == end[:2]:
         parts.append(_copies(kept, start, end[2] - start[2]))
@@ -115,21 +117,6 @@ def _after(rows: DataFrame, place: _Exact, strict: bool) -> Column:
     return F.when(F.col("_key") == key, later).otherwise(F.col("_key") > key)
 
 
-#: Types whose order a scan knows from its statistics.
-_PLAIN = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _pruned(
-    rows: DataFrame, frame: DataFrame, order: list[Column], start: _Exact | None, end: _Exact | None
-) -> DataFrame:
-    """Bounds of the first order column as plain values, which are pushed down to the scan."""
-    first = rows.schema["_key"].dataType["v0"].dataType
-    if not isinstance(first, _PLAIN) or end is None or end[0]["n0"]:
-        return rows
-    kept = rows.where(order[0] <= F.lit(end[0]["v0"]))
-    return kept if start is None else kept.where(order[0] >= F.lit(start[0]["v0"]))
-
-
 def chunk_plan(snapshots: DataFrame, threshold: int = 50_000, chunk_rows: int = 10_000) -> DataFrame:
     """The pieces of work of each table: chunks of a large one, else the whole table.
 
@@ -167,7 +154,7 @@ def chunk_estimates(
     """
     if chunk_rows <= 0:
         raise ValueError("chunk_rows must be positive")
-    order = [*order_columns(frame, spec), _content_tie(frame)]
+    order = [*order_columns(frame, spec), content_tie(frame, spec)]
     keys = [f"_key{i}" for i in range(len(order))]
     narrow = frame.select(
         *[column.alias(key) for column, key in zip(order, keys)], tokens.cast("bigint").alias("_tokens")
@@ -194,11 +181,13 @@ def merge_chunks(chunks: DataFrame, plan: DataFrame) -> DataFrame:
     """Row and token sums of the tables whose chunks have all arrived.
 
     ``plan`` has ``schema``, ``table``, ``n_chunks``.  A chunk that arrived
-    twice counts once.
+    twice counts once: as it arrived last, if ``chunks`` has ``completed_at``,
+    else with the larger counts.
     """
     table = ["schema", "table"]
     totals = plan.select(*table, "n_chunks").distinct()
-    once = chunks.groupBy(*table, "chunk_id").agg(F.max(F.struct("row_count", "token_count")).alias("c"))
+    arrived = ["completed_at"] if "completed_at" in chunks.columns else []
+    once = chunks.groupBy(*table, "chunk_id").agg(F.max(F.struct(*arrived, "row_count", "token_count")).alias("c"))
     return (
         once.groupBy(*table)
         .agg(

@@ -90,6 +90,15 @@ class Tokenizer:
 
         return lambda text: count(self.guarded(text))
 
+    def with_count(self, frame: DataFrame, text: str = "page_content", name: str = "token_count") -> DataFrame:
+        """``frame`` with the token counts of a text column.
+
+        The text is made in a step of its own: Spark does not always find a Python
+        function around an expression with lambdas, but does around a column.
+        """
+        made = frame.select("*", F.explode(F.array(F.col(text))).alias("_counted"))
+        return made.withColumn(name, self.counter(frame.sparkSession)(F.col("_counted"))).drop("_counted")
+
     def guarded(self, text: Column) -> Column:
         """``text``, failing on special strings if they are refused."""
         if self.refuse_special:
@@ -116,18 +125,17 @@ def piece_counts(
 
     The null piece counts the documents themselves.  The JVM splits and counts;
     ``(?U)`` makes ``\\s`` mean Unicode white space, as it does in the
-    tokenizer.  Counts are added up before the shuffle, so a frequent piece is
-    one row per task.  A document may stand for several, told by ``copies``.
+    tokenizer.  Texts are cut where they are read, and counts are added up before the
+    shuffle: no text is shuffled, and a frequent piece is one row per task.
     """
     pattern = F.lit(f"(?U){tokenizer.pattern}")
     found = F.regexp_extract_all(tokenizer.guarded(F.col(text)), pattern, F.lit(0))
     pieces = F.concat(F.array(F.lit(None).cast("string")), found)
-    copies = F.col("copies") if "copies" in documents.columns else F.lit(1)
     return (
-        documents.select(*by, copies.cast("bigint").alias("copies"), F.explode(pieces).alias("piece"))
+        documents.select(*by, F.explode(pieces).alias("piece"))
         .where("piece is null or piece <> ''")
         .groupBy(*by, "piece")
-        .agg(F.sum("copies").alias("piece_count"))
+        .agg(F.count(F.lit(1)).alias("piece_count"))
     )
 
 
@@ -154,5 +162,9 @@ def piece_tokens(
 def doc_tokens(
     documents: DataFrame, tokenizer: Tokenizer, by: tuple[str, ...], text: str = "page_content"
 ) -> DataFrame:
-    """The token count of each document; ``by`` names the columns that tell documents apart."""
-    return piece_tokens(piece_counts(documents, tokenizer, text, by), tokenizer, by).select(*by, "token_count")
+    """The token count of each document, beside the columns ``by``.
+
+    Documents share few pieces, so each is encoded where it is read, in Arrow
+    batches; nothing is shuffled.
+    """
+    return tokenizer.with_count(documents, text).select(*by, "token_count")

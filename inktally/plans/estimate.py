@@ -6,19 +6,25 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from queue import SimpleQueue
 from threading import Lock
+from uuid import uuid4
 
 from py4j.protocol import Py4JNetworkError
+from pyspark import InheritableThread
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inktally.operators.catalog import table_catalog, table_specs
+from inktally.operators.dictionary import PieceDictionary
 from inktally.operators.documents import for_each_table, narrow_page_texts, page_texts
 from inktally.operators.estimates import RESULTS, listed_estimates, table_report, totals
 from inktally.operators.prices import cost_by_model, provider_report
 from inktally.operators.tokens import Tokenizer, piece_counts, piece_tokens
+from inktally.plans.chunks import Chunking
 from inktally.sources.information_schema import InformationSchema
+from inktally.sources.scratch import written
 from inktally.sources.small import small_frame
 from inktally.sources.tables import read_jdbc, regclass
 from inktally.spec import UPDATED_AT_CANDIDATES, EstimateConfig, TableSpec
@@ -46,35 +52,19 @@ def all_page_texts(
     return for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
 
 
-def gathered_texts(texts: DataFrame) -> DataFrame:
-    """Each different text once, with its number of ``copies``.
-
-    Equal texts are added up before they are shuffled, so one with many copies
-    is one row per task.
-    """
-    return texts.groupBy(*texts.columns).agg(F.count(F.lit(1)).alias("copies"))
-
-
 def estimate_tables(
     tables: Sequence[Table],
     tokenizer: Tokenizer,
     config: EstimateConfig | None = None,
     narrow: bool = True,
-    gather: bool = False,
 ) -> DataFrame:
-    """Rows and tokens of each table, as one lazy query; texts stay in the JVM.
+    """Rows and tokens of each table, as one lazy query; texts stay in the JVM and are not shuffled."""
+    counted = piece_tokens(piece_counts(all_page_texts(tables, config, narrow), tokenizer), tokenizer)
+    return listed_estimates(counted, _listed(counted.sparkSession, tables))
 
-    ``gather`` cuts each different text once and deals them out over the
-    cluster, at the price of shuffling the texts: for texts that repeat, and
-    for tables of few splits.  The result is the same.
-    """
-    texts = all_page_texts(tables, config, narrow)
-    counts = piece_counts(gathered_texts(texts) if gather else texts, tokenizer)
-    counted = piece_tokens(counts, tokenizer)
-    listed = small_frame(
-        counted.sparkSession, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string"
-    )
-    return listed_estimates(counted, listed)
+
+def _listed(spark: SparkSession, tables: Sequence[Table]) -> DataFrame:
+    return small_frame(spark, [(spec.schema, spec.table) for _, spec in tables], "schema string, table string")
 
 
 @dataclass(frozen=True)
@@ -156,6 +146,46 @@ def worker_lost(error: BaseException) -> bool:
     return False
 
 
+class TimeLimitPassed(RuntimeError):
+    """A table took longer than its time."""
+
+
+#: Seconds that a cancelled table has to end by itself before it is left behind.
+GRACE = 10.0
+
+
+def limited(spark: SparkSession, work: Callable[[], tuple[int, int]], limit: float | None, pool: str) -> tuple[int, int]:
+    """What ``work`` gives, if it ends within ``limit`` seconds; else its jobs are cancelled by their tag.
+
+    Its jobs share a scheduler pool with no table that runs at the same time, so
+    that under ``spark.scheduler.mode=FAIR`` a large table does not hold up small
+    ones.  Work that hangs outside of a job is left behind in its thread.
+    """
+    context, tag, ended = spark.sparkContext, f"inktally-{uuid4().hex}", []
+
+    def inside() -> None:
+        context.setLocalProperty("spark.scheduler.pool", pool)
+        context.addJobTag(tag)
+        try:
+            ended.append((work(), None))
+        except Exception as stopped:  # noqa: BLE001 - raised again below
+            ended.append((None, stopped))
+
+    thread = InheritableThread(target=inside)
+    thread.daemon = True
+    thread.start()
+    thread.join(limit)
+    if thread.is_alive():
+        context.cancelJobsWithTag(tag)
+        thread.join(GRACE)
+        if not ended or ended[0][1] is not None:
+            raise TimeLimitPassed(f"not finished within {limit:g} seconds")
+    found, stopped = ended[0]
+    if stopped is not None:
+        raise stopped
+    return found
+
+
 def table_results(
     spark: SparkSession,
     sources: Iterable[TableSource],
@@ -163,24 +193,36 @@ def table_results(
     config: EstimateConfig | None = None,
     log: ResultLog | None = None,
     narrow: bool = True,
+    chunking: Chunking | None = None,
 ) -> DataFrame:
     """One row per table: its estimate, or the error that stopped it.
 
     Each table is a job of its own; ``config.parallel`` of them run at a time,
-    so a bad table costs no other a second run.  ``log`` receives each row as
-    its table ends, with that time.  The driver holds one small row per table.
-    Rows are listed in the order of the sources.
+    so a bad table costs no other a second run, and one that hangs none of their
+    time beyond ``config.time_limit``.  ``log`` receives each row as its table
+    ends, with that time.  With ``chunking``, large tables are counted by
+    chunks, which a later run does not count again.  The driver holds one small
+    row per table.  Rows are listed in the order of the sources.
     """
     config = config or EstimateConfig()
-    appending = Lock()
+    appending, pools = Lock(), SimpleQueue()
+    for place in range(config.parallel):
+        pools.put(f"inktally-{place}")
+
+    def estimated(source: TableSource) -> tuple[int, int]:
+        frame, spec = source.load()
+        if chunking is not None and (row_count := frame.count()) >= chunking.threshold:
+            return chunking.estimate(frame, spec, row_count, tokenizer, config)
+        (found,) = estimate_tables([(frame, spec)], tokenizer, config, narrow).collect()
+        return found["row_count"], found["token_count"]
 
     def run(source: TableSource) -> tuple[tuple, bool]:
-        row_count, token_count, error, lost = 0, 0, None, False
+        row_count, token_count, error, lost, pool = 0, 0, None, False, pools.get()
         try:
-            (found,) = estimate_tables([source.load()], tokenizer, config, narrow).collect()
-            row_count, token_count = found["row_count"], found["token_count"]
+            row_count, token_count = limited(spark, lambda: estimated(source), config.time_limit, pool)
         except Exception as stopped:  # noqa: BLE001 - whatever stops one table is its result
             error, lost = _first_line(stopped), worker_lost(stopped)
+        pools.put(pool)
         status = "completed" if error is None else "error"
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         row = (source.schema, source.table, row_count, token_count, status, error, now)
@@ -205,9 +247,22 @@ def estimate_cost(
     config: EstimateConfig | None = None,
     log: ResultLog | None = None,
     narrow: bool = True,
+    chunking: Chunking | None = None,
 ) -> EstimateResult:
     """Tokens of all tables and their cost under each price; no tables give an empty result."""
-    return EstimateResult(table_results(spark, sources, tokenizer, config, log, narrow), prices)
+    return EstimateResult(table_results(spark, sources, tokenizer, config, log, narrow, chunking), prices)
+
+
+def estimate_with_dictionary(
+    tables: Sequence[Table], dictionary: PieceDictionary, config: EstimateConfig | None = None, narrow: bool = True
+) -> tuple[DataFrame, int]:
+    """Rows and tokens of each table, and how many pieces the dictionary had to learn for it.
+
+    The pieces are counted once and written, then looked up.
+    """
+    counts = written(piece_counts(all_page_texts(tables, config, narrow), dictionary.tokenizer), "pieces")
+    learned = dictionary.learn(counts)
+    return listed_estimates(dictionary.tokens(counts), _listed(dictionary.spark, tables)), learned
 
 
 def sources_of(

@@ -36,6 +36,18 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(place)]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes what this application has written; call it when its results have been used."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/inktally/{spark.sparkContext.applicationId}")

@@ -145,7 +145,8 @@ class EstimateConfig:
 
     ``redact_fallback`` keeps excluded columns out of the text made for rows
     without any line; the default includes the whole row.  ``parallel`` tables
-    are counted at a time.
+    are counted at a time.  A table that takes more than ``time_limit`` seconds
+    once its turn has come is given up; None sets no limit.
     """
 
     mode: str = "auto"
@@ -153,3 +154,4 @@ class EstimateConfig:
     run_id: str = "cost-estimate"
     redact_fallback: bool = False
     parallel: int = 8
+    time_limit: float | None = None
