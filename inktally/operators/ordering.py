@@ -136,6 +136,22 @@ def running_totals(
     )
 
 
+def carried(frame: DataFrame, order: Sequence[Column], value: str, label: str = "carried") -> DataFrame:
+    """``frame`` with the last value of a column, nulls left out, at or before each row in the whole order.
+
+    What a range needs of those before it is one value, broadcast with one row
+    per written range.
+    """
+    rows = sorted_ranges(frame, order, label)
+    upto = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = rows.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_place"))).alias("_last"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lasts.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(upto))
+    kept = [F.coalesce("_local", "_carried").alias(c) if c == value else F.col(c) for c in frame.columns]
+    return local.join(F.broadcast(starts), "_range").select(*kept)
+
+
 def without_repeats(
     frame: DataFrame, group: str, order: Sequence[Column], compared: Sequence[str]
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inktally.functions.numbers import js_number_sql, to_fixed
+from inktally.operators.ordering import carried
 
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(.*\))$"
 #: Beginnings of model names that tell their provider.
@@ -96,6 +97,64 @@ def current_prices(
     return out
 
 
+def prices_in_force(moments: DataFrame, snapshots: DataFrame, hours: int = 24) -> DataFrame:
+    """``moments`` with ``fetched_at``: which price list was in force at each ``as_of``.
+
+    The newest snapshot at that time, if it was younger than ``hours``; null
+    means that there was none, so that the fallback was.  Moments and snapshots
+    are put in one order of time, by ranges, and the last snapshot is carried on
+    through them: no moment meets more than one.
+    """
+    kind = moments.schema["as_of"].dataType
+    lists = snapshots.select(F.col("fetched_at").cast(kind).alias("_at"), F.col("fetched_at").cast(kind).alias("_list")).distinct()
+    asked = moments.select(F.col("as_of").alias("_at"), F.lit(None).cast(kind).alias("_list"), F.struct(*moments.columns).alias("_given"))
+    given = F.lit(None).cast(asked.schema["_given"].dataType).alias("_given")
+    both = lists.select("_at", "_list", given).unionByName(asked)
+    # Of equal times, the snapshot comes first.
+    known = carried(both, [F.col("_at"), F.col("_given").isNotNull()], "_list", "in-force").where("_given is not null")
+    fresh = F.col("_list") > F.col("_at") - F.expr(f"interval {int(hours)} hours")
+    return known.select("_given.*", F.when(fresh, F.col("_list")).alias("fetched_at"))
+
+
+def costs_in_force(runs: DataFrame, entries: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Cost of each run's ``total_tokens`` under each model of the price list that was in force, by ``fetched_at``.
+
+    ``runs`` comes from :func:`prices_in_force`; a run without a list meets the
+    fallback's models.  Of a list's entries with one model name the last counts.
+    """
+    kind = runs.schema["fetched_at"].dataType
+    listed = entries.groupBy(F.col("fetched_at").cast(kind).alias("__list"), "model").agg(
+        F.max_by("price_per_million", "ordinal").alias("price_per_million")
+    )
+    none = F.lit(None).cast(kind).alias("__list")
+    every = listed.unionByName(price_map(fallback).select(none, "model", F.col("price_per_million").cast("double").alias("price_per_million")))
+    found = runs.join(every, F.col("fetched_at").eqNullSafe(F.col("__list"))).drop("__list")
+    return found.withColumn("cost", cost_of(F.col("total_tokens"), F.col("price_per_million")))
+
+
+#: Models in a block that meets every run, and how many models may be broadcast in all.
+BLOCK, BROADCAST = 1_000, 100_000
+
+
+def costs_of_totals(totals: DataFrame, prices: DataFrame) -> DataFrame:
+    """``totals`` with ``model`` and ``cost``: a row for each of its rows and each model.
+
+    The models are the query's own list: they come in blocks of about BLOCK,
+    each row of ``totals`` is dealt to the blocks, and only the result holds a
+    row per model.  Counts the models first.
+    """
+    models = price_map(prices)
+    n = models.count()
+    blocks = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("model"), F.lit(blocks)).cast("int").alias("_block")
+    lists = models.groupBy(block).agg(F.collect_list(F.struct("model", "price_per_million")).alias("_models"))
+    dealt = totals.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = dealt.join(F.broadcast(lists) if n <= BROADCAST else lists, "_block")
+    found = found.select(*totals.columns, F.explode("_models").alias("_price"))
+    cost = cost_of(F.col("total_tokens"), F.col("_price.price_per_million"))
+    return found.select(*totals.columns, F.col("_price.model").alias("model"), cost.alias("cost"))
+
+
 def price_map(prices: DataFrame) -> DataFrame:
     """One price per model name: that of its last entry."""
     return prices.groupBy("model").agg(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from inktally.operators import progress
 from inktally.sources import scratch
 from inktally.sources.price_files import fallback_prices
-from inktally.streaming.progress import LOG, follow_progress
+from inktally.operators.prices import costs_in_force, prices_in_force
+from inktally.streaming.progress import LOG, current_costs, current_lines, current_snapshots, follow_progress
 
 START = datetime(2024, 1, 1)
 
@@ -91,20 +92,96 @@ def test_costs_of_no_run(spark):
     assert progress.progress_costs(snapshots, fallback_prices(spark), [9]).count() == 0
 
 
-def test_stream_follows_a_growing_log(spark, tmp_path):
-    results = log(spark, THREE)
+def test_costs_of_all_runs(spark, monkeypatch):
+    """Models in one block and in several, broadcast and not."""
+    from inktally.operators import prices
+
+    totals = spark.createDataFrame([(r, 1000 * r) for r in range(1, 30)], "run_id bigint, total_tokens bigint")
+    listed = spark.createDataFrame([(i, "p", f"m{i % 37}", float(i)) for i in range(50)], "ordinal int, provider string, model string, price_per_million double")
+    last = {f"m{i % 37}": float(i) for i in range(50)}
+    want = sorted((r, m, r * 1000 / 1e6 * p) for r in range(1, 30) for m, p in last.items())
+    for block, most in ((1000, 100), (5, 100), (5, 3)):
+        monkeypatch.setattr(prices, "BLOCK", block)
+        monkeypatch.setattr(prices, "BROADCAST", most)
+        found = progress.progress_costs(totals, listed)
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert progress.progress_costs(totals, listed, [3]).count() == 37
+    assert progress.progress_costs(totals, listed.limit(0)).count() == 0
+
+
+def test_old_versions_expire(spark, tmp_path):
+    for _ in range(4):
+        last = progress.write_progress(log(spark, THREE), runs(spark, (1, 3)), fallback_prices(spark), str(tmp_path), keep=2)
+    left = sorted(p.name for p in (tmp_path / "versions").iterdir())
+    assert len(left) == 2 and last.endswith(left[-1]) and len(read(tmp_path, "costs")) == 11
+
+
+def test_prices_in_force(spark):
+    """Before the first list, at its very time, within and beyond 24 hours, and between lists, in ranges of their own."""
+    day = lambda d, h=0: START + timedelta(days=d, hours=h)
+    snapshots = spark.createDataFrame([(day(1),), (day(1),), (day(3),), (day(3, 5),)], "fetched_at timestamp_ntz")
+    asked = [day(0), day(1), day(1, 23), day(2), day(2, 1), day(3, 4), day(3, 5), day(4, 4), day(9)]
+    want = [None, day(1), day(1), None, None, day(3), day(3, 5), day(3, 5), None]
+    moments = spark.createDataFrame([(i, a, "x") for i, a in enumerate(asked)], "n int, as_of timestamp_ntz, _list string").repartition(3)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = prices_in_force(moments, snapshots)
+        assert [r.fetched_at for r in found.orderBy("n").collect()] == want and found.columns == [*moments.columns, "fetched_at"]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert prices_in_force(moments, snapshots.limit(0)).where("fetched_at is not null").count() == 0
+    assert prices_in_force(moments.limit(0), snapshots).count() == 0
+    runs_ = prices_in_force(moments, snapshots).withColumn("total_tokens", F.lit(2_000_000))
+    entries = spark.createDataFrame(
+        [(day(1), 0, "p", "a", 1.0), (day(1), 1, "p", "a", 3.0), (day(3, 5), 0, "p", "b", 5.0)],
+        "fetched_at timestamp_ntz, ordinal int, provider string, model string, price_per_million double",
+    )
+    costs = costs_in_force(runs_, entries, fallback_prices(spark)).collect()
+    # A list without entries is in force all the same.
+    assert sorted((r.n, r.model, r.cost) for r in costs if r.n in (1, 2, 5, 6, 7)) == [(1, "a", 6.0), (2, "a", 6.0), (6, "b", 10.0), (7, "b", 10.0)]
+    assert {r.n for r in costs if r.model == "voyage-3"} == {0, 3, 4, 8}
+
+
+def batches(out):
+    """Rows written per batch, and lines in all."""
+    found = {p.name: len(snapshot_files(p / "snapshots")) for p in sorted((out / "batches").iterdir())}
+    return list(found.values()), len(snapshot_files(out / "tables")) if (out / "tables").exists() else 0
+
+
+def test_stream_writes_what_changed(spark, tmp_path):
+    """Each batch writes the runs it changed; sums go on after a restart; costs of all runs belong to their newest document."""
+    results = [(1, "a", 10, 100, None, 10), (2, "a", 1, 7, None, 15), (1, "b", 0, 0, "no such table", 20), (1, "c", 5, 50, None, 31), (2, "b", 2, 5, None, 40)]
     (tmp_path / "log").mkdir()
-    arguments = (spark, str(tmp_path / "log"), runs(spark, (1, 3)), fallback_prices(spark), str(tmp_path / "out"))
-    for n in (0, 2, 3):
-        chosen = {0: [], 2: ["a", "b"], 3: ["c"]}[n]
-        if chosen:
-            results.where(F.col("table").isin(chosen)).write.mode("append").parquet(str(tmp_path / "log"))
-        query = follow_progress(*arguments, checkpoint=str(tmp_path / "state"), run_ids=[1], available_now=True)
-        query.awaitTermination(120)
-        (found,) = read(tmp_path / "out", "snapshots")
-        assert found["progress"]["completed"] == n and found["status"] == ("completed" if n == 3 else "in_progress")
-        assert len(read(tmp_path / "out", "tables")) == n
-    assert found["totals"]["totalTokens"] == 150 and len(read(tmp_path / "out", "costs")) == 11
+    out, all_runs = tmp_path / "out", runs(spark, (1, 3), (2, 3), (3, 1))
+    arguments = (spark, str(tmp_path / "log"), all_runs, fallback_prices(spark), str(out), str(tmp_path / "state"))
+    for rows, written, lines in (([], [3], 0), (results[:2], [3, 2], 2), (results[2:4], [3, 2, 1], 4), (results[4:], [3, 2, 1, 1], 5)):
+        if rows:
+            log(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        following = follow_progress(*arguments, available_now=True)
+        assert following.awaitTermination(120)
+        assert batches(out) == (written, lines)
+    found = {r.runId: r for r in current_snapshots(spark, str(out)).collect()}
+    assert {k: (r.progress.completed, r.progress.errors, r.totals.totalTokens, r.status) for k, r in found.items()} == {
+        1: (3, 1, 150, "completed"), 2: (2, 0, 12, "in_progress"), 3: (0, 0, 0, "in_progress"),
+    }
+    costs = current_costs(spark, str(out)).collect()
+    assert len(costs) == 33 and {c.runId: c.cost for c in costs if c.model == "voyage-3"} == {1: 150 / 1e6 * 0.06, 2: 12 / 1e6 * 0.06, 3: 0.0}
+    assert current_lines(spark, str(out)).count() == 5
+
+
+def test_many_batches_become_one(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    out = tmp_path / "out"
+    for i in range(9):
+        log(spark, [(i % 3, f"t{i}", 1, 10, None, i)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    follow_progress(
+        spark, str(tmp_path / "log"), runs(spark, (0, 3), (1, 3), (2, 3)), fallback_prices(spark), str(out), str(tmp_path / "state"),
+        available_now=True, files_per_batch=1, most=3,
+    ).awaitTermination(120)
+    assert len(list((out / "batches").iterdir())) <= 6
+    assert {r.runId: r.totals.totalTokens for r in current_snapshots(spark, str(out)).collect()} == {0: 30, 1: 30, 2: 30}
+    assert current_costs(spark, str(out)).count() == 33 and current_lines(spark, str(out)).count() == 9
 
 
 class Session:
