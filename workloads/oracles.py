@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workloads.queries import BLOCKED, CHUNK, LOOKED_AT, SCHEMA, THRESHOLD, UPDATED
+from workloads.queries import BLOCKED, CHUNK, RESUMED, SCHEMA, THRESHOLD, UPDATED
 from workloads.tables import KEYS
 
 # Column types of the test tables: i 32-bit, l 64-bit, d double, s text, t timestamp,
@@ -292,6 +292,29 @@ _FALLBACK = """
 """
 
 
+#: Price lists 36 hours apart, and the one in force at a moment.
+_MOVED = "timestamp '2020-01-01 00:00:00' + to_hours(36 * datediff('day', timestamp '1995-01-01 00:00:00', l_shipdate))"
+_IN_FORCE = (
+    f"(select max({_MOVED}) from lineitem where {_MOVED} <= {{at}} and {_MOVED} > {{at}} - interval 24 hours)"
+)
+
+_ORDER_CHANGE = "case when o_orderkey % 5 = 0 then 'Z' else o_orderstatus end"
+_CHANGED_ORDERS = f"""
+with sides as (select o_orderkey % 7 <> 0 as was, o_orderkey % 11 <> 0 as here, sha256('public.orders|' || {_pk('orders')}) as doc_id,
+    sha256({_row('orders')}) as old_hash, new_hash
+  from orders join (select o_orderkey as k, sha256({_row('orders')}) as new_hash from (select * replace ({_ORDER_CHANGE} as o_orderstatus)
+    from orders)) on k = o_orderkey)
+select 'public' as schema, 'orders' as "table", doc_id, case when here then new_hash else old_hash end as row_hash,
+  case when not was then 'added' when not here then 'removed' else 'changed' end as change, 1 as n
+from sides where (was or here) and (was is distinct from here or old_hash <> new_hash)"""
+_CHANGED_ITEMS = f"""
+select 'public' as schema, 'lineitem' as "table", sha256('public.lineitem|' || {_pk('lineitem')}) as doc_id, sha256(line) as row_hash,
+  case when now > was then 'added' else 'removed' end as change, abs(now - was) as n from (
+  select {_row('lineitem')} as line, count(*) filter (l_linenumber <> 2) as was,
+    count(*) filter (l_linenumber <> 3) + count(*) filter (l_linenumber = 4) as now from lineitem group by 1) where was <> now"""
+_CHANGES = f"(select * from ({_CHANGED_ORDERS}) union all select * from ({_CHANGED_ITEMS}))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "list_tables": _CATALOG + "select * from listed",
@@ -332,6 +355,32 @@ select schema, "table", completed_chunks, n_chunks as total_chunks, completed_ch
   select schema, "table", n_chunks, count(distinct a.chunk_id) as completed_chunks
   from (select distinct schema, "table", n_chunks from ({_WHOLE_PLAN})) left join {_ARRIVED} a using (schema, "table")
   group by all)""",
+        "resumed_chunks": " union all ".join(
+            f"select *, 1 as arrived from ({_chunks(t, ', '.join(KEYS[t]) or 'all', _tokens(t), n)})" for t, n in RESUMED.items()
+        ).replace("order by all", f"order by {', '.join(n for n, _ in _columns('lineitem'))}"),
+        "resumed_estimates": f"select * from ({_estimates()}) where \"table\" in ({', '.join(repr(t) for t in RESUMED)})",
+        "range_slices": "select 'orders' as \"table\", o_orderkey as first, o_orderkey as last from (select * from orders "
+        "order by o_orderkey limit 900 offset 700) union all select 'lineitem', l_orderkey, l_linenumber from "
+        "(select * from lineitem order by all limit 1000 offset 3000)",
+        "dictionary_estimates": f"select *, 0 as learned from ({_estimates()})",
+        "table_results_by_chunks": f"select *, 'completed' as status from ({_estimates()}) "
+        "where \"table\" in ('nation', 'customer', 'events', 'pages')",
+        "table_results_one_missing": "select schema, \"table\", row_count, status from (select *, 'completed' as status from "
+        f"({_COUNTS}) where \"table\" in ('region', 'documents')) union all select 'public', 'absent', 0, 'error'",
+        "prices_in_force": f"select event_id, {_IN_FORCE.format(at='ts')} as fetched_at from events",
+        "costs_in_force": f"""
+with runs as (select run_id, total_tokens, started_at, {_IN_FORCE.format(at='started_at')} as fetched_at from ({_SNAPSHOT}) s),
+lists as (select {_MOVED} as dated, 'p' || l_partkey as model, arg_max(l_extendedprice / 1000, l_orderkey * 10 + l_linenumber) as price
+  from lineitem group by 1, 2 union all select null, model, cast(price as double) from {_FALLBACK})
+select run_id, fetched_at, model, cast(total_tokens as double) / 1000000.0 * price as cost
+from runs join lists on fetched_at is not distinct from dated""",
+        "load_changes": f"select schema, \"table\", doc_id, row_hash, change from {_CHANGES}",
+        "load_change_counts": "select schema, \"table\", " + ", ".join(
+            f"cast(coalesce(sum(n) filter (change = '{c}'), 0) as bigint) as {c}" for c in ("added", "removed", "changed")
+        ) + f" from {_CHANGES} group by all",
+        "followed_costs": f"""
+select run_id as "runId", model, cast(total_tokens as double) / 1000000.0 * cast(price as double) as cost
+from ({_SNAPSHOT}) s, {_FALLBACK}""",
         "page_content_customer": _select_content("customer", _content("customer")),
         "page_content_all_columns": _select_content("orders", _content("orders", "all")),
         "page_content_excluded": _select_content("orders", _content("orders", without=("o_orderstatus",))),
@@ -409,12 +458,12 @@ join (select provider, min(ordinal) as provider_ordinal from {_PRICES} group by
         "progress_snapshot": _SNAPSHOT,
         "progress_costs": f"""
 select run_id, model, cast(total_tokens as double) / 1000000.0 * price_per_million as cost
-from ({_SNAPSHOT}) s, {_PRICE_MAP} p where run_id in {LOOKED_AT}""",
+from ({_SNAPSHOT}) s, {_PRICE_MAP} p""",
         "progress_table_lines": _LINES,
         "write_progress_tables": _LINES,
         "write_progress_costs": f"""
 select run_id as "runId", model, cast(total_tokens as double) / 1000000.0 * price_per_million as cost
-from ({_SNAPSHOT}) s, {_PRICE_MAP} p where run_id in {LOOKED_AT}""",
+from ({_SNAPSHOT}) s, {_PRICE_MAP} p""",
         "running_progress": f"""
 select run_id, schema, "table", completed_at, completed, total, errors,
   cast(floor(completed / total * 100 + 0.5) as bigint) as percent_complete, total_tokens, total_rows,
@@ -426,6 +475,9 @@ select run_id, "table", completed, total, errors, percent_complete, total_tokens
   from (select *, cast(floor(completed / total * 100 + 0.5) as bigint) as percent_complete,
     cast(floor(millis / 1000) as bigint) as elapsed_seconds from ({_RUNNING})))
 where before is null or before <> state""",
+        "followed_progress": f"""
+select run_id, {_iso('started_at')} as start_time, {_iso('last_update')} as last_update, status, completed, total,
+  errors, percent_complete, total_tokens, total_rows, elapsed_seconds from ({_SNAPSHOT})""",
         "write_progress": f"""
 select run_id, {_iso('started_at')} as start_time, {_iso('last_update')} as last_update, status, completed, total,
   errors, percent_complete, total_tokens, total_rows, elapsed_seconds from ({_SNAPSHOT})""",

@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inktally.functions.json_text import with_canonical_json
-from inktally.operators import catalog, prices, profile, progress, slices
+from inktally.operators import catalog, changes, prices, profile, progress, slices
 from inktally.operators import tokens as token_jobs
+from inktally.operators.dictionary import PieceDictionary
 from inktally.operators.documents import RowText, documents, for_each_table, narrow_page_texts, page_texts, union_all
 from inktally.operators.estimates import table_report, total_rows, total_tokens
+from inktally.plans.chunks import ChunkLog, Chunking, KeyRanges, count_chunks
 from inktally.plans.estimate import (
     TableSource,
     all_page_texts,
     estimate_tables,
-    gathered_texts,
+    estimate_with_dictionary,
     sources_of,
     table_results,
 )
@@ -28,6 +30,7 @@ from inktally.sources.price_files import fallback_prices, read_price_file
 from inktally.sources.scratch import scratch_folder
 from inktally.sources.tables import read_table
 from inktally.spec import EstimateConfig
+from inktally.streaming import progress as following
 from workloads.tables import (
     KEYS,
     catalog_relations,
@@ -36,10 +39,12 @@ from workloads.tables import (
     price_entries,
     price_history,
     price_list,
+    price_moments,
     result_log,
     table,
     tables,
     token_total,
+    two_loads,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +57,6 @@ UPDATED = ("missing", "SIGNUP_3", "view_1", "click_0")
 AS_OF = datetime(2000, 6, 1, 12)
 LATE = datetime(2030, 1, 1)
 THRESHOLD, CHUNK = 1_000, 700
-#: Runs whose costs are listed.
-LOOKED_AT = (1, 2, 3)
 
 
 def query(run: Query) -> Query:
@@ -213,9 +216,7 @@ def chunk_estimates(spark, folder):
 
 def _chunk_tokens(spark, folder, used):
     frame, spec = table(spark, folder, "documents")
-    counts = token_jobs.doc_tokens(RowText(frame, spec).texts, used, ("doc_id",))
-    counted = frame.join(counts, "doc_id")
-    return slices.chunk_estimates(counted, spec, F.col("token_count"), 100)
+    return slices.chunk_estimates(used.with_count(RowText(frame, spec).texts), spec, F.col("token_count"), 100)
 
 
 @query
@@ -228,6 +229,54 @@ def chunk_tokens_pairs(spark, folder):
     return _chunk_tokens(spark, folder, pairs_tokenizer())
 
 
+#: Tables of the resumed run: their chunk rows.
+RESUMED = {"orders": 1000, "documents": 100, "lineitem": 5000}
+
+
+def _new_path(spark, label):
+    return f"{scratch_folder(spark)}/{label}-{os.urandom(8).hex()}"
+
+
+def _resumed(spark, folder):
+    """Chunks of three tables, counted in two goes: the first stops after two ranges of each table, the second goes on."""
+    path, used, plans = _new_path(spark, "resumed"), pairs_tokenizer(), []
+    log = ChunkLog(f"{path}/log")
+    for name, rows in RESUMED.items():
+        frame, spec = table(spark, folder, name)
+        counted = used.with_count(RowText(frame, spec).texts)
+        ranges = KeyRanges.write(frame, spec, f"{path}/{name}", rows, 4)
+        for most in (2, None):
+            ranges = KeyRanges.read(spark, spec, f"{path}/{name}", rows)
+            count_chunks(counted, ranges, F.col("token_count"), log, 1, most)
+        plans.append(ranges.plan())
+    return log.read(spark, 1), union_all(plans)
+
+
+@query
+def resumed_chunks(spark, folder):
+    """Each chunk of a run that stopped and went on, and how often it is in the log."""
+    log, _ = _resumed(spark, folder)
+    chunk = ["schema", "table", "chunk_id", "chunk_index", "row_count", "token_count"]
+    return log.groupBy(*chunk).agg(F.count(F.lit(1)).alias("arrived"))
+
+
+@query
+def resumed_estimates(spark, folder):
+    return slices.merge_chunks(*_resumed(spark, folder))
+
+
+@query
+def range_slices(spark, folder):
+    """Slices of two tables read through their key ranges, one across the border of ranges."""
+    found = []
+    for name, offset, limit in (("orders", 700, 900), ("lineitem", 3000, 1000)):
+        frame, spec = table(spark, folder, name)
+        ranges = KeyRanges.write(frame, spec, _new_path(spark, "ranges"), 500, 8)
+        key = [c for c in ("o_orderkey", "l_orderkey", "l_linenumber") if c in frame.columns]
+        found.append(ranges.slice(frame, offset, limit).select(F.lit(name).alias("table"), F.col(key[0]).alias("first"), F.col(key[-1]).cast("bigint").alias("last")))
+    return union_all(found)
+
+
 def _arrived(spark, folder):
     """Chunk results of two tables, with the first chunk of the second one missing."""
     parts = []
@@ -390,7 +439,7 @@ def doc_tokens_pairs(spark, folder):
 
 
 def _all_pieces(spark, folder, used):
-    return token_jobs.piece_counts(gathered_texts(all_page_texts(tables(spark, folder))), used)
+    return token_jobs.piece_counts(all_page_texts(dealt(tables(spark, folder))), used)
 
 
 @query
@@ -424,12 +473,22 @@ def pieces_in_vocabulary(spark, folder):
 
 @query
 def table_estimates(spark, folder):
-    return estimate_tables(tables(spark, folder), tokenizer(), gather=True)
+    return estimate_tables(dealt(tables(spark, folder)), tokenizer())
 
 
 @query
 def table_estimates_pairs(spark, folder):
-    return estimate_tables(tables(spark, folder), pairs_tokenizer(), gather=True)
+    return estimate_tables(dealt(tables(spark, folder)), pairs_tokenizer())
+
+
+@query
+def dictionary_estimates(spark, folder):
+    """Estimates by a dictionary of pieces that the same tables taught before: nothing is left to learn."""
+    dictionary = PieceDictionary(spark, _new_path(spark, "pieces"), pairs_tokenizer(), 8)
+    read = dealt(tables(spark, folder))
+    estimate_with_dictionary(read, dictionary)
+    found, learned = estimate_with_dictionary(read, dictionary)
+    return found.withColumn("learned", F.lit(learned).cast("bigint"))
 
 
 @query
@@ -484,7 +543,7 @@ def _results(spark, folder, used, names):
 @query
 def table_results_one_missing(spark, folder):
     found = _results(spark, folder, tokenizer(), ("region", "documents", "absent"))
-    return found.select("schema", "table", "row_count", "token_count", "status", "error_message")
+    return found.select("schema", "table", "row_count", "status")
 
 
 @query
@@ -496,6 +555,16 @@ def table_results_pairs(spark, folder):
     )
 
 
+@query
+def table_results_by_chunks(spark, folder):
+    """The results of all tables, large ones by chunks whose log a second run finds complete."""
+    chunking = Chunking(_new_path(spark, "chunked"), 1, THRESHOLD, CHUNK, 3)
+    sources = [TableSource("public", n, lambda n=n: table(spark, folder, n)) for n in ("nation", "customer", "events", "pages")]
+    for _ in range(2):
+        found = table_results(spark, sources, pairs_tokenizer(), EstimateConfig(time_limit=3600), chunking=chunking)
+    return found.select("schema", "table", "row_count", "token_count", "status")
+
+
 @query
 def estimate_from_catalog(spark, folder):
     """From the catalog of the tables to their results."""
@@ -562,6 +631,44 @@ def provider_report(spark, folder):
     return prices.provider_report(token_total(spark, folder), price_list(spark, folder))
 
 
+@query
+def prices_in_force(spark, folder):
+    """Which list was in force at each event."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    snapshots, _ = price_moments(spark, folder)
+    return prices.prices_in_force(events.select("event_id", F.col("ts").alias("as_of")), snapshots).select("event_id", "fetched_at")
+
+
+@query
+def costs_in_force(spark, folder):
+    """What each run cost under the models of the list in force at its start."""
+    snapshots, entries = price_moments(spark, folder)
+    runs = progress.progress_snapshot(*result_log(spark, folder))
+    dated = prices.prices_in_force(runs.select("run_id", "total_tokens", F.col("started_at").alias("as_of")), snapshots)
+    return prices.costs_in_force(dated, entries, fallback_prices(spark)).select("run_id", "fetched_at", "model", "cost")
+
+
+# What changed between two loads
+
+
+def _changes(spark, folder):
+    found = []
+    for spec, old, new in two_loads(spark, folder):
+        before = changes.LoadedVersion(spark, _new_path(spark, f"load-{spec.table}"), 8).store(documents(old, spec))
+        found.append(changes.changes(before, documents(new, spec)))
+    return union_all(found)
+
+
+@query
+def load_changes(spark, folder):
+    return _changes(spark, folder).drop("copies_before", "copies_after")
+
+
+@query
+def load_change_counts(spark, folder):
+    return changes.change_counts(_changes(spark, folder))
+
+
 # Progress
 
 
@@ -585,7 +692,7 @@ def progress_snapshot(spark, folder):
 @query
 def progress_costs(spark, folder):
     snapshots = progress.progress_snapshot(*result_log(spark, folder))
-    return progress.progress_costs(snapshots, price_list(spark, folder), LOOKED_AT)
+    return progress.progress_costs(snapshots, price_list(spark, folder))
 
 
 @query
@@ -613,20 +720,14 @@ def changed_snapshots(spark, folder):
 
 def _published(spark, folder, part, layout):
     log, runs = result_log(spark, folder)
-    path = f"{scratch_folder(spark)}/progress-{os.urandom(8).hex()}"
-    progress.write_progress(log, runs, price_list(spark, folder), path, LOOKED_AT)
+    path = _new_path(spark, "progress")
+    progress.write_progress(log, runs, price_list(spark, folder), path)
     return spark.read.schema(layout).json(f"{progress.current_version(spark, path)}/{part}")
 
 
-@query
-def write_progress(spark, folder):
-    """The snapshots written as JSON and read back."""
-    layout = (
-        "runId bigint, startTime string, lastUpdate string, status string, progress struct<completed:bigint,"
-        "total:bigint,errors:bigint,percentComplete:bigint>, totals struct<totalTokens:bigint,totalRows:bigint>, "
-        "elapsedSeconds bigint"
-    )
-    return _published(spark, folder, "snapshots", layout).select(
+def _flat(documents):
+    """Published documents as rows."""
+    return documents.select(
         F.col("runId").alias("run_id"),
         F.col("startTime").alias("start_time"),
         F.col("lastUpdate").alias("last_update"),
@@ -639,13 +740,15 @@ def write_progress(spark, folder):
     )
 
 
+@query
+def write_progress(spark, folder):
+    """The snapshots written as JSON and read back."""
+    return _flat(_published(spark, folder, "snapshots", following.DOCUMENT)).drop("batch")
+
+
 @query
 def write_progress_tables(spark, folder):
-    layout = (
-        "runId bigint, schema string, table string, rowCount bigint, tokenCount bigint, status string, "
-        "errorMessage string, completedAt string"
-    )
-    return _published(spark, folder, "tables", layout)
+    return _published(spark, folder, "tables", following.LINE)
 
 
 @query
@@ -653,5 +756,33 @@ def write_progress_costs(spark, folder):
     return _published(spark, folder, "costs", "runId bigint, model string, cost double")
 
 
+def _followed(spark, folder):
+    """A log that arrived in some files, followed in several batches with a restart between them."""
+    log, runs = result_log(spark, folder)
+    path = _new_path(spark, "followed")
+    for part in range(2):
+        some = log.where(F.dayofmonth("completed_at") < 12 if part == 0 else F.dayofmonth("completed_at") >= 12)
+        some.repartition(3).write.mode("append").parquet(f"{path}/log")
+        following.follow_progress(
+            spark, f"{path}/log", runs, fallback_prices(spark), f"{path}/out", f"{path}/state", layout=_layout(log), available_now=True, files_per_batch=2, most=2
+        ).awaitTermination()
+    return f"{path}/out"
+
+
+def _layout(frame):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
+@query
+def followed_progress(spark, folder):
+    """The newest document of each run that a stream has written."""
+    return _flat(following.current_snapshots(spark, _followed(spark, folder)))
+
+
+@query
+def followed_costs(spark, folder):
+    return following.current_costs(spark, _followed(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -52,8 +52,13 @@ def tables(spark: SparkSession, folder: str, names=tuple(KEYS)) -> list[tuple[Da
 
 
 def dealt(tables: list[tuple[DataFrame, TableSpec]]) -> list[tuple[DataFrame, TableSpec]]:
-    """The test tables dealt out over the cores, since each is one file with one row group."""
-    return [(frame.repartition(frame.sparkSession.sparkContext.defaultParallelism), spec) for frame, spec in tables]
+    """Tables of fewer splits than cores dealt out over the cores; larger ones are read as they are split."""
+
+    def one(frame: DataFrame) -> DataFrame:
+        cores = frame.sparkSession.sparkContext.defaultParallelism
+        return frame if frame._jdf.rdd().getNumPartitions() >= cores else frame.repartition(cores)
+
+    return [(one(frame), spec) for frame, spec in tables]
 
 
 def local_scratch(spark: SparkSession) -> None:
@@ -163,6 +168,30 @@ def price_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return items.select(F.col("l_shipdate").alias("fetched_at")).distinct(), entries
 
 
+def price_moments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A history with a list each 36 hours, one per ship date, its days spread over the years around the events."""
+    snapshots, entries = price_history(spark, folder)
+    start = "timestamp_ntz'1995-01-01 00:00:00'"
+    # Days since 1995 become 36 hours since 2020, so that lists are in force for two thirds of the time.
+    moved = F.expr(f"timestampadd(HOUR, 36 * timestampdiff(DAY, {start}, fetched_at), timestamp_ntz'2020-01-01 00:00:00')")
+    return snapshots.withColumn("fetched_at", moved), entries.withColumn("fetched_at", moved)
+
+
+def two_loads(spark: SparkSession, folder: str) -> list[tuple[TableSpec, DataFrame, DataFrame]]:
+    """Two versions of tables with and without a key: rows that are missing from either, changed, and repeated."""
+    orders, order_spec = table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    old_orders = orders.where(key % 7 != 0)
+    new_orders = orders.where(key % 11 != 0).withColumn(
+        "o_orderstatus", F.when(key % 5 == 0, F.lit("Z")).otherwise(F.col("o_orderstatus"))
+    )
+    items, item_spec = table(spark, folder, "lineitem")
+    line = F.col("l_linenumber")
+    old_items = items.where(line != 2)
+    new_items = items.where(line != 3).unionByName(items.where(line == 4))
+    return [(order_spec, old_orders, new_orders), (item_spec, old_items, new_items)]
+
+
 def token_total(spark: SparkSession, folder: str) -> DataFrame:
     """A token total made from the events."""
     events = spark.read.parquet(f"{folder}/events.parquet")
