@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from inktally.operators.catalog import table_catalog, table_specs
 from inktally.operators.dictionary import PieceDictionary
 from inktally.operators.documents import for_each_table, narrow_page_texts, page_texts
-from inktally.operators.estimates import RESULTS, listed_estimates, table_report, totals
+from inktally.operators.estimates import RESULTS, listed_estimates, table_estimates, table_report, totals
 from inktally.operators.prices import cost_by_model, provider_report
-from inktally.operators.tokens import Tokenizer, piece_counts, piece_tokens
+from inktally.operators.tokens import Tokenizer, piece_counts
 from inktally.plans.chunks import Chunking
 from inktally.sources.information_schema import InformationSchema
 from inktally.sources.scratch import written
@@ -58,9 +58,12 @@ def estimate_tables(
     config: EstimateConfig | None = None,
     narrow: bool = True,
 ) -> DataFrame:
-    """Rows and tokens of each table, as one lazy query; texts stay in the JVM and are not shuffled."""
-    counted = piece_tokens(piece_counts(all_page_texts(tables, config, narrow), tokenizer), tokenizer)
-    return listed_estimates(counted, _listed(counted.sparkSession, tables))
+    """Rows and tokens of each table, as one lazy query.
+
+    Each text is encoded where it is read, in Arrow batches; only sums are shuffled.
+    """
+    counted = tokenizer.with_count(all_page_texts(tables, config, narrow))
+    return listed_estimates(table_estimates(counted), _listed(counted.sparkSession, tables))
 
 
 def _listed(spark: SparkSession, tables: Sequence[Table]) -> DataFrame:

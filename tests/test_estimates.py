@@ -72,14 +72,32 @@ def test_pairs_are_merged(spark):
 
 
 def test_texts_stay_out_of_python(spark, data, tokenizer):
-    """Only pieces that the vocabulary lacks go there; lineitem's first scan reads its two text columns."""
-    found = estimate_tables(tables(spark, data, ("lineitem",)), tokenizer)
+    """Of counted pieces, only those that the vocabulary lacks go there; lineitem's first scan reads its two text columns."""
+    found = piece_tokens(piece_counts(all_page_texts(tables(spark, data, ("lineitem",))), tokenizer), tokenizer)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "l_returnflag:string,l_linestatus:string>" in plan
     (line,) = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
     assert "page_content" not in line and "piece" in line
 
 
+def test_texts_are_not_shuffled(spark, data, tokenizer):
+    """Neither estimates, nor tokens of documents, nor pieces shuffle texts or the columns they are made of."""
+    read = tables(spark, data, ("lineitem", "documents"))
+    made = all_page_texts(read)
+    each = (estimate_tables(read, tokenizer), doc_tokens(made, tokenizer, ("schema", "table")), piece_counts(made, tokenizer))
+    for frame in each:
+        todo, shuffled = [frame._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                node = node.executedPlan()
+            if node.nodeName() == "Exchange":
+                shuffled.append(node.output().mkString(" "))
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert not any(name in out for out in shuffled for name in ("page_content", "text#", "l_returnflag", "__lines"))
+        assert shuffled or frame is each[1]
+
+
 def test_special_strings_can_be_refused(spark, tokenizer):
     strict = Tokenizer(tokenizer.pattern, tokenizer.ranks, refuse_special=True)
     assert strict.special == CL100K_SPECIAL

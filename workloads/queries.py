@@ -473,12 +473,12 @@ def pieces_in_vocabulary(spark, folder):
 
 @query
 def table_estimates(spark, folder):
-    return estimate_tables(dealt(tables(spark, folder)), tokenizer())
+    return estimate_tables(tables(spark, folder), tokenizer())
 
 
 @query
 def table_estimates_pairs(spark, folder):
-    return estimate_tables(dealt(tables(spark, folder)), pairs_tokenizer())
+    return estimate_tables(tables(spark, folder), pairs_tokenizer())
 
 
 @query
@@ -674,13 +674,15 @@ def load_change_counts(spark, folder):
 
 @query
 def price_file(spark, folder):
-    """A price file made of the parts, written and read."""
+    """Price files made of the parts, about a thousand entries each, written and read as one folder, a task a file."""
     entries = price_entries(spark, folder)
-    pair = F.concat(F.to_json(F.struct(F.col("model_key").alias("k"))), F.lit(""))
-    key = F.regexp_extract(pair, r"^\{\"k\":(.*)\}$", 1)
-    body = F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", F.concat(key, F.lit(": "), "entry").alias("e")))).getField("e"), ", ")
-    path = f"{scratch_folder(spark)}/prices-{os.urandom(8).hex()}"
-    entries.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).write.text(path)
+    files = F.lit(max(1, entries.count() // 1000))
+    key = F.regexp_extract(F.to_json(F.struct(F.col("model_key").alias("k"))), r"^\{\"k\":(.*)\}$", 1)
+    line = F.struct("ordinal", F.concat(key, F.lit(": "), "entry").alias("e"))
+    body = F.array_join(F.array_sort(F.collect_list(line)).getField("e"), ", ")
+    path = _new_path(spark, "prices")
+    made = entries.groupBy(F.pmod(F.xxhash64("ordinal"), files).alias("file")).agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    made.write.partitionBy("file").text(path)
     return prices.parse_prices(read_price_file(spark, path)).select("provider", "model", "price_per_million")
 
 
