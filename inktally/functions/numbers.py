@@ -53,7 +53,26 @@ def _outside(x: str) -> str:
         f"when abs({x}) >= 1D and abs({x}) < 1e21D then {_plain('s', 16)} "
         f"else {_exponent('s')} end"
     )
-    return bind_sql(_shortest(x), "s", form)
+    return (
+        f"case when abs({x}) >= 9007199254740992D and abs({x}) < 1e21D then concat(if({x} < 0, '-', ''), {_whole(x)}) "
+        f"else {bind_sql(_shortest(x), 's', form)} end"
+    )
+
+
+def _whole(x: str) -> str:
+    """A whole number beyond 2^53: of the fewest digits that read back as it, those nearest to its exact value.
+
+    Its exact value is known as a decimal: below 2^63 as a long, and beyond as a
+    long times 2^11.
+    """
+    exact = (
+        f"if(abs({x}) < 9223372036854775808D, cast(cast(abs({x}) as bigint) as decimal(24,0)), "
+        f"cast(cast(cast(abs({x}) / 2048D as bigint) as decimal(20,0)) * cast(2048 as decimal(4,0)) as decimal(24,0)))"
+    )
+    unit = "cast(rpad('1', greatest(1, length(cast(e as string)) - d + 1), '0') as decimal(8,0))"
+    rounded = "cast(cast((e + cast(p div cast(2 as decimal(1,0)) as decimal(8,0))) div p as decimal(20,0)) * p as string)"
+    tries = f"transform(array(15, 16, 17), d -> {bind_sql(unit, 'p', rounded)})"
+    return bind_sql(exact, "e", f"filter({tries}, t -> cast(t as double) = abs({x}))[0]")
 
 
 def _shortest(x: str) -> str:

@@ -256,3 +256,22 @@ def test_narrow_scan_gives_the_same_texts(spark, types, tmp_path):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     scans = two._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<a:string,j:string>")
     assert scans == 1
+
+
+def test_whole_numbers_beyond_2_to_the_53(spark):
+    """The nearest of the shortest digits, against the exact binary value, up to where exponents begin."""
+    import random
+    import struct
+
+    from inktally.functions.json_text import number_text
+    from inktally.functions.numbers import js_number
+
+    rng = random.Random(12)
+    some = [rng.choice((1, -1)) * rng.uniform(2**53, 10 ** rng.uniform(16, 21)) for _ in range(20_000)]
+    some += [float(2**k + d * 2 ** max(0, k - 52)) for k in range(53, 70) for d in (-1, 0, 1)] + [float(10**k) for k in range(16, 21)]
+    some += [struct.unpack("d", struct.pack("Q", (rng.randrange(1076, 1093) << 52) | rng.getrandbits(52)))[0] for _ in range(5_000)]
+    some = [x for x in some if 2**53 <= abs(x) < 1e21]
+    frame = spark.createDataFrame(list(enumerate(some)), "i int, x double")
+    found = {r.i: r.t for r in frame.select("i", js_number("x").alias("t")).collect()}
+    wrong = [(x, found[i], number_text(x)) for i, x in enumerate(some) if found[i] != number_text(x)]
+    assert not wrong, wrong[:5]
