@@ -1,9 +1,10 @@
 """Contiguous shards of about equal bytes, by prefix sums over all rows.
 
-Rows are put in the order of doc_id. Ranges of doc_id, cut at approximate quantiles, stand for partitions: their
-totals, one number each, give every range its offset, and a running sum inside a range gives each row its
+Rows are put in the order of doc_id, checksum and size, by ranges that are written out sorted. Each range's
+totals, one number each, give it its offset, and a running sum inside it gives each row its
 place in the whole. The bytes are then cut at equal targets: a row is in the shard in which its middle lies, so
-shards are contiguous and differ from the target by less than a row. Texts are not shuffled.
+shards are contiguous and differ from the target by less than a row. Texts are not shuffled. Ranges are cut inside
+a doc_id too, so that one with very many rows, or none of them having an id, fills no task.
 
 Defined results: a null text has no bytes and counts as the fixed size only; a null doc_id comes first;
 rows that share a doc_id are ordered by checksum and size, and equal rows, which are counted before they are
@@ -16,36 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inktally.llm.common import stored
+from inktally.llm.common import shared_folder, stored
+from inktally.operators.ordering import sorted_ranges
 
-#: Rows of a range, about; and the most ranges, whose totals are broadcast.
-RANGE_ROWS, MOST_RANGES = 10_000, 20_000
-
-
-def _ranges(rows: DataFrame) -> list[int]:
-    """Ascending doc_ids that cut the rows into ranges."""
-    total = rows.count()
-    count = min(MOST_RANGES, total // RANGE_ROWS + 1)
-    if count == 1:
-        return []
-    shares = [i / count for i in range(1, count)]
-    return sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 4 * count).alias("cuts")).first()["cuts"] or []))
-
-
-def _with_range(rows: DataFrame, cuts: list[int]) -> DataFrame:
-    """``part``: how many cuts are below the doc_id, found by halving; null ids are in part -1."""
-    spark = rows.sparkSession
-    if not cuts:
-        return rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(0))
-    # Cuts of a coarse level first, so that no row is compared with all of them.
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = cuts[step - 1 :: step]
-    some = spark.createDataFrame([(i, cuts[i * step : (i + 1) * step]) for i in range(len(cuts) // step + 1)], "block int, inner array<bigint>")
-    block = F.size(F.filter(F.lit(coarse), lambda c: c < F.col("doc_id"))) if coarse else F.lit(0)
-    placed = rows.withColumn("block", F.coalesce(block, F.lit(0))).join(F.broadcast(some), "block", "left")
-    inner = F.size(F.filter("inner", lambda c: c < F.col("doc_id")))
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("block") * step + inner)
-    return placed.withColumn("part", part).drop("block", "inner")
+#: Copies of a row that a task writes out at a time.
+COPIES = 10_000
 
 
 def sharded(docs: DataFrame, shards: int = 24, fixed: int = 8) -> DataFrame:
@@ -56,23 +32,29 @@ def sharded(docs: DataFrame, shards: int = 24, fixed: int = 8) -> DataFrame:
         (F.octet_length(body) + fixed).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    rows = stored(sized.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")), "sizes")
-    rows = _with_range(rows, _ranges(rows))
+    shared_folder(docs.sparkSession)
+    counted = sized.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    order = [F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    rows = sorted_ranges(counted, order, "sizes")
 
-    totals = rows.groupBy("part").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows")).collect()
+    # One row for each written range: as many as shuffle partitions, whatever the data.
+    totals = rows.groupBy("_range").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows")).collect()
     offsets, bytes_, count = [], 0, 0
-    for t in sorted(totals, key=lambda t: t["part"]):
-        offsets.append((t["part"], bytes_, count))
+    for t in sorted(totals, key=lambda t: t["_range"]):
+        offsets.append((t["_range"], bytes_, count))
         bytes_, count = bytes_ + t["bytes"], count + t["rows"]
-    known = docs.sparkSession.createDataFrame(offsets, "part int, bytes_before long, rows_before long")
+    known = docs.sparkSession.createDataFrame(offsets, "_range int, bytes_before long, rows_before long")
 
-    in_order = Window.partitionBy("part").orderBy("doc_id", "text_crc32", "size")
-    up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    up_to = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.expr(f"explode(sequence(0L, (copies - 1) div {COPIES}L))")
+    copy = F.expr(f"explode(sequence(block * {COPIES}L, least(copies, (block + 1) * {COPIES}L) - 1))")
     placed = (
         rows.withColumn("bytes_after", F.sum(F.col("size") * F.col("copies")).over(up_to))
         .withColumn("rows_after", F.sum("copies").over(up_to))
-        .join(F.broadcast(known), "part")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .join(F.broadcast(known), "_range")
+        .withColumn("block", block)
+        .repartition("doc_id", "text_crc32", "block")  # copies of one row are written out by many tasks
+        .withColumn("copy", copy)
         .withColumn("at", F.expr("bytes_before + bytes_after - (copies - copy) * size"))
         .withColumn("nth", F.expr("rows_before + rows_after - copies + copy"))
         .withColumn("shard", F.expr(f"cast(((2 * at + size) * {shards}) div (2 * {max(1, bytes_)}L) as int)"))
