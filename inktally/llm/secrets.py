@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REACH = 300
+#: Copies of a row that a task writes out at a time.
+COPIES = 10_000
 
 
 def either_case(text: str) -> str:
@@ -101,7 +103,7 @@ def _rows_of(kind: Kind) -> Column:
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, kind, role, start, end) of all parts; a row without kind for each row of ``docs``."""
+    """(doc_id, row, copies, kind, role, start, end) of all parts; a row without kind for each different row of ``docs``."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     texts = texts.select("doc_id", "body", F.xxhash64("body").alias("row"))
     each = [_rows_of(k) for k in KINDS]
@@ -110,14 +112,11 @@ def parts(docs: DataFrame) -> DataFrame:
         none.cast("string").alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("gap"), F.lit(0).alias("match"), F.lit(0).alias("value")
     )
     listed = texts.select("doc_id", "row", F.inline(F.concat(F.array(row), *each)))
-    before = Window.partitionBy("doc_id", "row", "kind", "copy").orderBy("nth")
-    # Equal rows are told apart only by number: each place of a part is counted once per copy.
-    copies = Window.partitionBy("doc_id", "row", "kind", "nth").orderBy("gap")
-    placed = (
-        listed.repartition("doc_id", "row")
-        .withColumn("copy", F.row_number().over(copies))
-        .withColumn("end", F.sum(F.col("gap") + F.col("match")).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("start", F.col("end") - F.col("match"))
+    before = Window.partitionBy("doc_id", "row", "kind").orderBy("nth")
+    # Equal rows have equal parts, which are counted before they are shuffled: many copies are a row per task.
+    counted = listed.groupBy(*listed.columns).agg(F.count("*").alias("copies"))
+    placed = counted.withColumn("end", F.sum(F.col("gap") + F.col("match")).over(before.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "start", F.col("end") - F.col("match")
     )
     kind, role = F.col("kind"), F.lit(None).cast("string")
     judged = F.when(kind.isNull(), None)
@@ -125,7 +124,7 @@ def parts(docs: DataFrame) -> DataFrame:
         role = F.when(kind == k.name, k.role).otherwise(role)
         weaker = F.when(F.col("value") >= k.also_least, k.also) if k.also else F.lit(None)
         judged = judged.when(kind == k.name, F.when(F.col("value") >= k.least, k.name).otherwise(weaker))
-    known = placed.select("doc_id", "row", "copy", judged.alias("kind"), role.alias("role"), "start", "end", kind.isNull().alias("marker"))
+    known = placed.select("doc_id", "row", "copies", judged.alias("kind"), role.alias("role"), "start", "end", kind.isNull().alias("marker"))
     return known.where("marker or kind is not null")
 
 
@@ -134,10 +133,10 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
 
     Adds ``partner_start``: where the nearest complementary part starts, null if there is none.
     """
-    doc = Window.partitionBy("doc_id", "row", "copy").orderBy("start", "end", F.coalesce("kind", F.lit("")))
+    doc = Window.partitionBy("doc_id", "row").orderBy("start", "end", F.coalesce("kind", F.lit("")))
     scoped = found.withColumn("scope", F.sum(F.when(F.col("kind") == "scope", 1).otherwise(0)).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
     place = [F.col("start"), F.col("end"), F.coalesce("kind", F.lit(""))]
-    scope = Window.partitionBy("doc_id", "row", "copy", "scope")
+    scope = Window.partitionBy("doc_id", "row", "scope")
     # Looked at backwards, what comes after comes before; both windows take one step a part.
     earlier = [scope.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (place, [p.desc() for p in place])]
     near = {}
@@ -160,7 +159,7 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
         partner = F.when(F.col("role") == role, F.least(*options)).otherwise(partner)
     out = wide.withColumn("partner", partner).withColumn("partner_start", F.col("partner.start"))
     reported = F.col("marker") | F.col("kind").isin(*BASE) | ((F.col("kind") != "scope") & F.col("partner").isNotNull())
-    return out.where(reported).select("doc_id", "row", "copy", "marker", "kind", "start", "end", "partner_start")
+    return out.where(reported).select("doc_id", "row", "copies", "marker", "kind", "start", "end", "partner_start")
 
 
 def scanned(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -169,7 +168,10 @@ def scanned(docs: DataFrame, reach: int = REACH) -> DataFrame:
     span = F.when(
         ~F.col("marker"), F.struct("start", rank.alias("rank"), "end", "kind", "partner_start")
     )
-    of_row = linked(parts(docs), reach).groupBy("doc_id", "row", "copy").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.max("marker").alias("marker"))
+    of_row = linked(parts(docs), reach).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.max("copies").alias("copies"))
+    # As often as given: blocks of copies first, so that no array is as long as their number.
+    of_row = of_row.withColumn("block", F.expr(f"explode(sequence(0L, (copies - 1) div {COPIES}L))")).repartition("doc_id", "row", "block")
+    of_row = of_row.withColumn("copy", F.expr(f"explode(sequence(1L, least({COPIES}L, copies - block * {COPIES}L)))"))
     kept = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["partner_start"].alias("partner_start")))
     return of_row.select("doc_id", kept.alias("spans"))
 
