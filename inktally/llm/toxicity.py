@@ -125,7 +125,7 @@ class Model:
         kept = label_counts(labelled).where((a + b >= LEAST) & (a + b < n)).orderBy(off.desc(), "feature").limit(most).collect()
         chosen = np.array(sorted(r["feature"] for r in kept), np.int64)
         share = min(1.0, sample / n)
-        lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+        lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features = Features(chosen)
