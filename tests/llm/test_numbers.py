@@ -12,7 +12,7 @@ from tests.llm.helpers import EDGES, prose, table
 
 
 def test_shards(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    monkeypatch.setattr(sharding, "COPIES", 7)
     rng = random.Random(3)
     rows = [(rng.randrange(-50, 500), prose(i, rng.randint(1, 60))) for i in range(300)] + EDGES + [(77, "same")] * 90
     found = sharding.sharded(table(spark, rows)).collect()
@@ -31,6 +31,16 @@ def test_shards(spark, monkeypatch):
     assert sharding.sharded(table(spark, [])).count() == 0
 
 
+def test_shards_of_hot_ids(spark):
+    """20,000 equal rows, 20,000 rows of one id and 20,000 without an id; ranges are cut inside of them."""
+    base = spark.range(20_000).selectExpr("cast(id as string) as n")
+    docs = base.selectExpr("1L as doc_id", "'same' as text").union(base.selectExpr("2L", "n")).union(base.selectExpr("cast(null as long)", "n"))
+    found = sharding.sharded(docs.repartition(4)).groupBy("shard").agg({"slot": "max", "size": "sum", "*": "count"}).collect()
+    assert len(found) == 24 and all(r["max(slot)"] + 1 == r["count(1)"] for r in found)
+    sizes = [r["sum(size)"] for r in found]
+    assert max(sizes) - min(sizes) <= 2 * 13 and sum(r["count(1)"] for r in found) == 60_000
+
+
 def _best(vectors, k):
     out = []
     for q, a in vectors.items():

@@ -57,6 +57,17 @@ def test_weak_parts_are_told_by_their_company(spark):
     assert secrets.scanned(table(spark, [])).count() == 0
 
 
+def test_many_equal_rows_keep_their_spans(spark):
+    """20,000 equal rows with an id and without: each comes back, found once per task."""
+    one = table(spark, [(3, SECRETS[0][1]), (None, SECRETS[1][1])])
+    docs = one.crossJoin(spark.range(20_000, numPartitions=4).selectExpr("id as nth")).drop("nth")
+    found = secrets.scanned(docs)
+    counts = {(r.doc_id, len(r.spans)): r["count"] for r in found.groupBy("doc_id", "spans").count().collect()}
+    want = {(d, len(_brute_base(t))) for d, t in ((3, SECRETS[0][1]), (None, SECRETS[1][1]))}
+    assert {d for d, _ in counts} == {3, None} and all(n == 20_000 for n in counts.values())
+    assert all(any(d == e and m >= n for e, m in counts) for d, n in want)
+
+
 def test_secrets_use_no_python(spark):
     plan = secrets.scanned(table(spark, SECRETS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
