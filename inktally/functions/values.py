@@ -191,9 +191,32 @@ def json_sql(x: str, kind: T.DataType, utc_session: bool, inside: str = "column"
     return f"coalesce({out}, 'null')"
 
 
+def holds_variant(kind: T.DataType) -> bool:
+    """Whether a type is a variant or has one at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return holds_variant(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return holds_variant(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(holds_variant(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.VariantType)
+
+
 def is_document(kind: T.DataType, declared: str) -> bool:
-    """Whether a cell is a JSON document: a variant, or text declared ``json``."""
-    return isinstance(kind, T.VariantType) or isinstance(kind, _TEXTS) and declared.lower() in _JSON_NAMES
+    """Whether a cell is a JSON document: a variant, a value with variants inside, or text declared ``json``."""
+    return holds_variant(kind) or isinstance(kind, _TEXTS) and declared.lower() in _JSON_NAMES
+
+
+def document_source(name: str, kind: T.DataType, utc_session: bool) -> Column:
+    """The JSON text of a document cell, null when the cell is null.
+
+    Variants are still in the JVM's form; the rest of a nested value is canonical
+    and stays as it is when the whole text is made so.
+    """
+    x = cell(name)
+    if isinstance(kind, _TEXTS):
+        return F.expr(x)
+    return F.expr(f"if({x} is not null, {json_sql(x, kind, utc_session)}, null)")
 
 
 def _writer_sql(x: str, kind: T.DataType, utc_session: bool) -> str | None:

@@ -42,10 +42,9 @@ class RowText:
         }
         rows = frame
         for name, made in self._documents.items():
-            source = self.cell(name)
-            if not isinstance(self._kinds[name], T.StringType):
-                source = F.to_json(source)
-            rows = with_canonical_json(rows, source, made)
+            source = f"{made}_source"
+            rows = rows.withColumn(source, values.document_source(name, self._kinds[name], self._utc))
+            rows = with_canonical_json(rows, F.col(source), made)
         # Used twice by the text, so computed in a step of its own.
         self.rows = rows.withColumn("__lines", self._lines())
 

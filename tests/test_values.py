@@ -275,3 +275,26 @@ def test_whole_numbers_beyond_2_to_the_53(spark):
     found = {r.i: r.t for r in frame.select("i", js_number("x").alias("t")).collect()}
     wrong = [(x, found[i], number_text(x)) for i, x in enumerate(some) if found[i] != number_text(x)]
     assert not wrong, wrong[:5]
+
+
+def test_variants_at_any_depth(spark):
+    """A cell with variants inside prints as one JSON document, whose other parts keep their forms."""
+    loose = ['{"10": 1.50, "9": [1e2, -0.0, 1E22], "b": null}', "12345678901234567890", '"1.50 \\u001f"', "[]", "null", None]
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(loose)], "k long, d string").coalesce(1)
+    variant = "try_parse_json(d)"
+    made = frame.selectExpr(
+        "k",
+        f"array({variant}, null) as l",
+        f"map('2', array({variant}), '11', null) as m",
+        f"if(k = 3, null, named_struct('w', k, 'v', {variant}, 'n', cast(k as decimal(9,1)), 'x', unhex('00ff'))) as s",
+    )
+    spec = TableSpec.of(made.schema, "t", pk=("k",))
+    row = RowText(made, spec, EstimateConfig(mode="all"))
+    found = row.full.select("k", row.row_json.alias("j"), "page_content").orderBy("k").collect()
+    for (k, j, content), document in zip(found, loose, strict=True):
+        inner = "null" if document is None else canonical_text(document)
+        tree = f'{{"n":{k},"v":{inner},"w":{k},"x":{{"0":0,"1":255}}}}' if k != 3 else None
+        assert j == f'{{"k":"{k}","l":[{inner},null],"m":{{"2":[{inner}],"11":null}},"s":{tree or "null"}}}'
+        lines = [f"k: {k}", f"l: [{inner},null]", f'm: {{"2":[{inner}],"11":null}}'] + ([f"s: {tree}"] if tree else [])
+        assert content == "\n".join(lines)
+    assert made.where("false").count() == 0 and RowText(made.where("false"), spec).full.count() == 0

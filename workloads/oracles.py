@@ -403,6 +403,13 @@ from ({_SNAPSHOT}) s, {_FALLBACK}""",
         "canonical_json_numbers": f"""
 select p_partkey, '{{"a":[' || p_partkey || ',0,100,"v1.2"],"b":' || {_number('p_retailprice')} ||
   ',"c":{{"y":12345678901234568,"z":' || {_number('p_retailprice')} || '}}}}' as row_json from part""",
+        "canonical_json_nested": f"""
+with made as (select event_id, cast(json(props) as varchar) as props, {_number('value')} as value,
+  cast(cast(cast('1234567890123' || lpad(cast(event_id % 10000 as varchar), 4, '0') || '0' as double) as varchar)
+    as decimal(38,0)) as large from events),
+parts as (select *, '{{"x":["1.50",' || value || ',2.5e-7,1e+22],"y":' || value || '}}' as loose from made)
+select event_id, '{{"event_id":"' || event_id || '","list":[' || props || ',' || loose || ',null],"map":{{"9":' || large || ',"10":' ||
+  loose || '}},"tree":{{"a":[[' || loose || ']],"b":{{"value":' || value || ',"z":' || large || '}}}}}}' as row_json from parts""",
         "doc_tokens_pairs": f"select doc_id, {_tokens('documents')} as token_count from documents",
         "chunk_tokens_pairs": _chunks("documents", "doc_id", _tokens("documents"), 100),
         "piece_counts": 'select schema, "table", piece, count(*) as piece_count from ('

@@ -29,7 +29,7 @@ from inktally.sources import information_schema
 from inktally.sources.price_files import fallback_prices, read_price_file
 from inktally.sources.scratch import scratch_folder
 from inktally.sources.tables import read_table
-from inktally.spec import EstimateConfig
+from inktally.spec import EstimateConfig, TableSpec
 from inktally.streaming import progress as following
 from workloads.tables import (
     KEYS,
@@ -382,6 +382,23 @@ def canonical_json_numbers(spark, folder):
     return with_canonical_json(rows, F.col("document"), "row_json").select("p_partkey", "row_json")
 
 
+@query
+def canonical_json_nested(spark, folder):
+    """Events with variants inside arrays, maps and structs, whose numbers are written in ways of their own."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    value = F.col("value").cast("string")
+    loose = F.parse_json(F.concat(F.lit('{"y": '), value, F.lit('00, "x": ["1.50", '), value, F.lit("e0, 2.5E-7, 1E22]}")))
+    large = F.parse_json(F.concat(F.lit("1234567890123"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"), F.lit("0")))
+    made = events.select(
+        "event_id",
+        F.array(F.parse_json("props"), loose, F.lit(None).cast("variant")).alias("list"),
+        F.create_map(F.lit("10"), loose, F.lit("9"), large).alias("map"),
+        F.struct(F.struct(large.alias("z"), "value").alias("b"), F.array(F.array(loose)).alias("a")).alias("tree"),
+    )
+    row = RowText(made, TableSpec.of(made.schema, "events", pk=("event_id",)))
+    return row.full.select("event_id", row.row_json.alias("row_json"))
+
+
 @query
 def canonical_json_events(spark, folder):
     return _row_json(spark, folder, "events")
