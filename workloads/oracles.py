@@ -339,6 +339,12 @@ def oracle_sql() -> dict[str, str]:
             lambda t: f"select 'public' as schema, '{t}' as \"table\", count(*) as row_count, "
             f"{_max_changed(t)} as max_updated_at, {_max_pk(t)} as max_pk_lexicographic from {t}"
         ),
+        "table_snapshot_statistics": _union(
+            lambda t: f"select 'public' as schema, '{t}' as \"table\", count(*) as row_count, "
+            f"{_max_changed(t)} as max_updated_at, {_max_pk(t)} as max_pk_lexicographic from {t}"
+        )
+        + " union all select 'public', 'orders_by_day', count(*), strftime(max(o_orderdate), '%Y-%m-%dT00:00:00.000Z'), "
+        "max(cast(o_orderkey as varchar)) from orders",
         "large_tables": f"select * from ({_COUNTS}) where row_count >= {THRESHOLD}",
         "chunk_plan": _PLAN.format(threshold=THRESHOLD, size=CHUNK),
         "ordered_slice": "select * from orders order by o_orderkey limit 300 offset 1000",
