@@ -40,6 +40,20 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, label: str, keys: list[str]) -> tuple[str, str]:
+    """``frame`` written to the shared folder bucketed and sorted by ``keys``: the name of its table, and its path.
+
+    With a bucket for each shuffle partition, frames that a shuffle has dealt by ``keys`` are written and joined where they
+    are. The table's name goes with the session; the files stay until ``clear_scratch``.
+    """
+    path = new_path(frame.sparkSession, label)
+    name = f"inktally_llm_{label}_{uuid.uuid4().hex}"
+    buckets = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = frame.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return name, path
+
+
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -12,12 +12,16 @@ stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inktally.llm.common import LAST_ID, ascii_lower, stored, whole_row, with_results
+from inktally.llm.common import LAST_ID, ascii_lower, bucketed, stored, whole_row, with_results
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: The 128 bits of a line's key.
+HASHES = ["h1", "h2"]
 
 
 def line_key(line: Column) -> Column:
@@ -41,22 +45,32 @@ def _line_hashes(docs: DataFrame, least_chars: int) -> DataFrame:
     return keys.select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    out = runs[0]
-    for run in runs[1:]:
-        out = out.unionByName(run)
-    return out
-
-
 class Runs:
-    """Levels of sorted runs; every key is in one run only."""
+    """Levels of runs, tables bucketed and sorted by line hash; every key is in one run only.
 
-    def __init__(self, fanout: int) -> None:
+    All have the same buckets, so that a batch dealt by hash meets them, and they are merged, without a shuffle of runs.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int) -> None:
+        self.spark = spark
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
-
-    def all(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        self.names: list[str] = []
+
+    def table(self, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+        """Rows bucketed by hash, as a table and as the path of its files."""
+        name, path = bucketed(rows, label, HASHES)
+        self.names.append(name)
+        return self.spark.table(name), path
+
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """``keys`` with ``known``: whether a run has the key; one run after the other is merged in."""
+        known = F.lit(False)
+        for place, run in enumerate(run for level in self.levels for run in level):
+            mark = f"in_{place}"
+            keys = keys.join(run.select(*HASHES, F.lit(True).alias(mark)).hint("merge"), HASHES, "left")
+            known = known | F.col(mark).isNotNull()
+        return keys.select(*HASHES, "first", "last", known.alias("known"))
 
     def add(self, run: DataFrame, at: int = 0) -> None:
         """A new run; compacts the level if it is full."""
@@ -64,9 +78,15 @@ class Runs:
             self.levels.append([])
         self.levels[at].append(run)
         if len(self.levels[at]) == self.fanout:
-            full, self.levels[at] = _merged(self.levels[at]), []
-            by_hash = full.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-            self.add(stored(by_hash, "run"), at + 1)
+            full, self.levels[at] = reduce(DataFrame.unionByName, self.levels[at]), []
+            # Spark sees the buckets of a union whose parts keep the columns that they read, ``known`` among them.
+            merged = full.groupBy(*HASHES).agg(F.max("known").alias("known"))
+            self.add(self.table(merged, "run")[0], at + 1)
+
+    def forget(self) -> None:
+        """Takes the tables out of the session's catalog."""
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
 
 
 def _bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -78,7 +98,8 @@ def _bounds(docs: DataFrame, batches: int) -> list[int]:
 
 def repeated_lines(docs: DataFrame, least_chars: int, batches: int, fanout: int) -> DataFrame:
     """(doc, row, dropped): the positions of the lines that go, for documents that lose any."""
-    runs, found = Runs(fanout), None
+    spark = docs.sparkSession
+    runs, found = Runs(spark, fanout), None
     cuts = _bounds(docs, batches)
     doc = F.coalesce("doc_id", F.lit(LAST_ID))
     for after, upto in zip([None, *cuts], [*cuts, None], strict=True):
@@ -88,19 +109,16 @@ def repeated_lines(docs: DataFrame, least_chars: int, batches: int, fanout: int)
         if upto is not None:
             batch = batch.where(doc <= upto)
         lines = stored(_line_hashes(batch, least_chars), "lines")
-        keys = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        if earlier := runs.all():
-            known = _merged([run.select("h1", "h2") for run in earlier]).withColumn("known", F.lit(True))
-            keys = keys.join(known, ["h1", "h2"], "left")
-        else:
-            keys = keys.withColumn("known", F.lit(None).cast("boolean"))
-        keys = stored(keys.sortWithinPartitions("h1", "h2"), "keys")
+        keys = lines.groupBy(*HASHES).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        keys, path = runs.table(runs.marked(keys), "keys")
         if upto is not None:
-            runs.add(keys.where("known is null").select("h1", "h2"))
-        repeated = keys.where("known or first < last")
-        gone = lines.join(repeated, ["h1", "h2"]).where("known or doc > first")
+            runs.add(keys.where(~F.col("known")).select(*HASHES, "known"))
+        # Read as plain files, so that adaptive execution may split a line that very many documents have.
+        repeated = spark.read.schema(keys.schema).parquet(path).where("known or first < last")
+        gone = lines.join(repeated, HASHES).where("known or doc > first")
         gone = gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
         found = gone if found is None else found.unionByName(gone)
+    runs.forget()
     return found
 
 

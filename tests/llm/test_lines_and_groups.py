@@ -46,6 +46,26 @@ def test_lines(spark, batches, fanout):
     assert found.columns.count("kept") == 1 and "given" in found.columns
 
 
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_runs_are_not_shuffled(spark, fanout, monkeypatch):
+    """A batch is dealt by hash once; runs are joined and compacted in the buckets they were written in."""
+    plans = []
+    written = line_dedup.bucketed
+    monkeypatch.setattr(
+        line_dedup, "bucketed", lambda rows, label, keys: plans.append((label, rows._jdf.queryExecution().toString())) or written(rows, label, keys)
+    )
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(i, f"a line of many, number {i % 50}\nand one of its own, number {i}") for i in range(200)]
+    found = line_dedup.without_repeated_lines(table(spark, rows), batches=7, fanout=fanout)
+    assert sorted((r.doc_id, r.n_dropped) for r in found.collect()) == [(i, int(i >= 50)) for i in range(200)]
+    assert [label for label, _ in plans].count("run") >= 2
+    for label, plan in plans:
+        physical = plan[plan.index("== Physical Plan") :]
+        assert physical.count("Exchange hashpartitioning") == (1 if label == "keys" else 0)
+        assert "BroadcastHashJoin" not in physical
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_lines_of_an_empty_table(spark):
     assert line_dedup.without_repeated_lines(table(spark, [])).count() == 0
 
