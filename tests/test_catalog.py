@@ -1,8 +1,12 @@
+import random
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from inktally.operators import catalog
 from inktally.sources import information_schema as info
-from inktally.sources.tables import jdbc_options, jdbc_predicates, read_table, session_specs
+from inktally.sources.tables import histogram_query, jdbc_options, jdbc_predicates, key_ranges, read_table, session_specs
 from inktally.spec import TableSpec, find_updated_at, is_textual
 
 
@@ -136,6 +140,40 @@ def test_jdbc_options():
     assert jdbc_predicates(spec, 1, 90) == ["TRUE"]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "varchar", "timestamp"])
+def test_equal_depth_ranges(kind):
+    """Each row is in one range, and ranges of a skewed key hold about equally many; another database runs the conditions."""
+    draw = random.Random(kind)
+    made = {
+        "bigint": lambda: int(draw.lognormvariate(8, 3)) - 50,
+        "varchar": lambda: draw.choice("aab'\\é") * draw.randint(1, 4) + str(draw.randrange(10**6)),
+        "timestamp": lambda: f"20{draw.randint(10, 12)}-0{draw.randint(1, 9)}-1{draw.randint(0, 9)} 0{draw.randint(0, 9)}:00:0{draw.randint(0, 9)}",
+    }[kind]
+    base = duckdb.connect()
+    base.execute(f'create table t ("the ""key" {kind})')
+    base.executemany("insert into t values (?)", [(made(),) for _ in range(2000)] + [(None,)] * 5)
+    ordered = [r[0] for r in base.sql('select cast("the ""key" as varchar) from t where "the ""key" is not null order by "the ""key"').fetchall()]
+    histogram = [ordered[(len(ordered) - 1) * i // 100] for i in range(101)]
+    for partitions in (1, 2, 7, 100):
+        parts = key_ranges('the "key', histogram, partitions)
+        sizes = [base.sql(f"select count(*) from t where {part}").fetchall()[0][0] for part in parts]
+        assert sum(sizes) == 2005 and len(parts) <= partitions
+        if partitions == 7:
+            assert max(sizes) < 2005 / 7 * 1.3
+    # Rows that came after the histogram was made are in one range, too.
+    base.execute("insert into t select * from t")
+    assert sum(base.sql(f"select count(*) from t where {part}").fetchall()[0][0] for part in parts) == 4010
+
+
+def test_ranges_of_few_bounds():
+    spec = TableSpec("a'b", "t", (), ("id",))
+    assert key_ranges("id", ["1", "9"], 4) == ["TRUE"]
+    assert key_ranges("id", ["5"] * 20, 4) == ["(\"id\" < '5' OR \"id\" IS NULL)", "\"id\" >= '5'"]
+    assert jdbc_predicates(spec, 2, 90, ["1", "5", "9"]) == key_ranges("id", ["1", "5", "9"], 2)
+    assert jdbc_predicates(spec, 2, 90, []) == jdbc_predicates(spec, 2, 90)
+    assert "schemaname = 'a''b'" in histogram_query(spec) and "attname = 'id'" in histogram_query(spec)
+
+
 def test_tables_without_columns_are_described(spark):
     found = relations(spark)
     bare = spark.createDataFrame([("public", "bare", "BASE TABLE")], info.TABLES)
