@@ -204,6 +204,23 @@ def test_scratch_follows_one_rule(spark):
     assert scratch.scratch_folder(Session("local[2]", "/tmp/x/")) == "/tmp/x"
 
 
+def test_scratch_may_be_a_shared_mount_of_a_cluster(spark, tmp_path, monkeypatch):
+    """A ``file:`` folder is not refused for its scheme: tasks write to it, and it is refused if that is not read back."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    for folder, shared in ((f"file://{tmp_path}/", True), (str(tmp_path / "plain"), True), ("file:/proc/none", False)):
+        monkeypatch.setattr(scratch, "SETTING", "spark.inktally.tried")
+        spark.conf.set("spark.inktally.tried", folder)
+        if shared:
+            assert scratch.scratch_folder(spark) == folder.rstrip("/")
+            made = len(list(tmp_path.rglob("shared-*")))
+            assert scratch.written(spark.range(3), "kept").count() == 3
+            assert len(list(tmp_path.rglob("shared-*"))) == made, "one job tells, once"
+        else:
+            with pytest.raises(ValueError, match="share"):
+                scratch.scratch_folder(spark)
+    spark.conf.unset("spark.inktally.tried")
+
+
 def test_scratch_is_cleared(spark):
     made = scratch.written(spark.range(3), "kept")
     assert made.count() == 3
