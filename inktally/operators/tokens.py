@@ -28,6 +28,29 @@ CL100K_SPECIAL = (
     "<|endofprompt|>",
 )
 
+#: Texts of a batch that are Python strings at a time.
+_AT_A_TIME = 256
+
+
+def batch_lengths(at_a_time: int = _AT_A_TIME):
+    """Function from an encoder and a batch of texts to their token counts; it travels to workers by value.
+
+    Each distinct text of a batch is encoded once, and few of them at a time are Python's: a worker holds the
+    batch, which Spark bounds by rows and bytes, and its distinct texts.
+    """
+
+    def lengths(encode, texts: pa.Array) -> pa.Array:
+        coded, found = texts.dictionary_encode(), []
+        for at in range(0, len(coded.dictionary), at_a_time):
+            found += [len(encode(t)) for t in coded.dictionary.slice(at, at_a_time).to_pylist()]
+        out = pa.array(found, pa.int64()).take(coded.indices)
+        # What the batch took goes back; else a worker keeps as much as its largest batch took.
+        del coded
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return lengths
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -68,7 +91,7 @@ class Tokenizer:
         and does not grow with the data.  Each Python worker builds its encoder
         once and keeps it in the tokenizer library's own registry.
         """
-        name = self.name
+        name, lengths = self.name, batch_lengths()
         shared = spark.sparkContext.broadcast((self.pattern, dict(self.ranks)))
 
         @F.arrow_udf(T.LongType())
@@ -83,10 +106,7 @@ class Tokenizer:
                     name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
                 )
                 registry.ENCODINGS[name] = encoder
-            # Each distinct text of a batch is encoded once.
-            coded = texts.dictionary_encode()
-            lengths = [len(encoder.encode_ordinary(t)) for t in coded.dictionary.to_pylist()]
-            return pa.array(lengths, pa.int64()).take(coded.indices)
+            return lengths(encoder.encode_ordinary, texts)
 
         return lambda text: count(self.guarded(text))
 

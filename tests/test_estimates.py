@@ -216,3 +216,26 @@ def test_catalog_to_results(spark, data, tokenizer):
     found = list(sources_of(relations, "public", lambda spec: read[spec.table][0]))
     assert [s.table for s in found] == ["labels", "nation"] and found[0].load()[1].pk == ("doc_id",)
     assert [r.row_count for r in table_results(spark, found, tokenizer).collect()] == [f.count() for f, _ in (read["labels"], read["nation"])]
+
+
+def test_a_batch_is_not_held_as_python_texts():
+    """2,000 texts of 20 KB, each twice and some null: counted once each, and at no time all of them Python's."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from inktally.operators.tokens import batch_lengths
+
+    texts = pa.array([f"{i} " + "x" * 20_000 for i in range(2_000)] * 2 + [None, ""])
+    seen = []
+
+    def encode(text):
+        seen.append(len(text))
+        return range(len(text))
+
+    tracemalloc.start()
+    found = batch_lengths()(encode, texts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found.to_pylist() == [20_000 + len(f"{i} ") for i in range(2_000)] * 2 + [None, 0]
+    assert len(seen) == 2_001 and peak < 15_000_000
