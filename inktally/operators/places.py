@@ -2,8 +2,8 @@
 
 To find the row at a place, a bounded sample of keys cuts the order into ranges,
 a scan of the key columns counts their rows, and the range that holds the place
-is cut again, until it is one key or a few rows.  Nothing is written and no
-task holds more than its share.
+is cut again, until it is one key or a few rows.  Bounds of a range reach the
+scan as plain comparisons.  Nothing is written and no task holds more than its share.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inktally.operators.bounds import within
+
 #: Cuts of a step, sampled keys for each, their bytes on the driver, rows that one task may put in order.
 CUTS, PER_CUT, SAMPLE_BYTES, FEW = 15, 20, 16 << 20, 20_000
 
@@ -39,18 +41,24 @@ def literal(frame: DataFrame, key: Row, name: str = "_key") -> Column:
 
 
 def _cuts(part: DataFrame, count: int) -> list[Row]:
-    """Some keys of ``part`` in order, about equally far apart."""
-    share, seed = min(1.0, CUTS * PER_CUT / count), 1
+    """Some keys of ``part`` in order, about equally far apart: one scan, unless keys are long."""
+    share, seed, length = min(1.0, CUTS * PER_CUT / count), 1, F.octet_length(F.to_json("_key"))
+    short = F.when(length <= SAMPLE_BYTES // (2 * CUTS * PER_CUT), F.col("_key"))
     while True:
         some = part.sample(share, seed) if share < 1 else part
-        size = some.agg(F.sum(F.octet_length(F.to_json("_key"))).alias("bytes")).first()["bytes"]
-        if size is None:
+        found = some.agg(
+            F.sum(length).alias("bytes"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(short)).alias("keys")
+        ).first()
+        if found["bytes"] is None:
             share, seed = min(1.0, 4 * share), seed + 1
-        elif size > SAMPLE_BYTES and share * count > 2:
-            share = share * SAMPLE_BYTES / size / 2
+        elif len(found["keys"]) == found["n"]:
+            keys = found["keys"]
+            break
+        elif found["bytes"] > SAMPLE_BYTES and share * count > 2:
+            share = share * SAMPLE_BYTES / found["bytes"] / 2
         else:
+            keys = [row["_key"] for row in some.orderBy("_key").collect()]
             break
-    keys = [row["_key"] for row in some.orderBy("_key").collect()]
     chosen = [keys[len(keys) * i // (CUTS + 1)] for i in range(1, CUTS + 1)]
     return [key for i, key in enumerate(chosen) if not i or key != chosen[i - 1]]
 
@@ -64,12 +72,14 @@ def _range_of(cuts: Column, low: int, high: int) -> Column:
     return F.when(below, _range_of(cuts, low, middle)).otherwise(_range_of(cuts, middle + 1, high))
 
 
-def place_at(keys: DataFrame, rank: int) -> Place | None:
+def place_at(rows: DataFrame, rank: int, order: Sequence[Column] = ()) -> Place | None:
     """The place of the row with that many rows before it; None beyond the end.
 
-    ``keys`` has one column ``_key``.  Runs jobs: two or three scans of the key
-    columns per step, each step some ten times narrower than the last.
+    ``rows`` has a column ``_key``, the sort key of its columns ``order``, by
+    which a scan may leave out what a step has ruled out.  Runs jobs: two scans of
+    the key columns per step, each step some ten times narrower than the last.
     """
+    keys = rows.select("_key")
     part, before, count = keys, rank, keys.count()
     bounds: list[Row | None] = [None, None]
     while before < count:
@@ -97,7 +107,7 @@ def place_at(keys: DataFrame, rank: int) -> Place | None:
         low = cuts[size["range"] - 1] if size["range"] else bounds[0]
         high = cuts[size["range"]] if size["range"] < len(cuts) else bounds[1]
         bounds = [low, high]
-        part, count = between(keys, low, high), size["count"]
+        part, count = between(within(rows, order, low, high), low, high).select("_key"), size["count"]
     return None
 
 

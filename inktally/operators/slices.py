@@ -59,10 +59,11 @@ def bounded_scan(
     order = order_columns(frame, spec)
     row = RowText(frame, spec)
     rows = row.full.withColumns({"_key": sort_key(order), "_tie": sort_key([row.row_hash])})
-    start = _exact(rows, max(offset, 0)) if offset > 0 else None
+    end = None if row_limit is None else _exact(rows, order, max(offset, 0) + row_limit)
+    before = rows if end is None else within(rows, order[:1], None, end[0])
+    start = _exact(before, order, offset) if offset > 0 else None
     if offset > 0 and start is None:
         return frame.where(F.lit(False))
-    end = None if row_limit is None else _exact(rows, max(offset, 0) + row_limit)
     kept = within(rows, order, start and start[0], end and end[0])
     parts = []
     if start is not None and end is not None and start[:2] == end[:2]:
@@ -87,15 +88,27 @@ def bounded_scan(
 _Exact = tuple[Row, "Row | None", int]
 
 
-def _exact(rows: DataFrame, rank: int) -> _Exact | None:
-    place = place_at(rows.select("_key"), rank)
+def _exact(rows: DataFrame, order: list[Column], rank: int) -> _Exact | None:
+    """The place of a rank: by the first order column, then by all among the rows that share its value."""
+    part, before = rows, rank
+    if len(order) > 1:
+        first = place_at(rows.withColumn("_key", sort_key(order[:1])), rank, order[:1])
+        if first is None:
+            return None
+        part = _with_key(rows.withColumn("_first", sort_key(order[:1])), order[:1], first.key, "_first")
+        before = first.before
+    place = place_at(part, before, order)
     if place is None or place.before == 0:
         return None if place is None else (place.key, None, 0)
-    ties = rows.where(F.col("_key") == literal(rows, place.key)).select(F.col("_tie").alias("_key"))
+    ties = _with_key(part, order, place.key).select(F.col("_tie").alias("_key"))
     tie = place_at(ties, place.before)
     return place.key, tie.key, tie.before
 
 
+def _with_key(rows: DataFrame, order: list[Column], key: Row, name: str = "_key") -> DataFrame:
+    return within(rows, order, key, key, name).where(F.col(name) == literal(rows, key, name))
+
+
 def _same(rows: DataFrame, place: _Exact) -> DataFrame:
     own = rows.where(F.col("_key") == literal(rows, place[0]))
     return own.where(F.col("_tie") == literal(rows, place[1], "_tie"))

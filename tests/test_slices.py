@@ -65,6 +65,32 @@ def test_slices_of_equal_keys_and_equal_rows(spark, monkeypatch, few):
     assert [k for k, _ in parts[0]] == [1] * 200 + [2] * 25 + [None] * 30
 
 
+def test_a_place_is_sought_by_the_first_column(spark, monkeypatch):
+    """The other order columns are read of rows that share its value only; both ends of a slice take few scans."""
+    monkeypatch.setattr(places, "FEW", 40)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def later(k):
+        read.add(1)
+        return k % 3
+
+    frame = spark.range(0, 5000, 1, 3).select((F.col("id") * 7919 % 5000).alias("k"), later("id").alias("v"))
+    spec = TableSpec.of(frame.schema, "t")
+    found = slices.ordered_slice(frame, spec, 3000, 1000)
+    assert read.value < 100
+    assert [r.k for r in found.collect()] == list(range(3000, 4000))
+
+
+def test_long_keys_are_cut_too(spark, monkeypatch):
+    """Keys too long to be gathered beside their sizes take the other way."""
+    monkeypatch.setattr(places, "FEW", 40)
+    monkeypatch.setattr(places, "SAMPLE_BYTES", 20_000)
+    frame = spark.range(3000).select(F.concat(F.lit("x" * 100), F.format_string("%04d", F.col("id") * 7 % 3000)).alias("k"))
+    found = slices.ordered_slice(frame, TableSpec.of(frame.schema, "t", pk=("k",)), 1500, 3).collect()
+    assert [r.k[-4:] for r in found] == ["1500", "1501", "1502"]
+
+
 def test_bounded_scan_without_limit(spark):
     frame, spec = numbers(spark)
     assert [r.k for r in slices.bounded_scan(frame, spec).collect()] == list(range(5000))
