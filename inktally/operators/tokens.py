@@ -139,23 +139,28 @@ class Tokenizer:
 
 
 def piece_counts(
-    documents: DataFrame, tokenizer: Tokenizer, text: str = "page_content", by: tuple[str, ...] = ("schema", "table")
+    documents: DataFrame,
+    tokenizer: Tokenizer,
+    text: str = "page_content",
+    by: tuple[str, ...] = ("schema", "table"),
+    times: str | None = None,
 ) -> DataFrame:
     """How often each piece of the split pattern occurs, per table or other group.
 
     The null piece counts the documents themselves.  The JVM splits and counts;
     ``(?U)`` makes ``\\s`` mean Unicode white space, as it does in the
     tokenizer.  Texts are cut where they are read, and counts are added up before the
-    shuffle: no text is shuffled, and a frequent piece is one row per task.
+    shuffle: no text is shuffled, and a frequent piece is one row per task.  ``times``
+    names a column of how many documents have the text of a row; else each row is one.
     """
     pattern = F.lit(f"(?U){tokenizer.pattern}")
     found = F.regexp_extract_all(tokenizer.guarded(F.col(text)), pattern, F.lit(0))
     pieces = F.concat(F.array(F.lit(None).cast("string")), found)
     return (
-        documents.select(*by, F.explode(pieces).alias("piece"))
+        documents.select(*by, *([times] if times else []), F.explode(pieces).alias("piece"))
         .where("piece is null or piece <> ''")
         .groupBy(*by, "piece")
-        .agg(F.count(F.lit(1)).alias("piece_count"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("piece_count"))
     )
 
 

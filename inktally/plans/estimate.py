@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -31,6 +31,9 @@ from inktally.spec import UPDATED_AT_CANDIDATES, EstimateConfig, TableSpec
 
 Table = tuple[DataFrame, TableSpec]
 
+#: Texts of a table that tell whether they repeat.
+LOOKED_AT = 1000
+
 
 @dataclass(frozen=True)
 class TableSource:
@@ -52,6 +55,39 @@ def all_page_texts(
     return for_each_table(narrow_page_texts if narrow else page_texts, tables, config)
 
 
+def all_piece_counts(
+    tables: Sequence[Table],
+    tokenizer: Tokenizer,
+    config: EstimateConfig | None = None,
+    narrow: bool = True,
+    repeating: Collection[str] = (),
+) -> DataFrame:
+    """:func:`piece_counts` of all tables, each by itself: the piece is the only key that its rows are added up by.
+
+    In tables named in ``repeating`` equal texts are counted first, and each is cut once.
+    """
+
+    def pieces(frame: DataFrame, spec: TableSpec, config: EstimateConfig | None) -> DataFrame:
+        made = (narrow_page_texts if narrow else page_texts)(frame, spec, config).select("page_content")
+        if spec.name in repeating:
+            made = made.groupBy("page_content").agg(F.count(F.lit(1)).alias("times"))
+        counted = piece_counts(made, tokenizer, by=(), times="times" if spec.name in repeating else None)
+        return counted.select(F.lit(spec.schema).alias("schema"), F.lit(spec.table).alias("table"), "piece", "piece_count")
+
+    return for_each_table(pieces, tables, config)
+
+
+def repeating_tables(tables: Sequence[Table], config: EstimateConfig | None = None) -> set[str]:
+    """Tables of whose first texts at most half are distinct; a choice of plan, which no result depends on."""
+
+    def repeats(table: Table) -> bool:
+        texts = page_texts(*table, config).select(F.xxhash64("page_content")).limit(LOOKED_AT).collect()
+        return 2 * len(set(texts)) <= len(texts)
+
+    with ThreadPoolExecutor(8) as pool:
+        return {spec.name for (_, spec), found in zip(tables, pool.map(repeats, tables), strict=True) if found}
+
+
 def estimate_tables(
     tables: Sequence[Table],
     tokenizer: Tokenizer,
@@ -263,7 +299,7 @@ def estimate_with_dictionary(
 
     The pieces are counted once and written, then looked up.
     """
-    counts = written(piece_counts(all_page_texts(tables, config, narrow), dictionary.tokenizer), "pieces")
+    counts = written(all_piece_counts(tables, dictionary.tokenizer, config, narrow), "pieces")
     learned = dictionary.learn(counts)
     return listed_estimates(dictionary.tokens(counts), _listed(dictionary.spark, tables)), learned
 

@@ -11,8 +11,10 @@ from inktally.plans.estimate import (
     ResultLog,
     TableSource,
     all_page_texts,
+    all_piece_counts,
     estimate_cost,
     estimate_tables,
+    repeating_tables,
     sources_of,
     table_results,
     worker_lost,
@@ -129,6 +131,20 @@ def test_estimates_do_not_depend_on_partitions(spark, data, tokenizer):
     assert results[0] == results[1] == results[2] == sorted(map(tuple, shared.collect()))
 
 
+def test_pieces_are_added_up_by_piece_alone(spark, data, tokenizer):
+    """Each table by itself; the few texts of lineitem are cut once each, however many rows have them."""
+    read = tables(spark, data, ("documents", "lineitem", "embeddings"))
+    repeating = repeating_tables(read)
+    assert repeating == {"public.lineitem"}
+    found = all_piece_counts(read, tokenizer, repeating=repeating)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split("keys=[")[1].split("]")[0] for x in plan.splitlines() if "HashAggregate(keys=" in x]
+    assert {k.split("#")[0] for k in keys} == {"piece", "page_content"} and not any("," in k for k in keys)
+    expected = sorted(map(repr, piece_counts(all_page_texts(read), tokenizer).collect()))
+    assert sorted(map(repr, found.collect())) == expected
+    assert sorted(map(repr, all_piece_counts(read, tokenizer).collect())) == expected
+
+
 def test_sums_of_counted_documents(spark):
     counted = spark.createDataFrame([("s", "t", 3), ("s", "t", 4), ("s", "u", None)], "schema string, table string, token_count bigint")
     assert sorted(map(tuple, table_estimates(counted).collect())) == [("s", "t", 2, 7), ("s", "u", 1, 0)]

@@ -20,9 +20,10 @@ from inktally.operators.statistics import snapshots_from_statistics
 from inktally.plans.chunks import ChunkLog, Chunking, KeyRanges, count_chunks
 from inktally.plans.estimate import (
     TableSource,
-    all_page_texts,
+    all_piece_counts,
     estimate_tables,
     estimate_with_dictionary,
+    repeating_tables,
     sources_of,
     table_results,
 )
@@ -470,7 +471,8 @@ def doc_tokens_pairs(spark, folder):
 
 
 def _all_pieces(spark, folder, used):
-    return token_jobs.piece_counts(all_page_texts(dealt(tables(spark, folder))), used)
+    read = tables(spark, folder)
+    return all_piece_counts(dealt(read), used, repeating=repeating_tables(read))
 
 
 @query
