@@ -38,5 +38,13 @@ def test_query(spark, data, base, name):
     assert mine == rows(result.columns, result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["price_file", "merge_chunks", "write_progress"])
+def test_query_writes_to_a_shared_folder_of_a_cluster(spark, data, base, name, monkeypatch):
+    """A session of a cluster whose shared folder is a mount, a plain ``file:`` folder to Spark."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    frame, result = QUERIES[name](spark, data), base.sql(SQL[name])
+    assert rows(frame.columns, frame.collect()) == rows(result.columns, result.fetchall())
+
+
 def test_entry(spark, data):
     assert entry.entry(spark).count() == 11
