@@ -7,8 +7,9 @@ a run, sorted by its words. Runs are merged by prefix partitions, a prefix being
 partition is cut 64 ways, so that a prefix with very many phrases is not one task's.
 
 Texts are read twice: phrases of one and two words are counted first, then those of three whose halves, the first two
-words and the last two, are both frequent. A bit filter of bounded size tells these; what it lets through by accident is
-counted and found to be rare, so the result is exact however full the filter is.
+words and the last two, are both frequent. A bit filter of bounded size tells these, by hashes of the words where they
+stand; only words of phrases that it lets through are numbered. What it lets through by accident is counted and found to
+be rare, so the result is exact however full the filter is.
 
 A phrase of two or three words that occurs ``least`` times and more is a candidate. It is cut in two at each
 place; the lowest score, a * a / (l * r) in millionths, rounded down, counts. A candidate within a longer one that
@@ -22,9 +23,11 @@ as given; ties are in order of the phrase's bytes; no rows give no rows. Only te
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
+from itertools import count, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inktally.llm.common import pieces, sent, stored
+from inktally.llm.suffix_dedup import Hasher
 
 UNKNOWN = "und"
 #: Words of the longest phrase, and bits of a word's id in a phrase's code.
@@ -67,9 +71,8 @@ class Trie:
         cuts = [*np.searchsorted(codes, np.array(self.low, np.int64)).tolist(), len(codes)]
         codes, counts, large = codes.tolist(), counts.tolist(), []
         for k, box in enumerate(self.held):
-            known = box.get
-            for code, n in zip(codes[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]], strict=True):
-                box[code] = known(code, 0) + n
+            new = codes[cuts[k] : cuts[k + 1]]
+            box.update(zip(new, map(add, map(box.get, new, repeat(0)), counts[cuts[k] : cuts[k + 1]]), strict=True))
             if len(box) > self.burst and self.low[k] not in self.whole:
                 large.append(k)
         for k in reversed(large):
@@ -106,8 +109,30 @@ class Trie:
             yield np.fromiter(box, np.int64, len(box)), np.fromiter(box.values(), np.int64, len(box))
 
 
-def word_mark(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def language_mark(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+class WordMarks:
+    """Hashes of the words of a text."""
+
+    def __init__(self) -> None:
+        self.size, self.hasher = 0, None
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(raw) > self.size:
+            self.size = max(len(raw), CHUNK + (CHUNK >> 4))
+            self.hasher = Hasher(3, 0x9E3779B97F4A7C15, self.size)
+        return self.hasher.of(self.hasher.sums(raw), starts, ends)
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a text of pieces that end with ``.`` start and end, and how many pieces end before each."""
+    dot = raw == ord(".")
+    gap = np.concatenate([[True], dot | (raw == ord(" ")), [True]])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return starts, ends, np.searchsorted(np.flatnonzero(dot), starts)
 
 
 @dataclass(frozen=True)
@@ -137,13 +162,14 @@ class Filter:
         size = min(most, 1 << (wanted - 1).bit_length())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = WordMarks()
             for batch in batches:
-                marks = [
-                    (word_mark(lang.encode()), *map(word_mark, phrase.encode().split(b" ")))
-                    for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                ]
-                of = np.array(marks, np.uint64).reshape(-1, 3)
-                spot = np.concatenate(cls.spots(of[:, 0], of[:, 1], of[:, 2], size))
+                langs = np.array([language_mark(lang) for lang in batch.column(0).to_pylist()], np.uint64)
+                # Words have neither spaces nor full stops.
+                raw = np.frombuffer(" ".join(batch.column(1).to_pylist()).encode(), np.uint8)
+                starts, ends, _ = word_spans(raw)
+                words = marks.of(raw, starts, ends)
+                spot = np.concatenate(cls.spots(langs, words[::2], words[1::2], size))
                 bit = (np.uint64(1) << (spot & np.uint64(63))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["at", "bits"])
 
@@ -161,50 +187,82 @@ class Counter:
 
     def __init__(self, sizes: Sequence[int], burst: int, held: int, known: Filter | None = None) -> None:
         self.sizes, self.words, self.burst, self.most, self.known = set(sizes), max(sizes), burst, held, known
+        if known is not None and self.sizes != {WORDS}:
+            raise ValueError(f"a filter tells phrases of {WORDS} words")
+        self.marks = WordMarks()
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = {b".": 0}
-        self.marks = np.zeros(1, np.uint64)
+        self.ids: defaultdict[bytes, int] = defaultdict(count(1).__next__, {b".": 0})
         self.tries: dict[str, Trie] = {}
         self.totals: dict[str, int] = {}
 
     def count(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         """Counts phrases of a text whose pieces end with ``.``; gives runs when it holds too much."""
+        if self.known is not None:
+            yield from self._count_known(lang, text)
+            return
         at, carry = 0, np.empty(0, np.int64)
         while at < len(text):
-            if len(self.ids) > VOCABULARY or (lang not in self.tries and len(self.tries) >= LANGUAGES):
+            if self._full(lang):
                 # Words get new numbers, so the last ones of the chunk before have to be looked up again.
                 names = {n: w for w, n in self.ids.items()}
                 last = [names[n] for n in carry.tolist()]
                 yield from self.runs(0)
                 self.clear()
-                carry = np.array([self.ids.setdefault(w, len(self.ids)) for w in last], np.int64)
+                carry = np.array([self.ids[w] for w in last], np.int64)
             end = text.find(b" ", at + CHUNK)
             end = len(text) if end < 0 else end
-            number = self.ids.setdefault
-            known = self.ids
-            fresh = np.array([number(w, len(known)) for w in text[at:end].replace(b".", b" . ").split()], np.int64)
-            if self.known is not None:
-                new = np.fromiter(map(word_mark, islice(self.ids, len(self.marks), None)), np.uint64)
-                self.marks = np.concatenate([self.marks, new])
+            found = text[at:end].replace(b".", b" . ").split()
+            fresh = np.fromiter(map(self.ids.__getitem__, found), np.int64, len(found))
             self._add(lang, np.concatenate([carry, fresh]), len(carry))
             carry = np.concatenate([carry, fresh])[-(self.words - 1) :] if self.words > 1 else carry
             at = end
-            if sum(t.size() for t in self.tries.values()) > self.most:
-                yield from self.runs(self.most // 2)
+            yield from self._spilled()
+
+    def _full(self, lang: str) -> bool:
+        return len(self.ids) > VOCABULARY or (lang not in self.tries and len(self.tries) >= LANGUAGES)
+
+    def _spilled(self) -> Iterator[pa.RecordBatch]:
+        if sum(t.size() for t in self.tries.values()) > self.most:
+            yield from self.runs(self.most // 2)
+
+    def _count_known(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        """Counts phrases of WORDS words whose halves ``known`` has; other words get no number."""
+        at, end, mark = 0, 0, language_mark(lang)
+        while end < len(text):
+            if self._full(lang):
+                yield from self.runs(0)
+                self.clear()
+            borders = [b for b in (text.find(c, end + CHUNK) for c in (b" ", b".")) if b >= 0]
+            end = min(borders, default=len(text))
+            raw = np.frombuffer(text, np.uint8, end - at, at)
+            starts, ends, piece = word_spans(raw)
+            if len(starts) >= WORDS:
+                marks = self.marks.of(raw, starts, ends)
+                half = piece[1:] == piece[:-1]
+                pair = np.flatnonzero(half)
+                half[pair] = self.known.has(mark, marks[pair], marks[pair + 1])
+                first = np.flatnonzero(half[1:] & half[:-1])
+                if len(first):
+                    here = np.zeros(len(starts), bool)
+                    for k in range(WORDS):
+                        here[first + k] = True
+                    spans = zip((starts[here] + at).tolist(), (ends[here] + at).tolist(), strict=True)
+                    ids = np.zeros(len(starts), np.int64)
+                    ids[here] = np.fromiter((self.ids[text[a:b]] for a, b in spans), np.int64, int(here.sum()))
+                    codes = sum(ids[first + k] << (BITS * (WORDS - 1 - k)) for k in range(WORDS))
+                    self.tries.setdefault(lang, Trie(self.burst)).add(*np.unique(codes, return_counts=True))
+            # The next chunk begins with the last words of this one, which make no phrase by themselves.
+            at = at + int(starts[-(WORDS - 1) :][0]) if len(starts) else end
+            yield from self._spilled()
 
     def _add(self, lang: str, ids: np.ndarray, seen: int) -> None:
         """Counts the phrases that end in the words from ``seen`` on."""
         codes, phrase, inside = [], np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        halves = None
-        if self.known is not None and len(ids) > 1:
-            halves = self.known.has(word_mark(lang.encode()), self.marks[ids[:-1]], self.marks[ids[1:]])
         for k in range(min(self.words, len(ids))):
             last = ids[k:]
             phrase, inside = phrase[: len(last)] | (last << (BITS * (WORDS - 1 - k))), inside[: len(last)] & (last > 0)
-            if k and halves is not None:
-                inside = inside & halves[k - 1 :]
             if k + 1 in self.sizes:
                 new = max(seen - k, 0)
                 codes.append(phrase[new:][inside[new:]])
@@ -220,6 +278,8 @@ class Counter:
         rank = np.empty(len(words), np.int64)
         rank[pc.array_sort_indices(words).to_numpy()] = np.arange(1, len(words) + 1)
         rank[0] = 0  # no word
+        # Words that follow others, each after a space; no word is nothing.
+        following = pc.binary_join_element_wise(pa.array([""] + [" "] * (len(words) - 1)), pc.if_else(pa.array(rank > 0), words, ""), "")
         mask = (1 << BITS) - 1
         if self.totals:
             yield self._batch(list(self.totals), [""] * len(self.totals), list(self.totals.values()))
@@ -229,12 +289,10 @@ class Counter:
         for lang, trie in self.tries.items():
             for codes, counts in trie.spilled(int(left[lang] * share)):
                 ids = [(codes >> (BITS * (WORDS - 1 - k))) & mask for k in range(WORDS)]
-                order = np.lexsort([rank[i] for i in reversed(ids)])
+                order = np.argsort(sum(rank[i] << (BITS * (WORDS - 1 - k)) for k, i in enumerate(ids)))
                 ids, counts = [i[order] for i in ids], counts[order]
-                phrase = words.take(pa.array(ids[0]))
-                for more in ids[1:]:
-                    longer = pc.binary_join_element_wise(phrase, words.take(pa.array(more)), " ")
-                    phrase = pc.if_else(pa.array(more > 0), longer, phrase)
+                parts = [words.take(pa.array(ids[0])), *[following.take(pa.array(i)) for i in ids[1 : self.words]]]
+                phrase = pc.binary_join_element_wise(*parts, "") if len(parts) > 1 else parts[0]
                 yield self._batch(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int8))), phrase, counts)
 
     @staticmethod

@@ -251,3 +251,32 @@ def test_products_beyond_64_bits(spark):
         collocations.phrase_runs = before
     assert (row.a, row.l, row.r, row.n) == (3 * 10**12, 4 * 10**12, 3 * 10**12 + 1, 9 * 10**12)
     assert row.score == 10**6 * row.a * row.a // (row.l * row.r)
+
+
+def test_only_words_of_phrases_with_frequent_halves_get_numbers(monkeypatch):
+    """Triples whose halves are known are counted, over the borders of chunks too; other words are not numbered."""
+    monkeypatch.setattr(collocations, "CHUNK", 300)
+    rare = [f"w{i}" for i in range(400)]
+    words = [w for i in range(400) for w in (rare[i], *(["ab", "\u00e9", "cd"] if i % 2 else ["ab."]), *("x y z .".split() if i % 5 == 0 else []))]
+    text = " ".join(words).encode()
+    at, bits = np.frombuffer("ab \u00e9 \u00e9 cd x y".encode(), np.uint8), np.zeros(64, np.uint64)
+    starts, ends, _ = collocations.word_spans(at)
+    marks = collocations.WordMarks().of(at, starts, ends)
+    for spot in collocations.Filter.spots(np.uint64(collocations.language_mark("en")), marks[::2], marks[1::2], 64 * 64):
+        np.bitwise_or.at(bits, spot >> np.uint64(6), np.uint64(1) << (spot & np.uint64(63)))
+    for known, least in ((collocations.Filter(bits), 200), (collocations.Filter(~np.zeros(1, np.uint64)), 0)):
+        counter = collocations.Counter((3,), 1000, 10_000, known)
+        runs = [*counter.count("en", text)]
+        numbered = len(counter.ids)
+        found = Counter()
+        for run in [*runs, *counter.runs(0)]:
+            for lang, phrase, n in zip(*[c.to_pylist() for c in run.columns], strict=True):
+                assert lang == "en"
+                found[phrase] += n
+        pieces = [p.split() for p in text.decode().split(".")]
+        want = Counter(" ".join(p[i : i + 3]) for p in pieces for i in range(len(p) - 2))
+        if least:
+            assert found["ab \u00e9 cd"] == want["ab \u00e9 cd"] == least and numbered < 100
+            assert all(want[p] == n for p, n in found.items())
+        else:
+            assert found == want
