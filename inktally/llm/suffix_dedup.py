@@ -181,19 +181,38 @@ class RunIndex:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Places in the order of their suffixes, by doubling the compared length."""
-    n, step = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    """Places in the order of their suffixes, by doubling the compared length.
+
+    The first comparison is of as many symbols as a whole number holds. Each further one is of the places that are not
+    told apart yet.
+    """
+    n = len(text)
+    if n == 0:
+        return np.empty(0, np.int64)
+    symbol = text.astype(np.int64) - int(text.min()) + 1
+    if int(symbol.max()).bit_length() > 20:
+        symbol = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    bits = int(symbol.max()).bit_length()
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key[: max(n - k, 0)] |= symbol[k:] << (bits * (step - 1 - k))
+    order = np.argsort(key)
+    key, slots, found, rank = key[order], np.arange(n), order, np.empty(n, np.int64)
     while True:
-        following = np.zeros(n, np.int64)
-        following[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + following
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank[order] = new
-        if n == 0 or new[-1] == n - 1:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[found] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        open_ = ~(new & np.append(new[1:], True))
+        slots = slots[open_]
+        if not len(slots):
             return order
+        found = order[slots]
+        after = found + step
+        following = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[found] * (n + 1) + following
+        by_key = np.argsort(key)
+        found, key = found[by_key], key[by_key]
+        order[slots] = found
         step *= 2
 
 

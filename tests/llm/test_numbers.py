@@ -127,6 +127,21 @@ def test_run_index():
         assert before[i] == j and (text[i : i + shared[i]] == text[j : j + shared[i]]).all()
 
 
+def test_suffixes_told_apart_are_not_sorted_again(monkeypatch):
+    """A long passage that comes twice costs no more sorting of the rest of the text."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 200, 20_000)
+    text[15_000:15_400] = text[3_000:3_400]
+    worked, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *more: worked.append(len(a)) or sort(a, *more))
+    order = suffix_dedup.suffix_order(text)
+    assert sum(worked) < 1.5 * len(text)
+    monkeypatch.undo()
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i : i + 500].tolist())
+    for odd in ([], [5], [7, 7, 7, 7], [1 << 40, -3, 1 << 40, -3, 1 << 40]):
+        assert suffix_dedup.suffix_order(np.array(odd, np.int64)).tolist() == sorted(range(len(odd)), key=lambda i: odd[i:])
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage's decision is seen, and clean documents come through."""
     clean = [(i, prose(i, 150, 3000), "aa") for i in range(20)]
