@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inktally.llm import queries
-from inktally.llm.bpe import decoded, encoded
+from inktally.llm.bpe import encoded_and_decoded
 from inktally.llm.common import given, stored
 from inktally.llm.decontaminate import without_contaminated
 from inktally.llm.language_id import UNKNOWN, identified
@@ -40,12 +40,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to, beside doc_id, lang and source; other columns end here."""
-    vocabulary = queries.vocabulary()
-    ids = encoded(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
-    back = decoded(ids, vocabulary)
-    return back.select(
-        "doc_id", "lang", "source", "ids", *queries.token_digests()
-    )
+    texts = docs.select("doc_id", "lang", "source", F.col("text").alias("decoded"))
+    back = encoded_and_decoded(texts, queries.vocabulary(), text="decoded")
+    return back.select("doc_id", "lang", "source", "ids", *queries.token_digests())
 
 
 #: The stages in order; each takes what the one before kept.

@@ -127,31 +127,36 @@ class Encoder:
         return b"".join(out)
 
 
-def _mapped(frame: DataFrame, source: str, result: str, kind: T.DataType, function) -> DataFrame:  # noqa: ANN001
-    """``frame`` with ``result``, made by ``function()`` (once a task) from each list of values of ``source``."""
-    kept = [i for i, c in enumerate(frame.columns) if c != result]
-    out = T.StructType([*[frame.schema.fields[i] for i in kept], T.StructField(result, kind)])
+def _mapped(frame: DataFrame, source: str, results: dict[str, T.DataType], function) -> DataFrame:  # noqa: ANN001
+    """``frame`` with ``results``, a tuple of which ``function()`` (once a task) makes from each value of ``source``."""
+    kept = [i for i, c in enumerate(frame.columns) if c not in results]
+    out = T.StructType([*[frame.schema.fields[i] for i in kept], *[T.StructField(c, kind) for c, kind in results.items()]])
     at = frame.columns.index(source)
-    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
+    arrow = [pa.binary() if isinstance(kind, T.BinaryType) else pa.string() for kind in results.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = function()
         for part in pieces(batches):
-            made = pa.array([make(x) for x in part.column(at).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], made], names=out.fieldNames())
+            rows = [make(x) for x in part.column(at).to_pylist()]
+            made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *made], names=out.fieldNames())
 
     return frame.mapInArrow(run, out)
 
 
+def _text_of(tokens: dict[int, bytes], ids: bytes) -> str:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text."""
     shared = sent(docs.sparkSession, vocabulary)
 
     def function():  # noqa: ANN202
         encoder = Encoder(shared())
-        return lambda value: encoder.encode(value or "")
+        return lambda value: (encoder.encode(value or ""),)
 
-    return _mapped(docs, text, ids, T.BinaryType(), function)
+    return _mapped(docs, text, {ids: T.BinaryType()}, function)
 
 
 def decoded(frame: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -159,13 +164,28 @@ def decoded(frame: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: st
     shared = sent(frame.sparkSession, vocabulary.tokens)
 
     def function():  # noqa: ANN202
-        token = shared().__getitem__
+        tokens = shared()
+        return lambda value: (None if value is None else _text_of(tokens, value),)
+
+    return _mapped(frame, ids, {text: T.StringType()}, function)
+
+
+def encoded_and_decoded(
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", back: str = "decoded"
+) -> DataFrame:
+    """``encoded``, then ``decoded`` of those ids, by one worker a task instead of two, which holds one vocabulary.
+
+    Where ``back`` is ``text``, the text is replaced and does not return from the worker.
+    """
+    shared = sent(docs.sparkSession, vocabulary)
+
+    def function():  # noqa: ANN202
+        encoder = Encoder(shared())
 
-        def decode(value: bytes | None) -> str | None:
-            if value is None:
-                return None
-            return b"".join(map(token, np.frombuffer(value, "<u4").tolist())).decode("utf-8", "replace")
+        def both(value: str | None) -> tuple[bytes, str]:
+            found = encoder.encode(value or "")
+            return found, _text_of(encoder.v.tokens, found)
 
-        return decode
+        return both
 
-    return _mapped(frame, ids, text, T.StringType(), function)
+    return _mapped(docs, text, {ids: T.BinaryType(), back: T.StringType()}, function)

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from inktally.llm import bpe, decontaminate, language_id, queries, secrets, toxicity
 from tests.llm.helpers import EDGES, prose, table
 
@@ -111,6 +112,26 @@ def test_round_trip(spark, vocabulary, library):
     assert bpe.encoded(table(spark, []), vocabulary).count() == 0
 
 
+def test_encoding_and_decoding_take_one_worker(spark, vocabulary, tmp_path):
+    """The same rows as by two passes, and one Python step in the plan, since each holds a worker and a vocabulary a core."""
+    rows = EDGES + [(100 + i, t) for i, t in enumerate(_texts())]
+    docs = table(spark, rows)
+    apart = bpe.decoded(bpe.encoded(docs, vocabulary), vocabulary).select("doc_id", "source", "ids", "decoded")
+    once = bpe.encoded_and_decoded(docs, vocabulary)
+    assert once.columns == [*docs.columns, "ids", "decoded"]
+    replaced = bpe.encoded_and_decoded(docs, vocabulary, back="text")
+    assert replaced.columns == [*(c for c in docs.columns if c != "text"), "ids", "text"]
+    key = lambda r: tuple(map(repr, r))
+    want = sorted(map(tuple, apart.collect()), key=key)
+    assert sorted(map(tuple, once.select("doc_id", "source", "ids", "decoded").collect()), key=key) == want
+    assert sorted(map(tuple, replaced.select("doc_id", "source", "ids", "text").collect()), key=key) == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stored = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for frame in (corpus_pipeline.bpe(spark, stored, str(tmp_path)), queries.op2_bpe(spark, str(tmp_path))):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert frame.count() == len(rows)
+
+
 def test_long_words_take_the_heap(vocabulary):
     encoder, rng = bpe.Encoder(vocabulary), random.Random(9)
     for n in (401, 700):
