@@ -48,6 +48,8 @@ CHUNK, BURST, HELD = 1 << 20, 1 << 14, 1 << 20
 VOCABULARY, LANGUAGES = 1 << 19, 64
 #: Bits of the filter for each frequent phrase, and in all (32 MB).
 BITS_EACH, BITS_MOST = 16, 1 << 28
+#: Words of 64 bits in a block of the filter, which the driver gets whole.
+BLOCK = 1 << 13
 #: Prefix partitions' numbers, and parts of one.
 CELLS, SALTS = 1 << 20, 64
 
@@ -157,7 +159,7 @@ class Filter:
 
     @classmethod
     def of(cls, pairs: DataFrame, most: int) -> Filter:
-        """Of the two-word phrases (lang, phrase); the driver gets the field's words that are not zero."""
+        """Of the two-word phrases (lang, phrase); the driver gets the field's blocks as bytes, whatever the number of phrases."""
         wanted = max(64, BITS_EACH * pairs.count())
         size = min(most, 1 << (wanted - 1).bit_length())
 
@@ -173,9 +175,22 @@ class Filter:
                 bit = (np.uint64(1) << (spot & np.uint64(63))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["at", "bits"])
 
-        field = pairs.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at, bits = (batch.column(i).to_numpy() for i in range(2))
+                block, order = at // BLOCK, np.argsort(at // BLOCK, kind="stable")
+                for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(at) else ():
+                    field = held.setdefault(int(block[rows[0]]), np.zeros(BLOCK, np.int64))
+                    np.bitwise_or.at(field, at[rows] % BLOCK, bits[rows])
+            for block, field in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([field.tobytes()], pa.binary())], names=["block", "field"])
+
+        spread = pairs.select("lang", "phrase").mapInArrow(run, "at long, bits long").repartition(F.expr(f"at div {BLOCK}"))
         bits = np.zeros(size // 64, np.uint64)
-        bits[field["at"].to_numpy(np.int64)] = field["bits"].to_numpy(np.int64).view(np.uint64)
+        for found in spread.mapInArrow(merged, "block long, field binary").collect():
+            at = found["block"] * BLOCK
+            bits[at : at + BLOCK] = np.frombuffer(found["field"], np.uint64)[: len(bits) - at]
         return cls(bits)
 
 

@@ -280,3 +280,24 @@ def test_only_words_of_phrases_with_frequent_halves_get_numbers(monkeypatch):
             assert all(want[p] == n for p, n in found.items())
         else:
             assert found == want
+
+
+@pytest.mark.parametrize("block", [1 << 13, 4])
+def test_the_driver_gets_the_filter_in_blocks(spark, monkeypatch, block):
+    """A row for each block, not for each word of the field; a field smaller than a block, and one of many."""
+    monkeypatch.setattr(collocations, "BLOCK", block, raising=False)
+    got, frame = [], type(spark.range(0))
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, before=getattr(frame, name): got.append(before(self)) or got[-1])
+    pairs = [("en" if i % 3 else "de", f"a{i} b{i % 50}") for i in range(700)]
+    for some in (pairs, pairs[:3], []):
+        got.clear()
+        known = collocations.Filter.of(spark.createDataFrame(some, "lang string, phrase string").repartition(3), 1 << 14)
+        assert sum(map(len, got)) <= -(-len(known.bits) // block)
+        want = np.zeros(len(known.bits), np.uint64)
+        for lang, phrase in some:
+            text = np.frombuffer(phrase.encode(), np.uint8)
+            marks = collocations.WordMarks().of(text, *collocations.word_spans(text)[:2])
+            for spot in collocations.Filter.spots(np.uint64(collocations.language_mark(lang)), marks[:1], marks[1:], 64 * len(want)):
+                want[spot >> np.uint64(6)] |= np.uint64(1) << (spot & np.uint64(63))
+        assert (known.bits == want).all() and known.bits.any() == bool(some)
