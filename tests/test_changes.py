@@ -1,5 +1,7 @@
 """Changes between two loads."""
 
+import pytest
+
 from inktally.operators.changes import LoadedVersion, change_counts, changes, folded
 from inktally.operators.documents import documents
 from inktally.spec import TableSpec
@@ -46,3 +48,34 @@ def test_the_stored_side_is_not_shuffled(spark, tmp_path):
     scan = next(i for i, x in enumerate(lines) if "inktally_load" in x)
     join = next(i for i, x in enumerate(lines) if "Join" in x)
     assert not any("Exchange" in x for x in lines[join:scan])
+
+
+def test_a_load_of_fewer_buckets_than_partitions_is_not_shuffled_again(spark, tmp_path):
+    """It is kept in as many parts, a file each, of hashes as bytes; the new side is shuffled once."""
+    rows = [(i, f"v{i}") for i in range(3000)]
+    kept, partitions, threshold = {}, "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"
+    for pk in (("k",), ()):
+        before = LoadedVersion(spark, str(tmp_path / f"load{len(pk)}"), 3).store(load(spark, rows, pk))
+        assert spark.conf.get(partitions) == "4" and before.buckets == 3 and before.rows.count() == 3000
+        files = [p for p in (tmp_path / f"load{len(pk)}").rglob("*.parquet")]
+        assert len(files) <= 4
+        kept[pk] = sum(p.stat().st_size for p in files) / 3000
+        old = spark.conf.get(threshold)
+        spark.conf.set(threshold, "-1")
+        try:
+            found = changes(before, load(spark, rows[:2990] + [(2990, "w")], pk))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set(threshold, old)
+        lines = plan.splitlines()
+        scan = next(i for i, x in enumerate(lines) if "inktally_load" in x)
+        assert not any("Exchange" in x for x in lines[next(i for i, x in enumerate(lines) if "Join" in x) : scan])
+        assert sum("Exchange hashpartitioning" in x for x in lines[scan:]) == 1
+        (row,) = change_counts(found).collect()
+        assert (row.added, row.removed, row.changed) == ((0, 9, 1) if pk else (1, 10, 0))
+    # Two hashes of 32 bytes of a document with a key, one of a row without.
+    assert kept[("k",)] < 80 and kept[()] < 48
+    assert {len(r.doc_id) for r in found.collect()} == {len(r.row_hash) for r in found.collect()} == {64}
+    (tmp_path / "early" / "buckets-3").mkdir(parents=True)
+    with pytest.raises(ValueError, match="earlier form"):
+        LoadedVersion(spark, str(tmp_path / "early"))
