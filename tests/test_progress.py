@@ -143,6 +143,27 @@ def test_prices_in_force(spark):
     assert {r.n for r in costs if r.model == "voyage-3"} == {0, 3, 4, 8}
 
 
+def test_entries_of_lists_that_were_not_in_force_are_not_shuffled(spark):
+    """They go before the first exchange; entries without a list meet the runs without one, next to the fallback's."""
+    day = lambda d: START + timedelta(days=d)
+    dated = spark.createDataFrame([(1, day(3), 10**6), (2, day(3), 2 * 10**6), (3, None, 10**6)], "run_id int, fetched_at timestamp_ntz, total_tokens long")
+    lists = [None, *map(day, range(100))]
+    rows = [(at, i, "p", f"m{i % 3}", float(i)) for at in lists for i in range(4)]
+    entries = spark.createDataFrame(rows, "fetched_at timestamp_ntz, ordinal int, provider string, model string, price_per_million double")
+    fallback = fallback_prices(spark)
+    found = costs_in_force(dated, entries, fallback)
+    got = sorted((r.run_id, r.model, r.cost) for r in found.collect())
+    last = {"m0": 3.0, "m1": 1.0, "m2": 2.0}
+    want = [(run, m, n * p) for run, n in ((1, 1), (2, 2), (3, 1)) for m, p in last.items()]
+    want += [(3, r.model, float(r.price_per_million)) for r in fallback.collect()]
+    assert got == sorted(want)
+    assert costs_in_force(dated.where("run_id < 3"), entries, fallback).count() == 6
+    assert costs_in_force(dated.limit(0), entries, fallback).count() == 0
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = next(i for i, x in enumerate(lines) if "Join LeftSemi" in x)
+    assert any("Aggregate" in x for x in lines[:semi]) and "rightHint=(strategy=broadcast)" in lines[semi]
+
+
 def batches(out):
     """Rows written per batch, and lines in all."""
     found = {p.name: len(snapshot_files(p / "snapshots")) for p in sorted((out / "batches").iterdir())}
