@@ -79,3 +79,16 @@ def test_a_load_of_fewer_buckets_than_partitions_is_not_shuffled_again(spark, tm
     (tmp_path / "early" / "buckets-3").mkdir(parents=True)
     with pytest.raises(ValueError, match="earlier form"):
         LoadedVersion(spark, str(tmp_path / "early"))
+
+
+def test_counts_of_changes_make_no_text_of_hashes(spark, tmp_path):
+    """Counting needs neither doc_id nor row_hash as text; both kinds of tables, rows that share a key and rows that repeat."""
+    old = [(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, "d")]
+    new = [(1, "b"), (1, "a"), (2, "c"), (4, "e"), (4, "e"), (3, "D")]
+    for pk, want in ((("k",), (2, 1, 1)), ((), (3, 2, 0))):
+        before = LoadedVersion(spark, str(tmp_path / f"load{len(pk)}"), 2).store(load(spark, old, pk))
+        counts = change_counts(changes(before, load(spark, new, pk)))
+        (row,) = counts.collect()
+        assert (row.added, row.removed, row.changed) == want
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "lower(hex(" not in plan and [kind for _, kind in before.rows.dtypes].count("binary") == 2
